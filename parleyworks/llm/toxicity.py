@@ -23,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,18 +63,24 @@ def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, start: np.ndarra
     return w, b
 
 
-def _fit_bag(pdf: pd.DataFrame, prior: float, features: int = 256) -> pd.DataFrame:
-    pdf = pdf.sort_values(["positive", "key"], kind="stable")
-    positive = pdf["positive"].to_numpy(bool)
+def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(positive, key, slots) from (positive, key, text): a document as its distinct words' slots."""
+    for batch in batches:
+        for lo, hi in text_slices(batch.column(2)):
+            part = batch.slice(lo, hi - lo)
+            r, s = _slots(part.column(2))
+            offsets = np.searchsorted(r, np.arange(hi - lo + 1)).astype(np.int32)
+            slots = pa.ListArray.from_arrays(pa.array(offsets), pa.array(s.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), slots], ["positive", "key", "slots"])
+
+
+def _fit_bag(group: pa.Table, prior: float, features: int = 256) -> pa.Table:
+    group = group.sort_by([("positive", "ascending"), ("key", "ascending")]).combine_chunks()
+    positive = group["positive"].to_numpy().astype(bool)
     n_p, n_u = positive.sum(), (~positive).sum()
-    rows, slots, at = [], [], 0
-    text = pa.array(pdf["text"], pa.large_string())
-    for lo, hi in text_slices(text):
-        r, s = _slots(text.slice(lo, hi - lo))
-        rows.append(r + at)
-        slots.append(s)
-        at += hi - lo
-    r, s = np.concatenate(rows), np.concatenate(slots)
+    slots = group["slots"].combine_chunks()
+    s = slots.flatten().to_numpy()
+    r = np.repeat(np.arange(len(positive), dtype=np.int32), slots.value_lengths().to_numpy())
     in_p = np.bincount(s[positive[r]], minlength=1 << _BITS)
     in_u = np.bincount(s[~positive[r]], minlength=1 << _BITS)
     share = (in_p + in_u + 1) / (n_p + n_u + 2)
@@ -84,12 +89,12 @@ def _fit_bag(pdf: pd.DataFrame, prior: float, features: int = 256) -> pd.DataFra
     chosen = np.sort(chosen[np.abs(z[chosen]) >= min(5.0, np.abs(z[chosen[0]]))])
     place = np.full(1 << _BITS, -1)
     place[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(pdf), len(chosen)), np.float32)
+    x = np.zeros((len(positive), len(chosen)), np.float32)
     hit = place[s] >= 0
     x[r[hit], place[s[hit]]] = 1
     start = np.log((in_p[chosen] + 0.5) / (n_p + 1)) - np.log((in_u[chosen] + 0.5) / (n_u + 1))
     w, b = fit_nnpu(x, positive, prior, start)
-    return pd.DataFrame({"slots": [chosen.astype(np.int32)], "weights": [w.astype(np.float32)], "bias": [b]})
+    return pa.table({"slots": [chosen.astype(np.int32)], "weights": [w.astype(np.float32)], "bias": [b]})
 
 
 def train(docs: DataFrame, labels: DataFrame, bags: int = 4, positives: int = 4000, unlabelled: int = 16000) -> tuple[np.ndarray, float] | None:
@@ -102,11 +107,15 @@ def train(docs: DataFrame, labels: DataFrame, bags: int = 4, positives: int = 40
     prior = min(max(n_pos / n, 0.01), 0.5)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
     chosen = bounded_sample(marks.where("positive = 1").select("doc_id", "positive"), "positive", "doc_id", positives)
-    every = F.array(*[F.lit(i) for i in range(bags)])
-    p = rows.join(F.broadcast(chosen), "doc_id").select(F.explode(every).alias("bag"), F.lit(1).alias("positive"), F.col("doc_id").alias("key"), "text")
+    p = rows.join(F.broadcast(chosen), "doc_id").select(F.lit(1).alias("positive"), F.col("doc_id").alias("key"), "text")
     u = bounded_sample(rows.withColumn("all", F.lit(0)), "all", "doc_id", unlabelled, seed=1)
-    u = u.select(F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(bags)).cast("int").alias("bag"), F.lit(0).alias("positive"), F.col("doc_id").alias("key"), "text")
-    models = p.unionByName(u).groupBy("bag").applyInPandas(lambda pdf: _fit_bag(pdf, prior), _MODEL).collect()
+    u = u.select(F.lit(0).alias("positive"), F.col("doc_id").alias("key"), "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    features = p.unionByName(u).mapInArrow(_featurise, f"positive int, key {kind}, slots array<int>")
+    own = F.array(F.pmod(F.xxhash64(F.lit(2), "key"), F.lit(bags)).cast("int"))
+    every = F.array(*[F.lit(i) for i in range(bags)])
+    bagged = features.withColumn("bag", F.explode(F.when(F.col("positive") == 1, every).otherwise(own)))
+    models = bagged.groupBy("bag").applyInArrow(lambda group: _fit_bag(group, prior), _MODEL).collect()
     weights = np.zeros(1 << _BITS, np.float32)
     for m in models:
         weights[np.array(m["slots"], np.int64)] += np.array(m["weights"], np.float32) / len(models)
