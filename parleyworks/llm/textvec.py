@@ -48,7 +48,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def text_slices(column: pa.Array, budget: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def text_slices(column: pa.Array, budget: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``budget`` bytes of text, one row at least."""
     _, offsets = text_bytes(column)
     lo, n = 0, len(column)
