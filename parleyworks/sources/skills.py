@@ -25,7 +25,7 @@ def read_skills(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     Dot files and any README.md are skipped. A file is a skill where it has a body; a JSON file needs
     ``content`` or ``instructions``. An unclosed front matter belongs to the body.
     """
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root)
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
     files = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
     base = F.element_at(F.split("path", "/"), -1)
     files = files.withColumns({"file": base, "stem": F.regexp_replace(base, r"\.[^.]*$", ""), "dir": F.element_at(F.split("path", "/"), -2)})
@@ -67,5 +67,5 @@ def read_knowledge(spark: SparkSession, path: str, max_bytes: int = 10 << 20) ->
         rows = spark.read.schema("title string, content string").option("multiLine", True).json(path)
         sized = rows.where(F.col("_metadata.file_size") <= max_bytes)
         return sized.select(F.coalesce("title", F.lit("")).alias("title"), F.coalesce("content", F.lit("")).alias("content"))
-    rows = spark.read.option("wholetext", True).text(path).where(F.col("_metadata.file_size") <= max_bytes)
+    rows = spark.read.text(path, wholetext=True).where(F.col("_metadata.file_size") <= max_bytes)
     return rows.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("title"), F.regexp_replace("value", "�", "").alias("content"))
