@@ -65,3 +65,10 @@ def bounded_sample(df: DataFrame, group: str, key: str, limit: int, seed: int =
     for value, n in counts.items():
         keep = keep | (F.col(group).eqNullSafe(F.lit(value)) & (spread < F.lit(min(1.0, limit / n))))
     return df.where(keep)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` starts with it."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name += "_"
+    return name

@@ -11,7 +11,7 @@ beyond, Spark joins by host and splits the hot ones.
 
 Defined results: null text stays null and its page counts for its host; null hosts are one host;
 rows that repeat count as pages each; an empty table gives an empty result. Other columns pass
-through; the added names are parameters, and the working names start with ``__ld_``.
+through; the added name is a parameter, and working names are chosen free.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, small_enough
+from .common import free_name, settle, small_enough
 
 
 def html_lines(html: Column) -> Column:
@@ -58,16 +58,18 @@ def line_dedup(
     pages: DataFrame, host: str, text: str, ratio: float = 0.3, min_pages: int = 5, dropped: str | None = None, broadcast_hosts: int = 20_000
 ) -> DataFrame:
     """``pages`` with the boilerplate lines gone from ``text``; ``dropped`` names a column of their number."""
-    found = settle(boilerplate(pages, host, text, ratio, min_pages), "boilerplate")
+    name = free_name(pages, "__ld")
+    site, drop, left = f"{name}host", f"{name}drop", f"{name}left"
+    found = settle(boilerplate(pages, host, text, ratio, min_pages), "boilerplate").toDF(site, drop)
     small = small_enough(found, broadcast_hosts)
-    joined = pages.join(F.broadcast(found) if small else found, F.col(host).eqNullSafe(F.col("__ld_host")), "left")
+    joined = pages.join(F.broadcast(found) if small else found, F.col(host).eqNullSafe(F.col(site)), "left")
     lines = F.split(text, "\n")
-    left = F.filter(lines, lambda x: _blank(x) | ~F.array_contains(F.col("__ld_drop"), _key(x)))
-    joined = joined.withColumn("__ld_left", F.when(F.col("__ld_drop").isNotNull(), left).otherwise(lines))
-    out = {text: F.array_join("__ld_left", "\n")}
+    some = F.filter(lines, lambda x: _blank(x) | ~F.array_contains(F.col(drop), _key(x)))
+    joined = joined.withColumn(left, F.when(F.col(drop).isNotNull(), some).otherwise(lines))
+    out = {text: F.array_join(left, "\n")}
     if dropped:
-        out[dropped] = F.coalesce(F.size(lines) - F.size("__ld_left"), F.lit(0)).cast("long")
-    return joined.withColumns(out).drop("__ld_host", "__ld_drop", "__ld_left")
+        out[dropped] = F.coalesce(F.size(lines) - F.size(left), F.lit(0)).cast("long")
+    return joined.withColumns(out).drop(site, drop, left)
 
 
 def page_line_dedup(pages: DataFrame) -> DataFrame:

@@ -14,8 +14,8 @@ splits a hot source).
 Defined results: null text has no characters; a source without characters has rate 0 and gives no
 rows; null sources are one source; a source that the weights leave out has weight 0; rows that
 repeat an id get the same count and the same keys; an empty table gives an empty result. Other
-columns pass through; ``copy_no`` and ``copies`` (and ``shuffle_key``) are added, and replace
-columns of these names.
+columns pass through; the names of the three added columns are a parameter, and replace columns of
+these names.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, small_enough
+from .common import free_name, settle, small_enough
 
 DIGITS = 13  # hexadecimal digits of a hash: 52 bits, whole in a double
 
@@ -69,15 +69,21 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None, alpha: float, ep
 
 
 def mix(
-    docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: float = 0.5, epochs: float = 1.0, seed: str = "mix", broadcast_sources: int = 10_000
+    docs: DataFrame,
+    weights: Mapping[str, float] | None = None,
+    alpha: float = 0.5,
+    epochs: float = 1.0,
+    seed: str = "mix",
+    added: tuple[str, str, str] = ("copy_no", "copies", "shuffle_key"),
+    broadcast_sources: int = 10_000,
 ) -> DataFrame:
-    """``docs`` replicated to the target weights, in random order, with copy_no (from 1), copies, shuffle_key."""
-    table = settle(rates(docs, weights, alpha, epochs).select(F.col("source").alias("__mx_source"), poisson_cdf(F.col("rate")).alias("__mx_cdf")), "rates")
-    joined = docs.drop("copy_no", "copies", "shuffle_key").join(
-        F.broadcast(table) if small_enough(table, broadcast_sources) else table, F.col("source").eqNullSafe(F.col("__mx_source")), "left"
-    )
-    u = uniform(seed, F.col("doc_id"))
-    joined = joined.withColumn("__mx_u", u).withColumn("copies", F.size(F.filter("__mx_cdf", lambda c: c <= F.col("__mx_u"))))
-    copied = joined.drop("__mx_source", "__mx_cdf", "__mx_u").where("copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    keyed = copied.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy_no").cast("string"))))
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    """``docs`` replicated to the target weights, in random order, with the copy's number (from 1), the copies and the shuffle key."""
+    copy_no, copies, key = added
+    name = free_name(docs, "__mx")
+    source, cdf, u = f"{name}source", f"{name}cdf", f"{name}u"
+    table = settle(rates(docs, weights, alpha, epochs).select(F.col("source").alias(source), poisson_cdf(F.col("rate")).alias(cdf)), "rates")
+    joined = docs.drop(*added).join(F.broadcast(table) if small_enough(table, broadcast_sources) else table, F.col("source").eqNullSafe(F.col(source)), "left")
+    joined = joined.withColumn(u, uniform(seed, F.col("doc_id"))).withColumn(copies, F.size(F.filter(cdf, lambda c: c <= F.col(u))))
+    copied = joined.drop(source, cdf, u).where(F.col(copies) > 0).withColumn(copy_no, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    text = F.concat_ws(":", F.lit(f"{seed}-order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col(copy_no).cast("string"))
+    return copied.withColumn(key, F.md5(text)).repartition(key).sortWithinPartitions(key)

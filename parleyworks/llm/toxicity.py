@@ -52,7 +52,7 @@ def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, start: np.ndarra
         sp, su = (1 / (1 + np.exp(-np.clip(z @ w + b, -30, 30))) for z in (p, u))
         dp, du = sp * (1 - sp) / max(len(p), 1), su * (1 - su) / max(len(u), 1)
         # loss of calling x positive is 1 - s, of calling it negative s
-        if su.mean() - prior * sp.mean() >= 0:
+        if su.sum() / max(len(u), 1) - prior * sp.sum() / max(len(p), 1) >= 0:
             gp, gu = -prior * dp - prior * dp, du
         else:
             gp, gu = prior * dp, -du
@@ -116,16 +116,18 @@ def train(docs: DataFrame, labels: DataFrame, bags: int = 4, positives: int = 40
     every = F.array(*[F.lit(i) for i in range(bags)])
     bagged = features.withColumn("bag", F.explode(F.when(F.col("positive") == 1, every).otherwise(own)))
     models = bagged.groupBy("bag").applyInArrow(lambda group: _fit_bag(group, prior), _MODEL).collect()
+    if not models or not chosen.join(rows.select("doc_id"), "doc_id", "left_semi").limit(1).count():
+        return None  # no document with a positive label
     weights = np.zeros(1 << _BITS, np.float32)
     for m in models:
         weights[np.array(m["slots"], np.int64)] += np.array(m["weights"], np.float32) / len(models)
     return weights, float(np.mean([m["bias"] for m in models]))
 
 
-def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float] | None) -> DataFrame:
-    """``docs`` with ``toxicity`` (double, 0 to 1) from the whole text."""
+def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float] | None, name: str = "toxicity") -> DataFrame:
+    """``docs`` with ``name`` (double, 0 to 1) from the whole text."""
     if model is None:
-        return docs.withColumn("toxicity", F.lit(0.0))
+        return docs.withColumn(name, F.lit(0.0))
     weights, bias = model
     slots = np.flatnonzero(weights)
     values = weights[slots]
@@ -144,10 +146,10 @@ def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float] | None) -> D
                 row = np.searchsorted(np.cumsum(counts), hit, "right")
                 key = np.unique(row << _BITS | slot[hit])
                 out[lo:hi] += np.bincount(key >> _BITS, table[key & ((1 << _BITS) - 1)], hi - lo)
-            yield batch.append_column("toxicity", pa.array(1 / (1 + np.exp(-np.clip(out, -50, 50)))))
+            yield batch.append_column(name, pa.array(1 / (1 + np.exp(-np.clip(out, -50, 50)))))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(score, f"{schema}, toxicity double")
+    return docs.mapInArrow(score, f"{schema}, `{name}` double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
