@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parleyworks.llm import jaccard_join, line_dedup, mixing, packing, toxicity
-from parleyworks.llm.common import settle, small_enough, table
+from parleyworks.llm.common import free_name, settle, small_enough, table
 
 #: No SQL: the classifier, the probabilistic join and the tokenizer have none.
 ORACLE_SQL = None
@@ -19,7 +19,8 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned on these documents and the labels, doesn't call toxic."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, model).where("toxicity < 0.5").select(docs.columns)
+    score = free_name(docs, "toxicity")
+    return toxicity.score_toxicity(docs, model, score).where(F.col(score) < 0.5).select(docs.columns)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +38,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to the sources' target weights, in random order."""
-    return mixing.mix(docs).select(docs.columns)
+    added = tuple(free_name(docs, x) for x in ("copy_no", "copies", "shuffle_key"))
+    return mixing.mix(docs, added=added).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
