@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -72,3 +73,14 @@ def free_name(df: DataFrame, name: str) -> str:
     while any(c.lower().startswith(name.lower()) for c in df.columns):
         name += "_"
     return name
+
+
+def bounded_batches(df: DataFrame, size: int = 8 << 20) -> None:
+    """Let batches that go to Python hold at most about ``size`` bytes, unless the session asks for less.
+
+    Such a batch exists in the JVM's memory beside the heap and in the worker, for every task.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.match(r"(\d+)b?$", conf.get(key))
+    if now is None or not 0 < int(now[1]) <= size:
+        conf.set(key, str(size))

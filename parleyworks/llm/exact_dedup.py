@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import semi_join, settle
+from .common import bounded_batches, semi_join, settle
 from .quotient_filter import add_up, merge, pack
 from .textvec import _FOLD, text_bytes, text_slices
 
@@ -96,6 +96,7 @@ def repeated_fingerprints(fps: DataFrame, block_bits: int = 11, flush: int = 1 <
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bits: int = 11) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    bounded_batches(docs)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     digests = settle(rows.mapInArrow(_digest, f"doc_id {kind}, fp long, sha string"), "digests")

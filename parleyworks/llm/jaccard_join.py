@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, small_enough
+from .common import bounded_batches, settle, small_enough
 from .textvec import NONSPACE, mix, shingle_sets, text_bytes, text_slices, word_hashes
 
 _SPARE = 12  # coordinates kept for further splits
@@ -263,6 +263,7 @@ def jaccard_join(
     docs: DataFrame, threshold: float = 0.8, shingle: int = 5, recall: float = 0.9995, depth: int = 3, limit: int = 256, branches: int = 3, rounds: int = 3, broadcast_sets: int = 1_000_000
 ) -> DataFrame:
     """doc_id, class_id, n_links (documents at the threshold or above, copies included), class_size of every row."""
+    bounded_batches(docs)
     runs = runs_needed(threshold, depth, recall)
     all_rows = settle(signatures(docs, shingle, runs * depth + _SPARE), "signatures")
     members = settle(

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold
+from .common import bounded_batches, bounded_sample, fold
 from .textvec import _FOLD, LETTERS, text_bytes, text_slices
 
 _BITS = 16
@@ -110,6 +110,7 @@ def infer(raw: np.ndarray, offsets: np.ndarray, model: np.ndarray, penalty: floa
 
 def detect_language(docs: DataFrame, model: tuple[list[str], np.ndarray] | None) -> DataFrame:
     """doc_id, lang_pred, score, langs (the chosen set with its proportions) of every row."""
+    bounded_batches(docs)
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")
     rows = docs.select("doc_id", has_letter, F.coalesce("text", F.lit("")).alias("text"))
     names, weights = model or (["und"], np.zeros((1 << _BITS, 1), np.float32))

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .textvec import ALNUM, hash_word, text_bytes, text_slices, word_hashes
 
 # The phrases of the contract and their labels.
@@ -139,6 +140,7 @@ class _Join:
 
 def license_scan(docs: DataFrame, threshold: float = 0.8, phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, str] = TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches (block, template, containment)."""
+    bounded_batches(docs)
     voc = _Vocabulary(phrases, templates)
     join = _Join(voc, word_frequencies(docs, voc), threshold)
     kind = docs.schema["doc_id"].dataType.simpleString()

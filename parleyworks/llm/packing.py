@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .textvec import mix, powers, text_bytes, text_slices
 
 #: Bytes before which a pre-token may start: blank, newline, tab, carriage return.
@@ -167,6 +168,7 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1) -> DataF
     """One row per piece: doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset."""
     if size < 1 or size & (size - 1):
         raise ValueError("size must be a power of two")
+    bounded_batches(docs)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 

@@ -24,6 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 _BLANK = "▁"
 
 
@@ -75,6 +77,7 @@ def count_long(model: Any, raw: bytes, chunk: int, overlap: int) -> int:
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 4096, chunk: int = 1 << 15, overlap: int = 256) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row, by the model at ``path``."""
+    bounded_batches(docs)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 

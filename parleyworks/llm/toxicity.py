@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold
+from .common import bounded_batches, bounded_sample, fold
 from .textvec import LETTERS, text_bytes, text_slices, word_hashes
 
 _BITS = 18
@@ -99,6 +99,7 @@ def _fit_bag(group: pa.Table, prior: float, features: int = 256) -> pa.Table:
 
 def train(docs: DataFrame, labels: DataFrame, bags: int = 4, positives: int = 4000, unlabelled: int = 16000) -> tuple[np.ndarray, float] | None:
     """The averaged weights by slot (2**18 of them, whatever the corpus) and bias; None without positives."""
+    bounded_batches(docs)
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("positive"))
     marks = marks.where(fold(F.col("doc_id")) != 0)
     n, n_pos = marks.agg(F.count(F.lit(1)), F.sum("positive")).first()
@@ -128,6 +129,7 @@ def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float] | None, name
     """``docs`` with ``name`` (double, 0 to 1) from the whole text."""
     if model is None:
         return docs.withColumn(name, F.lit(0.0))
+    bounded_batches(docs)
     weights, bias = model
     slots = np.flatnonzero(weights)
     values = weights[slots]
