@@ -70,3 +70,15 @@ def ngram_slots(x: Column, dims: int = 256, largest: int = 3) -> Column:
         return F.struct(at.cast("int").alias("slot"), sign.alias("sign"))
 
     return F.transform(every, slot)
+
+
+def json_body(x: Column) -> Column:
+    """What stands from the first { to the last }, of a reply that may say more; empty where there is none."""
+    return F.regexp_extract(x, r"(?s)\{.*\}", 0)
+
+
+def cache_key(text: Column, history: Column, most: int = 200, turns: int = 3, role: int = 20, content: int = 160) -> Column:
+    """A hash of the cut message and its last turns (role, content), for requests that may share an answer."""
+    last = F.slice(history, F.greatest(F.size(history) - turns + 1, F.lit(1)), F.lit(turns))
+    said = F.transform(last, lambda t: F.concat_ws(":", F.substring(t["role"], 1, role), F.substring(t["content"], 1, content)))
+    return F.md5(F.concat_ws("\x1f", F.substring(F.coalesce(text, F.lit("")), 1, most), F.array_join(said, "\x1f")))

@@ -1 +1,4 @@
+"""Registered queries."""
 
+from . import decisions as decisions
+from . import queries as queries

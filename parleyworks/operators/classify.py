@@ -77,3 +77,17 @@ def route(scores: Column, fallback: str = "general", least: float = 0.45, ratio:
     top = F.get(ranked, F.lit(0))
     near = F.filter(F.slice(ranked, 2, 100), lambda x: (x["domain"] != fallback) & (-x["neg"] >= least) & (-x["neg"] >= ratio * -top["neg"]))
     return F.struct(top["domain"].alias("primary"), F.array_join(F.transform(near, lambda x: x["domain"]), ",").alias("supporting"), F.round(F.least(-top["neg"], F.lit(1.0)), 3).alias("confidence"))
+
+
+def merge_branches(branches: DataFrame, key: str, order: str, failed: str, roles: tuple[str, str] = ("primary", "supporting")) -> DataFrame:
+    """(key, response, escalated) from branches (key, order, agent, is_primary, ok, content, escalate).
+
+    Contents that succeeded are joined, primary ones first; where none did, ``failed`` stands. A null
+    ``ok`` or content is a failure. A request is escalated if any of its branches is.
+    """
+    part = F.format_string("[%s - %s]\n%s", F.col("agent"), F.when(F.col("is_primary"), roles[0]).otherwise(roles[1]), F.col("content"))
+    good = F.col("ok") & F.col("content").isNotNull()
+    item = F.when(good, F.struct((~F.col("is_primary")).alias("later"), F.col(order).alias("at"), part.alias("part")))
+    out = branches.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("parts"), F.bool_or("escalate").alias("escalated"))
+    text = F.array_join(F.transform("parts", lambda x: x["part"]), "\n\n")
+    return out.select(key, F.when(F.size("parts") > 0, text).otherwise(F.lit(failed)).alias("response"), "escalated")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,3 +45,9 @@ def regressions(runs: DataFrame, tolerance: float = 0.05) -> DataFrame:
     w = Window.partitionBy("metric").orderBy("run")
     out = runs.withColumn("previous", F.lag("value").over(w)).where("previous > 0")
     return out.withColumn("delta", (F.col("value") - F.col("previous")) / F.col("previous")).where(F.col("delta") < -tolerance)
+
+
+def recommend(rules: Sequence[tuple[str, float, str]], none: str) -> Column:
+    """The advice of every rule (metric column, floor, advice) whose metric is below its floor, in order; a missing metric passes."""
+    advice = F.array_compact(F.array(*[F.when(F.coalesce(F.col(m), F.lit(1.0)) < floor, F.lit(text)) for m, floor, text in rules]))
+    return F.when(F.size(advice) > 0, advice).otherwise(F.array(F.lit(none)))

@@ -54,3 +54,61 @@ def multi_query(hits: DataFrame, key: str, content: list[str], k: int = 5) -> Da
     once = hits.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
     best = once.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("query_no", "rank")))
     return best.where(F.col("place") <= k)
+
+
+def knn_within(queries: DataFrame, corpus: DataFrame, k: int = 5, block: int = 8192) -> DataFrame:
+    """``knn`` among the rows with the query's own ``key``: (q_id, key, vec) against (id, key, vec).
+
+    Only distances within a key are computed, batch by batch, so the rows of a key never come
+    together and a hot key spreads over all tasks that read it. A null key has no neighbours.
+    """
+    n = queries.count()
+    parts = max(1, -(-n // block))
+    kind = corpus.schema["key"].dataType.simpleString()
+    out = None
+    for i in range(parts):
+        groups: dict = {}
+        for q_id, key, vec in queries.where(F.pmod(F.xxhash64("q_id"), F.lit(parts)) == i).select("q_id", "key", "vec").collect():  # about one block
+            groups.setdefault(key, []).append((q_id, vec))
+        blocks = {g: (np.array([q for q, _ in qs], np.int64), np.array([v for _, v in qs], np.float64)) for g, qs in groups.items() if g is not None}
+
+        def near(batches: Iterator[pa.RecordBatch], blocks=blocks) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                out_schema = pa.schema([("q_id", pa.int64()), ("key", batch.schema.field(1).type), ("id", pa.int64()), ("distance", pa.float64())])
+                coded = batch.column(1).dictionary_encode()
+                codes = coded.indices.fill_null(-1).to_numpy()
+                every = batch.column(0).to_numpy()
+                vectors = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(every), -1)
+                best = []
+                for code, key in enumerate(coded.dictionary.to_pylist()):
+                    ids, vecs = blocks.get(key, ((), ()))
+                    rows = np.flatnonzero(codes == code)
+                    own, x = every[rows], vectors[rows]
+                    for q, v in zip(ids, vecs, strict=True):
+                        d = np.round(((x - v) ** 2).sum(1), 6)
+                        best += [(q, key, own[t], d[t]) for t in np.lexsort((own, d))[: k + 1] if own[t] != q][:k]
+                yield pa.RecordBatch.from_pylist([dict(zip(out_schema.names, row, strict=True)) for row in best], out_schema)
+
+        found = corpus.select("id", "key", "vec").mapInArrow(near, f"q_id long, key {kind}, id long, distance double")
+        out = found if out is None else out.unionByName(found)
+    w = Window.partitionBy("q_id").orderBy("distance", "id")
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def rerank(hits: DataFrame, orders: DataFrame, key: str, k: int = 5) -> DataFrame:
+    """The hits (key, place from 0) in the order that a model gave, as ``rank`` from 1 to ``k``.
+
+    ``orders`` (key, order) lists places, best first. Places outside the list are passed over and a
+    repeated place repeats its hit. A key with ``k`` hits or fewer keeps its own order; without an
+    order (null or absent, a failed model) the first ``k`` stay.
+    """
+    sized = hits.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    asked = sized.join(orders.select(key, "order"), key, "left")
+    plain = (F.col("__n") <= k) | F.col("order").isNull()
+    own = F.when(plain, F.array(F.col("place").cast("int")))
+    given = F.transform(F.filter(F.col("order"), lambda p: (p >= 0) & (p < F.col("__n"))), lambda p: p.cast("int"))
+    spots = F.filter(F.transform(given, lambda p, i: F.when(p == F.col("place"), i)), lambda i: i.isNotNull())
+    out = asked.withColumn("__at", F.explode(F.coalesce(own, spots))).where(F.col("__at") < k)
+    return out.withColumn("rank", F.col("__at") + 1).drop("__n", "__at", "order")

@@ -111,3 +111,46 @@ def ttl_cache(calls: DataFrame, key: str, at: str, tie: str, ok: str, ttl: int =
         return (now + ttl, "stored") if good else (expiry, "missed")
 
     return fold_sorted(calls, key, [at, tie], lambda: 0, step, [at, ok], "outcome")
+
+
+def gauge(df: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:
+    """(key, value, samples): the last value of each key, by partial aggregation."""
+    return df.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value), F.count(F.lit(1)).alias("samples"))
+
+
+def best_instance(stats: DataFrame, group: str, instance: str, score: str) -> DataFrame:
+    """(group, instance, score): the instance with the best score; the smallest of equal ones."""
+    best = F.struct((-F.col(score)).alias("neg"), F.col(instance).alias("id"))
+    return stats.groupBy(group).agg(F.min(best).alias("b")).select(group, F.col("b.id").alias(instance), (-F.col("b.neg")).alias(score))
+
+
+def suggestions(tools: DataFrame, agents: DataFrame, streak: int = 3, rate: float = 0.85, calls: int = 10, most: int = 5) -> DataFrame:
+    """The ``most`` urgent suggestions (title, priority): tools (key, streak) that fail on, agents (key, total, success_rate) that fail often.
+
+    Equal titles count once. Of equal priority the smaller title comes first.
+    """
+    failing = tools.where(F.col("streak") >= streak).select(F.format_string("tool %s failed %d times in a row", F.col("key").cast("string"), F.col("streak")).alias("title"), F.lit(9).alias("priority"))
+    weak = agents.where((F.col("success_rate") < rate) & (F.col("total") > calls)).select(F.format_string("agent %s has a low success rate", F.col("key").cast("string")).alias("title"), F.lit(8).alias("priority"))
+    every = failing.unionByName(weak).groupBy("title").agg(F.max("priority").alias("priority"))
+    return every.orderBy(F.desc("priority"), "title").limit(most)
+
+
+def with_fallback(result: Column, ok: Column, fallback: Column, error: Column) -> Column:
+    """(result, success, error): a failed call gives its fallback as a success with the error's text; without one it fails."""
+    return F.when(ok, F.struct(result.alias("result"), F.lit(True).alias("success"), F.lit("").alias("error"))).otherwise(
+        F.struct(fallback.alias("result"), fallback.isNotNull().alias("success"), error.alias("error"))
+    )
+
+
+def feedback(ticks: DataFrame, key: str, tick: str, slow: float = 3000, scale: float = 10000) -> DataFrame:
+    """``penalty`` and ``score`` at each tick: lifetime totals, penalised by what the tick before has found.
+
+    ``ticks`` has total, success and sum_ms of each key and tick.
+    """
+    w = Window.partitionBy(key).orderBy(tick)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum("total").over(so_far)
+    out = ticks.withColumns({"rate": F.sum("success").over(so_far) / total, "ms": F.sum("sum_ms").over(so_far) / total})
+    out = out.withColumn("next", routing_penalty(F.col("rate"), F.col("ms"), slow, scale))
+    out = out.withColumn("penalty", F.coalesce(F.lag("next").over(w), F.lit(0.0)))
+    return out.withColumn("score", routing_score(F.col("rate"), F.col("ms"), F.col("penalty"))).drop("next")
