@@ -15,6 +15,10 @@ from parleyworks.llm.common import free_name, settle, small_enough, table
 #: No SQL: the classifier, the probabilistic join and the tokenizer have none.
 ORACLE_SQL = None
 
+#: The share of a source's documents beyond which a line is boilerplate. A source is no web host: it mixes
+#: many sites, so what repeats stands in about a tenth of it, and other lines in less than a twentieth.
+SOURCE_RATIO = 0.05
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned on these documents and the labels, doesn't call toxic."""
@@ -25,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that a large share of their source's documents has; none goes."""
-    left = line_dedup.line_dedup(docs, "source", "text")
+    left = line_dedup.line_dedup(docs, "source", "text", ratio=SOURCE_RATIO)
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

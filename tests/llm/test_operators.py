@@ -358,6 +358,16 @@ def test_pipeline(spark, small):
     assert cp.run(spark, small).count() > 0
 
 
+def test_pipeline_drops_lines_of_a_source(spark, small):
+    import corpus_pipeline as cp
+
+    rows = [(i, f"own {i}\n" + "repeated\n" * (i % 10 == 0) + "rare\n" * (i % 25 == 1) + f"end {i}", "en", "ab"[i % 2], 0) for i in range(400)]
+    rows += [(1000 + i, f"repeated\nfew {i}", "en", "c", 0) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in cp.drop_boilerplate(spark, docs, small).collect()}
+    assert got == {i: t.replace("repeated\n", "") if i < 1000 else t for i, t, *_ in rows}
+
+
 def test_pipeline_stages_odd(spark, small):
     import corpus_pipeline as cp
 
