@@ -34,10 +34,16 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near copies."""
-    joined = jaccard_join.jaccard_join(docs)
-    gone = settle(joined.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct(), "gone")
-    return docs.join(F.broadcast(gone) if small_enough(gone, 1_000_000) else gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    """One row of each class of near copies: that of the smallest id, null ids last, the first such row.
+
+    Rows are told apart by a written key, so null and repeated ids are rows like any other.
+    """
+    row = free_name(docs, "row")
+    keyed = settle(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
+    joined = jaccard_join.jaccard_join(keyed.select(order.alias("doc_id"), "text"))
+    gone = settle(joined.where(F.col("doc_id.row") != F.col("class_id.row")).select(F.col("doc_id.row").alias(row)), "gone")
+    return keyed.join(F.broadcast(gone) if small_enough(gone, 1_000_000) else gone, row, "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

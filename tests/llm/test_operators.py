@@ -368,6 +368,25 @@ def test_pipeline_drops_lines_of_a_source(spark, small):
     assert got == {i: t.replace("repeated\n", "") if i < 1000 else t for i, t, *_ in rows}
 
 
+@pytest.mark.parametrize(
+    "rows, want",
+    [
+        ([(None, "A b c"), (3, "a b c"), (None, None), (None, "x y z")], [(3, "a b c"), (None, None), (None, "x y z")]),
+        ([(3, "a b c"), (3, "a b c"), (5, "A b c")], [(3, "a b c")]),
+        ([(1, "a b c"), (7, "a b c"), (7, "x y z")], [(1, "a b c"), (7, "x y z")]),
+        ([(None, "a b c"), (None, "a b c"), (None, "a b c")], [(None, "a b c")]),
+        ([(-5, "x"), (2, "a b c"), (-4, "a b c"), (None, "")], [(-5, "x"), (-4, "a b c"), (None, "")]),
+    ],
+    ids=["null id with a copy", "repeated rows", "id with two texts", "null ids alone", "order of ids"],
+)
+def test_pipeline_near_copies_by_row(spark, small, rows, want):
+    import corpus_pipeline as cp
+
+    out = cp.drop_near_copies(spark, odd(spark, rows), small)
+    assert out.columns == odd(spark, []).columns
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(repr, want))
+
+
 def test_pipeline_stages_odd(spark, small):
     import corpus_pipeline as cp
 
