@@ -11,6 +11,10 @@ distinct words (containment). The join is exact:
 * positional filter: a first match at place i leaves n - i words, so i > n - k is out;
 * what passes is verified by counting.
 
+With ``runs`` a block is also every run of words, over line ends, that is as long as the template
+(its words counted with repeats). The same filters over whole texts leave few candidates, whose
+runs are then counted one by one. Templates of ``short`` are found in such runs only.
+
 The templates are few and given (a parameter), so they go to every task; the blocks are never
 moved. ``labels`` adds the labels of the templates found to those of the phrases.
 
@@ -48,6 +52,9 @@ TEMPLATES = {
     "rights-notice": "All rights reserved. No part of this publication may be reproduced without permission",
 }
 
+# Notices too short for a share of their words to tell them apart; all words stand together.
+SHORT = {"cc-by-nc": "CC BY-NC", "rights-reserved": "All rights reserved"}
+
 
 def _words(text: str) -> list[str]:
     low = "".join(c if c.isascii() and c.isalnum() or not c.isascii() else " " for c in text).lower()
@@ -138,10 +145,32 @@ class _Join:
         return b[found], t[found], score[found]
 
 
-def license_scan(docs: DataFrame, threshold: float = 0.8, phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, str] = TEMPLATES) -> DataFrame:
+def _best_run(has: np.ndarray, word: np.ndarray, length: int) -> tuple[int, int]:
+    """The most distinct words of a template in ``length`` words on, and where that run begins."""
+    at, own = np.flatnonzero(has), word[has]
+    inside: dict[int, int] = {}
+    best, begin, lo = 0, 0, 0
+    for hi in range(len(at)):
+        inside[own[hi]] = inside.get(own[hi], 0) + 1
+        while at[hi] - at[lo] >= length:
+            inside[own[lo]] -= 1
+            if not inside[own[lo]]:
+                del inside[own[lo]]
+            lo += 1
+        if len(inside) > best:
+            best, begin = len(inside), int(at[lo])
+    return best, begin
+
+
+def license_scan(
+    docs: DataFrame, threshold: float = 0.8, phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, str] = TEMPLATES, runs: bool = False, short: Mapping[str, str] = {}
+) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches (block, template, containment)."""
     bounded_batches(docs)
-    voc = _Vocabulary(phrases, templates)
+    every = {**templates, **short}
+    voc = _Vocabulary(phrases, every)
+    lengths = [len(_words(t)) for t in every.values()]
+    by_line = len(templates)
     join = _Join(voc, word_frequencies(docs, voc), threshold)
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = voc.labels
@@ -176,6 +205,8 @@ def license_scan(docs: DataFrame, threshold: float = 0.8, phrases: Mapping[str,
                 pairs = np.unique(block[known].astype(np.int64) * len(voc.words) + ids[known])
                 n_blocks = int(block[-1]) + 1 if len(block) else 1
                 b, t, c = join.matches(pairs // len(voc.words), pairs % len(voc.words), np.bincount(block, minlength=n_blocks))
+                by_lines = t < by_line
+                b, t, c = b[by_lines], t[by_lines], c[by_lines]
                 extra = [set(x) for x in base]
                 spot: list[list] = [[] for _ in range(hi - lo)]
                 score = (n_base > 0).astype(float)
@@ -187,6 +218,22 @@ def license_scan(docs: DataFrame, threshold: float = 0.8, phrases: Mapping[str,
                         extra[row].add(names[tpl])
                         spot[row].append({"line": int(line), "template": names[tpl], "containment": float(con)})
                         score[row] = max(score[row], con)
+                if runs or short:
+                    pairs = np.unique(row_of_word[known].astype(np.int64) * len(voc.words) + ids[known])
+                    at_rows, tpls, _ = join.matches(pairs // len(voc.words), pairs % len(voc.words), counts)
+                    for row, tpl in zip(at_rows.tolist(), tpls.tolist(), strict=True):
+                        if tpl < by_line and not runs:
+                            continue
+                        own = ids[begins[row] : ends[row]]
+                        most, begin = _best_run((own >= 0) & join.member[own, tpl], own, lengths[tpl])
+                        if most < join.need[tpl]:
+                            continue
+                        con = most / join.size[tpl]
+                        score[row] = max(score[row], con)
+                        if not any(x["template"] == names[tpl] for x in spot[row]):
+                            line = block[begins[row] + begin] - block[begins[row]]
+                            spot[row].append({"line": int(line), "template": names[tpl], "containment": float(con)})
+                        extra[row].add(names[tpl])
                 cols[0] += counts.tolist()
                 cols[1] += n_base.tolist()
                 cols[2] += [x if x >= 0 else None for x in first.tolist()]

@@ -57,6 +57,11 @@ def op10_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.buckets(pieces.select(*PIECES))
 
 
+def op7_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7_license_scan with notices wrapped over lines, and with the short ones."""
+    return license_scan.license_scan(table(spark, sf_dir, "documents"), runs=True, short=license_scan.SHORT).drop("matches")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -70,6 +75,7 @@ QUERIES: dict[str, Query] = {
         op8_exact_dedup,
         op9_site_line_dedup,
         op10_power_of_two_packing,
+        op7_license_notices,
     )
 }
 
@@ -147,6 +153,34 @@ FROM base LEFT JOIN found USING (r) LEFT JOIN extra USING (r)
 """
 
 
+def _op7_notices() -> str:
+    values = [(k, v, by_line) for by_line, x in ((True, license_scan.TEMPLATES), (False, license_scan.SHORT)) for k, v in x.items()]
+    templates = ", ".join("('{}', '{}', {})".format(k, v.replace("'", "''"), b) for k, v, b in values)
+    phrases = ", ".join(f"('{k}', '{v}')" for k, v in license_scan.PHRASES.items())
+    return f"""
+WITH templates AS (
+  SELECT label, by_line, len(bw) AS l, list_distinct(bw) AS tw, greatest(1, ceil(0.8 * len(list_distinct(bw)) - 1e-9)) AS need
+  FROM (SELECT label, by_line, {_WORDS % "body"} AS bw FROM (VALUES {templates}) v(label, body, by_line))),
+phrases AS (SELECT string_split(body, ' ') AS pw, label FROM (VALUES {phrases}) v(body, label)),
+base AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_WORDS % "coalesce(text, '')"} AS w FROM documents),
+starts AS (SELECT r, w, unnest(range(0, len(w))) AS i FROM base),
+places AS (SELECT r, i, label FROM starts JOIN phrases ON w[i+1] = pw[1] WHERE list_slice(w, i + 1, i + len(pw)) = pw),
+found AS (SELECT r, count(*) AS n, min(i) AS a, max(i) AS b, list(DISTINCT label) AS labels FROM places GROUP BY r),
+lines AS (SELECT r, {_WORDS % "line"} AS x FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM base)),
+candidates AS (SELECT r, w, label, tw, l, need FROM base, templates WHERE len(list_intersect(tw, w)) >= need),
+runs AS (SELECT r, label, tw, need, list_slice(w, i, i + l - 1) AS x FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM candidates)),
+near AS (
+  SELECT r, label, len(list_intersect(tw, x)) / len(tw) AS c FROM lines, templates WHERE by_line AND len(list_intersect(tw, x)) >= need
+  UNION ALL SELECT r, label, len(list_intersect(tw, x)) / len(tw) FROM runs WHERE len(list_intersect(tw, x)) >= need),
+extra AS (SELECT r, list(DISTINCT label) AS labels, max(c) AS c FROM near GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, b::BIGINT AS last_word,
+  coalesce(array_to_string(list_sort(found.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(found.labels, []), coalesce(extra.labels, [])))), ','), '') AS labels,
+  greatest(CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE 0 END, coalesce(c, 0))::DOUBLE AS score
+FROM base LEFT JOIN found USING (r) LEFT JOIN extra USING (r)
+"""
+
+
 _OP8 = """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
@@ -177,4 +211,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_license_scan": _op7(),
     "op8_exact_dedup": _OP8,
     "op9_site_line_dedup": _OP9,
+    "op7_license_notices": _op7_notices(),
 }

@@ -277,6 +277,19 @@ def test_license_odd(spark):
     assert (one.n_words, one.n_base, one.first_word, one.last_word, one.base_labels) == (5, 2, 1, 3, "mit")
 
 
+def test_notices_over_lines(spark, tmp_path):
+    wrapped = [" * " + "\n * ".join(" ".join(t.split()[i : i + 6]) for i in range(0, len(t.split()), 6)) for t in license_scan.TEMPLATES.values()]
+    rows = list(enumerate([*wrapped, "x\nAll rights\nreserved. y", "Licensed under CC BY-NC 4.0.", "Licensed under CC BY-SA 4.0", "all the rights are reserved", "", None]))
+    rows += [(100, "lead words\n" * 40 + wrapped[0] + "\ntail " * 40), (101, "\nfill in the gap here\n".join(wrapped[2].split("\n"))), (102, " ".join(f"{x} gap gap" for x in wrapped[0].replace("\n", " ").split()))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: set(r.labels.split(",")) for r in QUERIES["op7_license_notices"](spark, str(tmp_path)).collect()}
+    n = len(wrapped)
+    assert all(name in got[i] for i, name in enumerate(license_scan.TEMPLATES))
+    assert got[n] == {"rights-reserved"} and got[n + 1] == {"cc-by-nc"} and all(got[i] == {""} for i in range(n + 2, n + 6))
+    assert "mit-notice" in got[100] and "gpl-notice" not in got[101]
+    assert differences(QUERIES["op7_license_notices"](spark, str(tmp_path)), ORACLE_SQL["op7_license_notices"], str(tmp_path)) == []
+
+
 # ---- 8 exact dedup
 
 
