@@ -72,7 +72,7 @@ def line_dedup(
     return joined.withColumns(out).drop(site, drop, left)
 
 
-def page_line_dedup(pages: DataFrame) -> DataFrame:
+def page_line_dedup(pages: DataFrame, min_pages: int = 5) -> DataFrame:
     """page_id, host, n_dropped, text of every page: its lines without its site's boilerplate."""
     rows = pages.select("page_id", url_host(F.col("url")).alias("host"), html_lines(F.col("html")).alias("text"))
-    return line_dedup(rows, "host", "text", ratio=0.3, min_pages=5, dropped="n_dropped").select("page_id", "host", "n_dropped", "text")
+    return line_dedup(rows, "host", "text", ratio=0.3, min_pages=min_pages, dropped="n_dropped").select("page_id", "host", "n_dropped", "text")

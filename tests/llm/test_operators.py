@@ -314,6 +314,16 @@ def test_line_dedup_odd(spark):
     assert line_dedup.line_dedup(odd(spark), "source", "text", broadcast_hosts=0).count() == 11
 
 
+def test_line_dedup_of_small_and_large_sites(spark, tmp_path):
+    hosts = {"two": 2, "three": 3, "four": 4, "large": 20}
+    rows = [(f"{h}{i}", f"https://{h}.example/{i}", f"<p>footer</p><p>{'some' if i < 3 else 'other'}</p><p>own {h} {i}</p>") for h, n in hosts.items() for i in range(n)]
+    spark.createDataFrame(rows, "page_id string, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.n_dropped for r in QUERIES["op9_small_site_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {p: 0 if p[:3] == "two" else 2 if p[:-1] in ("three", "four") and p != "four3" else 1 if p[:4] != "larg" else 2 if int(p[5:]) >= 3 else 1 for p, *_ in rows}
+    for name in ("op9_site_line_dedup", "op9_small_site_line_dedup"):
+        assert differences(QUERIES[name](spark, str(tmp_path)), ORACLE_SQL[name], str(tmp_path)) == []
+
+
 # ---- 10 packing
 
 
