@@ -8,12 +8,15 @@ padded: a batch is drawn from one bucket.
 Ids are those of the ``tokenizers`` library. A text is cut before each white-space byte that a
 visible character follows. The byte-level pattern always starts a pre-token there (of a run of
 white space the last one stands apart), so what lies between two cuts has the same ids wherever it
-stands: it is encoded once per task and kept (the table is emptied at ``keep`` entries). That no
-token crosses a cut is checked whenever stretches are encoded.
-
-Defined results: null text counts as empty and packs as the end id alone; rows that repeat are
-packed each, with sequence ids of their own; sequence ids are unique and repeat when a task is run
-again over the same input; an empty table gives an empty result; further columns are not read.
+stands: it is encoded once per task and kept with its bytes (the table is emptied at ``keep``
+entries). That no token crosses a cut is checked whenever stretches are encoded, and the bytes of
+every stretch are compared with those kept; rows whose stretches differ are encoded whole.
+
+Defined results: null text counts as empty and packs as the end id alone; a text may begin and end
+in any white space, whatever the next row begins with; rows that repeat are packed each, with
+sequence ids of their own; sequence ids are unique and repeat when a task is run again over the same
+input; a long text is encoded in pieces of about 1 MB that end at cuts; an empty table gives an
+empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -41,8 +44,11 @@ _VISIBLE[0x21:0x7F] = _VISIBLE[0xC3:0xE1] = _VISIBLE[0xE4:0xF5] = True
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> tuple[Any, np.ndarray]:
-    """An encoder with the vocabulary of a byte-level ``tokenizers`` file, and the bytes of every id.
+def load(path: str) -> tuple[Any, np.ndarray, np.ndarray]:
+    """An encoder with the vocabulary of a byte-level ``tokenizers`` file, the length of every id, and the bytes that end a run at a cut.
+
+    A special string is taken out of the text first, so white space before it is a run of its own:
+    there is no cut before what special strings begin with.
 
     The file's ids are its merge ranks, so the ranks are read from its vocabulary. The faster
     library gives the ids that ``tokenizers`` gives; that is asserted here on a few strings and
@@ -64,55 +70,56 @@ def load(path: str) -> tuple[Any, np.ndarray]:
     sizes = np.zeros(model.get_vocab_size(), np.int64)
     for token, i in [*ranks.items(), *((k.encode(), v) for k, v in special.items())]:
         sizes[i] = len(token)
-    return fast, sizes
+    visible = _VISIBLE.copy()
+    visible[[k.encode()[0] for k in special]] = False
+    return fast, sizes, visible
 
 
 class Encoder:
-    """Ids of texts, with the ids of recurring stretches kept by the stretches' 64-bit hashes."""
+    """Ids of texts, with recurring stretches and their ids kept by the stretches' 64-bit hashes."""
 
     def __init__(self, path: str, keep: int = 1_000_000):
-        (self.model, self.token_bytes), self.keep = load(path), keep
+        (self.model, self.token_bytes, self.visible), self.keep = load(path), keep
         self._clear()
 
     def _clear(self) -> None:
-        self.hashes, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.hashes = np.zeros(0, np.uint64)
+        self.starts, self.sizes, self.places, self.lengths = (np.zeros(0, np.int64) for _ in range(4))
+        self.ids, self.bytes = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
 
     def _ids(self, raw: bytes) -> np.ndarray:
         return self.model.encode_to_numpy(raw.decode(), allowed_special="all")
 
-    def _learn(self, hashes: np.ndarray, parts: list[np.ndarray], alone: list[bytes]) -> None:
-        """Add stretches: ``parts`` begin with white space and are encoded in one go, ``alone`` one by one."""
-        ids = self._ids(b"".join(p.tobytes() for p in parts))
-        ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
+    def _learn(self, hashes: np.ndarray, joined: list[np.ndarray], alone: list[np.ndarray]) -> None:
+        """Add stretches: ``joined`` begin with white space and are encoded in one go, ``alone`` one by one."""
+        parts = [*joined, *alone]
+        lengths = np.array([len(p) for p in parts], np.int64)
+        ids = self._ids(b"".join(p.tobytes() for p in joined))
+        ends = np.cumsum(lengths[: len(joined)])
         token_ends = np.cumsum(self.token_bytes[ids])
         z = np.searchsorted(token_ends, ends) + 1
-        if len(parts) and not np.array_equal(token_ends[z - 1], ends):
+        if len(joined) and not np.array_equal(token_ends[z - 1], ends):
             raise ValueError("a token crosses a cut")
-        single = [self._ids(x) for x in alone]
+        single = [self._ids(x.tobytes()) for x in alone]
         sizes = np.r_[np.diff(z, prepend=0), [len(x) for x in single]].astype(np.int64)
         starts = len(self.ids) + np.cumsum(sizes) - sizes
-        self.ids = np.concatenate([self.ids, ids, *single])
+        places = len(self.bytes) + np.cumsum(lengths) - lengths
+        self.ids, self.bytes = np.concatenate([self.ids, ids, *single]), np.concatenate([self.bytes, *parts])
         order = np.argsort(hashes)
         at = np.searchsorted(self.hashes, hashes[order])
-        self.hashes = np.insert(self.hashes, at, hashes[order])
-        self.starts = np.insert(self.starts, at, starts[order])
-        self.sizes = np.insert(self.sizes, at, sizes[order])
+        for name, new in (("hashes", hashes), ("starts", starts), ("sizes", sizes), ("places", places), ("lengths", lengths)):
+            setattr(self, name, np.insert(getattr(self, name), at, new[order]))
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, and how many each row has. A row of over ``most`` bytes goes in pieces that end at cuts."""
         if len(offsets) == 2 and len(raw) > most:
             ids, lo = [], 0
             while lo < len(raw):
-                hi = min(lo + most, len(raw))
-                if hi < len(raw):
-                    seen = raw[lo : hi + 1]
-                    cuts = np.flatnonzero(_SPACE[seen[1:-1]] & _VISIBLE[seen[2:]])
-                    while not len(cuts) and hi < len(raw):  # no cut so far
-                        hi = min(hi + most, len(raw))
-                        seen = raw[lo : hi + 1]
-                        cuts = np.flatnonzero(_SPACE[seen[1:-1]] & _VISIBLE[seen[2:]])
-                    hi = lo + 1 + int(cuts[-1]) if len(cuts) and hi < len(raw) else hi
+                hi, cuts = lo, np.zeros(0, np.int64)
+                while not len(cuts) and hi < len(raw):  # farther where there is no cut so far
+                    hi = min(hi + most, len(raw))
+                    cuts = np.flatnonzero(_SPACE[raw[lo + 1 : hi]] & self.visible[raw[lo + 2 : hi + 1]]) if hi < len(raw) else cuts
+                hi = lo + 1 + int(cuts[-1]) if len(cuts) else hi
                 ids.append(self._encode(raw[lo:hi], np.array([0, hi - lo]), lo == 0)[0])
                 lo = hi
             ids = np.concatenate(ids)
@@ -122,12 +129,14 @@ class Encoder:
     def _encode(self, raw: np.ndarray, offsets: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
         if not len(raw):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        some = np.diff(offsets) > 0
+        tops = offsets[:-1][some]
         cut = np.zeros(len(raw), bool)
-        cut[:-1] = _SPACE[raw[:-1]] & _VISIBLE[raw[1:]]
-        tops = offsets[:-1][np.diff(offsets) > 0]
+        cut[:-1] = _SPACE[raw[:-1]] & self.visible[raw[1:]]
+        cut[offsets[1:][some] - 1] = False  # what follows a row's last byte is another text
+        cut[tops] = True
         own = np.zeros(len(raw), bool)
         own[tops] = whole  # what a text begins with has no cut before it
-        cut[tops] = True
         s = np.flatnonzero(cut)
         e = np.r_[s[1:], len(raw)]
         up, down = powers(len(raw) + 1)
@@ -145,13 +154,13 @@ class Encoder:
             new = np.flatnonzero(~known)
             top = own[s[first[new]]]
             joined, single = new[~top], new[top]
-            self._learn(
-                np.r_[distinct[joined], distinct[single]],
-                [raw[s[i] : e[i]] for i in first[joined]],
-                [raw[s[i] : e[i]].tobytes() for i in first[single]],
-            )
+            self._learn(np.r_[distinct[joined], distinct[single]], *([raw[s[i] : e[i]] for i in first[x]] for x in (joined, single)))
             at = np.searchsorted(self.hashes, distinct)
         at = at[inverse]
+        lengths = self.lengths[at]
+        if not np.array_equal(lengths, e - s) or not np.array_equal(self.bytes[np.arange(len(raw)) + np.repeat(self.places[at] - s, lengths)], raw):
+            every = [self._ids(raw[a:z].tobytes()) for a, z in zip(offsets[:-1], offsets[1:], strict=True)]  # two stretches with one hash
+            return np.concatenate(every), np.array([len(x) for x in every])
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         index = np.arange(int(ends[-1])) + np.repeat(self.starts[at] - (ends - sizes), sizes)

@@ -354,6 +354,29 @@ def test_encoder_gives_the_ids_of_the_library(texts, most):
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [model.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_packing_of_texts_that_end_in_white_space(spark):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(BPE)
+    ends = ["", " ", "  ", "\n", "\n\n", " \n", "\t\t", "\r\n\r\n", "\xa0 ", "　　", "  <|endoftext|>", "<|endoftext|>\n\n"]
+    texts = [f"{a}{word}{b}" for word in ("", "c", "a b") for a in ends for b in ends]
+    got: dict[int, list] = {}
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), BPE).orderBy("doc_id", "start").collect()
+    for r in rows:
+        got.setdefault(r.doc_id, []).extend(r.ids)
+        assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+    assert got == {i: [*model.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+
+
+def test_encoder_compares_bytes_where_hashes_are_equal(monkeypatch):
+    monkeypatch.setattr(packing, "mix", np.zeros_like)
+    texts = ["abc def ghi", "abc def ghj", "", "xyz\n\n", "abc"]
+    encoder = packing.Encoder(BPE)
+    for part in (texts, texts[3:]):
+        ids, counts = encoder.encode(*textvec.text_bytes(pa.array(part, pa.large_string())))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [encoder.model.encode(t) for t in part]
+
+
 def test_packing_odd(spark):
     rows = packing.buckets(packing.pack(odd(spark), BPE)).collect()
     assert [(r.start, r.length, r.ids) for r in rows if r.doc_id == 2] == [(0, 1, [1])] and len({r.sequence_id for r in rows}) == len(rows)
