@@ -38,6 +38,15 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more."""
+    for df in tables:
+        spark, folders = df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        for folder in folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_enough(df: DataFrame, limit: int) -> bool:
     """Whether a settled table has at most ``limit`` rows; the check that stands before every broadcast."""
     return df.limit(limit + 1).count() <= limit

@@ -214,7 +214,7 @@ def near_rows(seed=3):
     return [(i, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("options", [{}, {"limit": 16}, {"limit": 8, "broadcast_sets": 0}])
+@pytest.mark.parametrize("options", [{}, {"limit": 16, "block": 16}, {"limit": 8, "block": 8, "broadcast_sets": 0}, {"limit": 8, "block_tokens": 1000}])
 def test_join_against_brute_force(spark, options):
     rows = near_rows()
     want, label = Counter(), list(range(len(rows)))
@@ -242,6 +242,20 @@ def test_join_odd(spark):
 
 def test_recall_is_that_of_the_runs():
     assert 1 - (1 - 0.8**3) ** jaccard_join.runs_needed(0.8, 3, 0.9995) >= 0.9995
+    rng, n, runs, spare = np.random.default_rng(0), 200_000, jaccard_join.runs_needed(0.8, 3, 0.9995), jaccard_join._SPARE
+    equal = rng.random((n, spare)) < 0.8
+    meet = (rng.random((n, runs, 3)) < 0.8).all(2)
+    for _ in range(3):  # splits on three neighbouring coordinates that every run shares
+        at = rng.integers(0, spare, (n, runs))
+        meet &= np.any([np.take_along_axis(equal, (at + j) % spare, 1) for j in range(3)], 0)
+    assert meet.any(1).mean() > 0.9994
+
+
+def test_overlap_counts_shared_items():
+    rng = random.Random(6)
+    sets = [rng.sample(range(5000), rng.randint(0, 3000)) for _ in range(7)]
+    got = jaccard_join._overlap(np.repeat(np.arange(7), [len(x) for x in sets]), np.array([i for x in sets for i in x]), 7, 100)
+    assert all(got[i, j] == len(set(a) & set(b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
 
 
 # ---- 7 licenses
