@@ -6,10 +6,11 @@ number in [0, 1) that a hash of the seed and its id gives: its count is the numb
 P(X <= k) <= u. It is exploded by the count, and the copies are shuffled globally: dealt out and
 sorted by a hash of seed, id and copy number.
 
-The distribution is worked out once for each source, in logarithms, to ``mean + 12 * sqrt(mean) +
-30`` terms (the rest weighs less than a double can tell), so a document only looks its number up.
-The table of sources is broadcast up to ``broadcast_sources`` sources, else joined by key (AQE
-splits a hot source).
+The distribution is worked out once for each source, as a running sum over the terms within 12
+standard deviations and 30 of the mean (the rest weighs less than a double can tell), so its size
+and work grow with the root of the mean, and a document finds its number by binary search. The table
+of sources is broadcast up to ``broadcast_terms`` terms, else joined by key (AQE splits a hot
+source).
 
 Defined results: null text has no characters; a source without characters has rate 0 and gives no
 rows; null sources are one source; a source that the weights leave out has weight 0; rows that
@@ -22,10 +23,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, settle, small_enough
+from .common import free_name, settle
 
 DIGITS = 13  # hexadecimal digits of a hash: 52 bits, whole in a double
 
@@ -36,20 +37,30 @@ def uniform(seed: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, DIGITS), 16, 10).cast("double") / F.lit(float(16**DIGITS))
 
 
-def poisson_cdf(mean: Column) -> Column:
-    """P(X <= k) for k = 0, 1, ... as an array."""
-    terms = (F.ceil(mean + 12 * F.sqrt(mean)) + 30).cast("int")
-    step = F.aggregate(
-        F.sequence(F.lit(1), terms),
-        F.struct((-mean).alias("log_p"), F.exp(-mean).alias("sum"), F.array(F.exp(-mean)).alias("cdf")),
-        lambda acc, k: F.struct(
-            (acc["log_p"] + F.log(mean) - F.log(k.cast("double"))).alias("log_p"),
-            (acc["sum"] + F.exp(acc["log_p"] + F.log(mean) - F.log(k.cast("double")))).alias("sum"),
-            F.concat(acc["cdf"], F.array(acc["sum"] + F.exp(acc["log_p"] + F.log(mean) - F.log(k.cast("double"))))).alias("cdf"),
-        ),
-        lambda acc: acc["cdf"],
+def poisson_cdf(rates: DataFrame) -> DataFrame:
+    """(source, least, cdf) from (source, rate): P(X <= k) for k = least, least + 1, ... as an array.
+
+    A term is the one before times mean / k. Their running product starts at 1 and is divided by its sum.
+    """
+    reach = 12 * F.sqrt("rate") + 30
+    least = F.greatest(F.floor(F.col("rate") - reach), F.lit(0)).cast("long")
+    terms = rates.withColumns({"least": least, "k": F.explode(F.sequence(least, F.when(F.col("rate") > 0, F.ceil(F.col("rate") + reach)).otherwise(0).cast("long")))})
+    running = Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    log_p = F.when(F.col("k") > F.col("least"), F.log(F.col("rate") / F.col("k"))).otherwise(0.0)
+    weights = terms.withColumn("p", F.exp(F.sum(log_p).over(running))).withColumn("c", F.sum("p").over(running))
+    by_source = weights.groupBy("source", "least").agg(F.array_sort(F.collect_list(F.struct("k", "c"))).alias("every"))
+    return by_source.select("source", "least", F.transform("every", lambda x: x["c"] / F.element_at("every", -1)["c"]).alias("cdf"))
+
+
+def places_up_to(ordered: Column, x: Column) -> Column:
+    """How many entries of an ascending array are at most ``x``, by binary search."""
+    step = lambda at, _: F.struct(
+        F.when(F.get(ordered, ((at["lo"] + at["hi"]) / 2).cast("int")) <= x, ((at["lo"] + at["hi"]) / 2).cast("int") + 1).otherwise(at["lo"]).alias("lo"),
+        F.when(F.get(ordered, ((at["lo"] + at["hi"]) / 2).cast("int")) <= x, at["hi"]).otherwise(((at["lo"] + at["hi"]) / 2).cast("int")).alias("hi"),
     )
-    return F.when(mean > 0, step).otherwise(F.array(F.lit(1.0)))
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size(ordered) + 1)).cast("int") + 1)
+    # a range of one place stays: its middle is past the end, where null is not at most x
+    return F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), F.size(ordered).alias("hi")), step, lambda at: at["lo"])
 
 
 def rates(docs: DataFrame, weights: Mapping[str, float] | None, alpha: float, epochs: float) -> DataFrame:
@@ -75,15 +86,16 @@ def mix(
     epochs: float = 1.0,
     seed: str = "mix",
     added: tuple[str, str, str] = ("copy_no", "copies", "shuffle_key"),
-    broadcast_sources: int = 10_000,
+    broadcast_terms: int = 2_000_000,
 ) -> DataFrame:
     """``docs`` replicated to the target weights, in random order, with the copy's number (from 1), the copies and the shuffle key."""
     copy_no, copies, key = added
     name = free_name(docs, "__mx")
-    source, cdf, u = f"{name}source", f"{name}cdf", f"{name}u"
-    table = settle(rates(docs, weights, alpha, epochs).select(F.col("source").alias(source), poisson_cdf(F.col("rate")).alias(cdf)), "rates")
-    joined = docs.drop(*added).join(F.broadcast(table) if small_enough(table, broadcast_sources) else table, F.col("source").eqNullSafe(F.col(source)), "left")
-    joined = joined.withColumn(u, uniform(seed, F.col("doc_id"))).withColumn(copies, F.size(F.filter(cdf, lambda c: c <= F.col(u))))
-    copied = joined.drop(source, cdf, u).where(F.col(copies) > 0).withColumn(copy_no, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    source, least, cdf, u = f"{name}source", f"{name}least", f"{name}cdf", f"{name}u"
+    table = settle(poisson_cdf(rates(docs, weights, alpha, epochs)).toDF(source, least, cdf), "rates")
+    small = (table.agg(F.sum(F.size(cdf) + 8)).first()[0] or 0) <= broadcast_terms
+    joined = docs.drop(*added).join(F.broadcast(table) if small else table, F.col("source").eqNullSafe(F.col(source)), "left")
+    joined = joined.withColumn(u, uniform(seed, F.col("doc_id"))).withColumn(copies, (F.col(least) + places_up_to(F.col(cdf), F.col(u))).cast("int"))
+    copied = joined.drop(source, least, cdf, u).where(F.col(copies) > 0).withColumn(copy_no, F.explode(F.sequence(F.lit(1), F.col(copies))))
     text = F.concat_ws(":", F.lit(f"{seed}-order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col(copy_no).cast("string"))
     return copied.withColumn(key, F.md5(text)).repartition(key).sortWithinPartitions(key)
