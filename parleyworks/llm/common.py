@@ -69,12 +69,11 @@ def bounded_sample(df: DataFrame, group: str, key: str, limit: int, seed: int =
     row is moved to choose it. At most ``limit`` plus its sampling error (a few of its square
     roots) stay.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(group).count().collect()}
+    value, rate = free_name(df, "sample_value"), free_name(df, "sample_rate")
+    rates = settle(df.groupBy(F.col(group).alias(value)).agg((F.lit(float(limit)) / F.count(F.lit(1))).alias(rate)), "sample-rates")
     spread = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    keep = F.lit(False)
-    for value, n in counts.items():
-        keep = keep | (F.col(group).eqNullSafe(F.lit(value)) & (spread < F.lit(min(1.0, limit / n))))
-    return df.where(keep)
+    rated = df.join(F.broadcast(rates) if small_enough(rates, 1_000_000) else rates, F.col(group).eqNullSafe(F.col(value)))
+    return rated.where(spread < F.col(rate)).drop(value, rate)
 
 
 def free_name(df: DataFrame, name: str) -> str:
