@@ -1,6 +1,7 @@
 """License scan: phrases at base, and an exact set-similarity join of text blocks with templates.
 
-Words are runs of ASCII letters, digits and bytes beyond ASCII, A-Z lower-cased. A block is a line.
+Words are runs of ASCII letters, digits and bytes beyond ASCII, A-Z lower-cased. A block is a line,
+or any run of words (below).
 A template is found in a block where the block holds at least ``threshold`` of the template's
 distinct words (containment). The join is exact:
 
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Mapping
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +54,9 @@ TEMPLATES = {
     "rights-notice": "All rights reserved. No part of this publication may be reproduced without permission",
 }
 
+#: Whole texts of short licenses and the notices of long ones, a file each, by label.
+TEXTS = {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+
 # Notices too short for a share of their words to tell them apart; all words stand together.
 SHORT = {"cc-by-nc": "CC BY-NC", "rights-reserved": "All rights reserved"}
 
