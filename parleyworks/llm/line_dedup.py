@@ -2,7 +2,8 @@
 
 A line counts once for each page of its host that holds it; where it is on more than ``ratio`` of
 the host's pages, and on ``min_pages`` at least, it is boilerplate and goes from every page of that
-host. Lines are compared without surrounding blanks, tabs and carriage returns; blank lines stay.
+host. A line of one page alone never repeats, so the least floor is two. Lines are compared without
+surrounding blanks, tabs and carriage returns; blank lines stay.
 
 A page counts each distinct line once before the shuffle, which moves 128-bit hashes, not lines,
 with partial counts. A host's boilerplate has at most (lines of its pages on average) / ``ratio``
@@ -55,7 +56,7 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float, min_pages:
 
 
 def line_dedup(
-    pages: DataFrame, host: str, text: str, ratio: float = 0.3, min_pages: int = 5, dropped: str | None = None, broadcast_hosts: int = 20_000
+    pages: DataFrame, host: str, text: str, ratio: float = 0.3, min_pages: int = 2, dropped: str | None = None, broadcast_hosts: int = 20_000
 ) -> DataFrame:
     """``pages`` with the boilerplate lines gone from ``text``; ``dropped`` names a column of their number."""
     name = free_name(pages, "__ld")
@@ -72,7 +73,7 @@ def line_dedup(
     return joined.withColumns(out).drop(site, drop, left)
 
 
-def page_line_dedup(pages: DataFrame, min_pages: int = 5) -> DataFrame:
+def page_line_dedup(pages: DataFrame, min_pages: int = 2) -> DataFrame:
     """page_id, host, n_dropped, text of every page: its lines without its site's boilerplate."""
     rows = pages.select("page_id", url_host(F.col("url")).alias("host"), html_lines(F.col("html")).alias("text"))
     return line_dedup(rows, "host", "text", ratio=0.3, min_pages=min_pages, dropped="n_dropped").select("page_id", "host", "n_dropped", "text")

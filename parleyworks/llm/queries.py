@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +41,8 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.license_scan(table(spark, sf_dir, "documents")).drop("matches")
+    templates = license_scan.TEMPLATES | license_scan.TEXTS
+    return license_scan.license_scan(table(spark, sf_dir, "documents"), templates=templates, runs=True, short=license_scan.SHORT).drop("matches")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,12 +59,12 @@ def op10_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op7_license_scan with notices wrapped over lines, and with the short ones."""
+    """op7_license_scan with opening sentences and short notices alone."""
     return license_scan.license_scan(table(spark, sf_dir, "documents"), runs=True, short=license_scan.SHORT).drop("matches")
 
 
 def op9_small_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op9_site_line_dedup with the floor at three pages, so that hosts of three and four pages count too."""
+    """op9_site_line_dedup with a floor of three pages, so that two copies of a page leave each other alone."""
     return line_dedup.page_line_dedup(table(spark, sf_dir, "pages"), min_pages=3)
 
 
@@ -136,31 +137,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 _WORDS = r"list_filter(regexp_split_to_array(translate(%s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
 
-def _op7() -> str:
-    templates = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in license_scan.TEMPLATES.items())
-    phrases = ", ".join(f"('{k}', '{v}')" for k, v in license_scan.PHRASES.items())
-    return f"""
-WITH templates AS (SELECT label, list_distinct({_WORDS % "body"}) AS tw FROM (VALUES {templates}) v(label, body)),
-phrases AS (SELECT string_split(body, ' ') AS pw, label FROM (VALUES {phrases}) v(body, label)),
-base AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_WORDS % "coalesce(text, '')"} AS w FROM documents),
-starts AS (SELECT r, w, unnest(range(0, len(w))) AS i FROM base),
-places AS (SELECT r, i, label FROM starts JOIN phrases ON w[i+1] = pw[1] WHERE list_slice(w, i + 1, i + len(pw)) = pw),
-found AS (SELECT r, count(*) AS n, min(i) AS a, max(i) AS b, list(DISTINCT label) AS labels FROM places GROUP BY r),
-blocks AS (SELECT r, {_WORDS % "line"} AS lw FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM base)),
-near AS (
-  SELECT r, label, len(list_intersect(tw, lw)) / len(tw) AS c FROM blocks, templates
-  WHERE len(list_intersect(tw, lw)) >= greatest(1, ceil(0.8 * len(tw) - 1e-9))),
-extra AS (SELECT r, list(DISTINCT label) AS labels, max(c) AS c FROM near GROUP BY r)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, b::BIGINT AS last_word,
-  coalesce(array_to_string(list_sort(found.labels), ','), '') AS base_labels,
-  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(found.labels, []), coalesce(extra.labels, [])))), ','), '') AS labels,
-  greatest(CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE 0 END, coalesce(c, 0))::DOUBLE AS score
-FROM base LEFT JOIN found USING (r) LEFT JOIN extra USING (r)
-"""
-
-
-def _op7_notices() -> str:
-    values = [(k, v, by_line) for by_line, x in ((True, license_scan.TEMPLATES), (False, license_scan.SHORT)) for k, v in x.items()]
+def _op7(full: Mapping[str, str]) -> str:
+    """Licenses by lines and by runs of words: ``full`` templates and the short ones."""
+    values = [(k, v, by_line) for by_line, x in ((True, full), (False, license_scan.SHORT)) for k, v in x.items()]
     templates = ", ".join("('{}', '{}', {})".format(k, v.replace("'", "''"), b) for k, v, b in values)
     phrases = ", ".join(f"('{k}', '{v}')" for k, v in license_scan.PHRASES.items())
     return f"""
@@ -205,7 +184,7 @@ l AS (SELECT r, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS i
 k AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS bare FROM l),
 totals AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
 counts AS (SELECT host, bare, count(DISTINCT r) AS n FROM k WHERE bare <> '' GROUP BY host, bare),
-bad AS (SELECT host, bare FROM counts JOIN totals USING (host) WHERE n >= 5 AND n > 0.3 * pages),
+bad AS (SELECT host, bare FROM counts JOIN totals USING (host) WHERE n >= 2 AND n > 0.3 * pages),
 marked AS (SELECT k.*, bad.bare IS NOT NULL AS gone FROM k LEFT JOIN bad USING (host, bare))
 SELECT page_id, p.host, sum(gone::INTEGER)::BIGINT AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS text
 FROM p JOIN marked USING (r) GROUP BY r, page_id, p.host
@@ -214,9 +193,9 @@ FROM p JOIN marked USING (r) GROUP BY r, page_id, p.host
 ORACLE_SQL: dict[str, str] = {
     "op1_poisson_mixing": _OP1,
     "op4_rule_cascade": _OP4,
-    "op7_license_scan": _op7(),
+    "op7_license_scan": _op7(license_scan.TEMPLATES | license_scan.TEXTS),
     "op8_exact_dedup": _OP8,
     "op9_site_line_dedup": _OP9,
-    "op7_license_notices": _op7_notices(),
-    "op9_small_site_line_dedup": _OP9.replace("n >= 5", "n >= 3"),
+    "op7_license_notices": _op7(license_scan.TEMPLATES),
+    "op9_small_site_line_dedup": _OP9.replace("n >= 2", "n >= 3"),
 }

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, bounded_sample, fold
@@ -97,6 +97,18 @@ def _fit_bag(group: pa.Table, prior: float, features: int = 256) -> pa.Table:
     return pa.table({"slots": [chosen.astype(np.int32)], "weights": [w.astype(np.float32)], "bias": [b]})
 
 
+def _bag_keys(spark: SparkSession, bags: int) -> list[int]:
+    """A number for each bag; they hash to different partitions where there are enough, so no two bags share a task."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("place")
+    rows = spark.range(16 * bags).select(F.col("id").cast("int"), place).collect()
+    first: dict[int, int] = {}
+    for r in rows:
+        first.setdefault(r["place"], r["id"])
+    found = sorted(first.values())[:bags]
+    return found if len(found) == bags else list(range(bags))
+
+
 def train(docs: DataFrame, labels: DataFrame, bags: int = 4, positives: int = 4000, unlabelled: int = 16000) -> tuple[np.ndarray, float] | None:
     """The averaged weights by slot (2**18 of them, whatever the corpus) and bias; None without positives."""
     bounded_batches(docs)
@@ -113,8 +125,8 @@ def train(docs: DataFrame, labels: DataFrame, bags: int = 4, positives: int = 40
     u = u.select(F.lit(0).alias("positive"), F.col("doc_id").alias("key"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     features = p.unionByName(u).mapInArrow(_featurise, f"positive int, key {kind}, slots array<int>")
-    own = F.array(F.pmod(F.xxhash64(F.lit(2), "key"), F.lit(bags)).cast("int"))
-    every = F.array(*[F.lit(i) for i in range(bags)])
+    every = F.array(*[F.lit(i) for i in _bag_keys(docs.sparkSession, bags)])
+    own = F.array(F.get(every, F.pmod(F.xxhash64(F.lit(2), "key"), F.lit(bags)).cast("int")))
     bagged = features.withColumn("bag", F.explode(F.when(F.col("positive") == 1, every).otherwise(own)))
     models = bagged.groupBy("bag").applyInArrow(lambda group: _fit_bag(group, prior), _MODEL).collect()
     if not models or not chosen.join(rows.select("doc_id"), "doc_id", "left_semi").limit(1).count():

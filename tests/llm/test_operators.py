@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -80,6 +81,13 @@ def test_mixing_rates(spark):
     assert len(set(keys)) == len(keys)
 
 
+def test_mixing_repeats_a_short_source_often(spark):
+    df = spark.createDataFrame([(i, "x" * (1000 if i else 1), "b" if i else "a") for i in range(2000)], "doc_id long, text string, source string")
+    for terms in (2_000_000, 0):
+        got = {r.source: r.n for r in mixing.mix(df, {"a": 1, "b": 3}, epochs=0.1, broadcast_terms=terms).groupBy("source").agg(F.count("*").alias("n")).collect()}
+        assert abs(got["a"] - 49_975) < 1500 and abs(got["b"] - 150) < 60
+
+
 def test_mixing_odd(spark):
     assert mixing.mix(odd(spark, [])).count() == 0
     got = mixing.mix(odd(spark), epochs=50).collect()
@@ -87,9 +95,22 @@ def test_mixing_odd(spark):
     assert mixing.mix(odd(spark), {"none": 1.0}).count() == 0
 
 
-def test_poisson_cdf_of_a_large_mean(spark):
-    cdf = spark.range(1).select(mixing.poisson_cdf(F.lit(1500.0)).alias("c")).first().c
-    assert abs(cdf[1500] - 0.5069) < 1e-3 and cdf[-1] > 1 - 1e-9
+@pytest.mark.parametrize("mean", [0.0, 0.01, 1.0, 7.5, 150.0, 1500.0, 1e6])
+def test_poisson_cdf(spark, mean):
+    r = mixing.poisson_cdf(spark.createDataFrame([("a", mean)], "source string, rate double")).first()
+    assert len(r.cdf) <= 24 * mean**0.5 + 70 and r.cdf[-1] == 1 and list(r.cdf) == sorted(r.cdf)
+    log_p = lambda k: -mean + (k * math.log(mean) if k else 0) - math.lgamma(k + 1)
+    total = 0.0
+    for i, c in enumerate(r.cdf[:30_000]):
+        total += math.exp(log_p(r.least + i)) if mean else 1.0
+        assert abs(c - total) < 1e-7
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.integers(0, 9), min_size=1, max_size=40).map(sorted), st.integers(-1, 10))
+def test_places_up_to(spark, ordered, x):
+    got = spark.range(1).select(mixing.places_up_to(F.array(*map(F.lit, ordered)), F.lit(x)).alias("n")).first().n
+    assert got == sum(v <= x for v in ordered)
 
 
 # ---- 2 toxicity
@@ -111,6 +132,30 @@ def test_nnpu_separates():
     assert w[0] + b > 0 > b and abs(w[1]) < w[0] / 2
 
 
+def test_nnpu_step_is_the_gradient_of_the_risk():
+    """The first step of Adam has the sign of the gradient; finite differences of the corrected risk give it."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 2, (60, 4)).astype(float)
+    positive, prior, decay = rng.random(60) < 0.4, 0.3, 1e-4
+    sigma = lambda z: 1 / (1 + np.exp(-z))
+
+    def risk(w, b, flip):
+        p, u = sigma(x[positive] @ w + b), sigma(x[~positive] @ w + b)
+        rest = u.mean() - prior * p.mean()
+        return (-rest if flip else prior * (1 - p).mean() + rest) + decay * prior * (w @ w) / 2
+
+    for start in (np.array([0.5, -0.3, 0.2, 0.1]), np.array([6.0, 6.0, 6.0, 6.0]), rng.normal(0, 3, 4)):
+        b0 = float(np.log(prior / (1 - prior)))
+        p, u = sigma(x[positive] @ start + b0), sigma(x[~positive] @ start + b0)
+        flip = u.mean() - prior * p.mean() < 0
+        w, b = toxicity.fit_nnpu(x, positive, prior, start, steps=1, rate=1e-3, decay=decay)
+        e = 1e-6
+        grad = [(risk(start + e * d, b0, flip) - risk(start - e * d, b0, flip)) / (2 * e) for d in np.eye(4)]
+        grad.append((risk(start, b0 + e, flip) - risk(start, b0 - e, flip)) / (2 * e))
+        moved = np.r_[w - start, b - b0]
+        assert all(np.sign(m) == -np.sign(g) for m, g in zip(moved, grad) if abs(g) > 1e-6)
+
+
 def test_toxicity_odd(spark):
     labels = spark.createDataFrame([(1, 1), (3, None), (4, 1), (5, 0), (99, 1), (None, 1), (4, 0)], "doc_id long, toxic int")
     got = toxicity.toxicity(odd(spark), labels).collect()
@@ -137,6 +182,50 @@ def test_language_mixture_shares(spark):
     assert set(langs) == {"en", "de"} and min(langs.values()) > 0.3
 
 
+def plain_mixture(lls, penalty=2.0, steps=6):
+    """Expectation-maximisation and the choice of the set, word by word."""
+    langs = range(len(lls[0]))
+    likes = [[math.exp(max(x - max(ll), -12)) for x in ll] for ll in lls]
+
+    def em(share, steps):
+        for _ in range(steps):
+            share = [sum(w[i] * share[i] / sum(a * b for a, b in zip(w, share)) for w in likes) / len(likes) for i in langs]
+        return share, sum(math.log(sum(a * b for a, b in zip(w, share)) + 1e-30) for w in likes)
+
+    whole, _ = em([1 / len(langs)] * len(langs), steps)
+    order = sorted(langs, key=lambda i: -whole[i])
+    fits = []
+    for k in range(1, len(langs) + 1):
+        share, fit = em([1 / k if i in order[:k] else 0 for i in langs], 0 if k == 1 else steps)
+        fits.append((fit - penalty * math.log(len(likes) + 1) * (k - 1), share))
+    return max(fits, key=lambda x: x[0])[1]
+
+
+@pytest.mark.parametrize("size", [1 << 20, 64])
+def test_mixture_against_a_plain_loop(monkeypatch, size):
+    rng = random.Random(8)
+    model = np.random.default_rng(8).normal(-10, 1.5, (1 << 16, 5)).astype(np.float32)
+    texts = [" ".join("".join(rng.choice("abcé") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 150))) for _ in range(30)]
+    monkeypatch.setattr(language_id, "_SLICE", size)
+    slots = lambda word: language_id._trigrams(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word.encode())]))[0]
+    for t in texts:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        want = plain_mixture([model[slots(x)].sum(0).tolist() for x in t.split()])
+        assert np.abs(language_id.infer(raw, np.array([0, len(raw)]), model)[0] - want).max() < 1e-3
+
+
+def test_long_text_in_bounded_memory():
+    import tracemalloc
+
+    raw = np.frombuffer(b"some words of a very long text and more of them \xc3\xa9\xe9\x80\x80" * 600_000, np.uint8)
+    model = np.random.default_rng(8).normal(-10, 1.5, (1 << 16, 4)).astype(np.float32)
+    tracemalloc.start()
+    share = language_id.infer(raw, np.array([0, len(raw)]), model)
+    top = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert abs(share.sum() - 1) < 1e-3 and top < 300e6 and len(raw) > 30e6
+
+
 def test_languages_odd(spark):
     got = language_id.language_id(odd(spark)).collect()
     by = {(r.doc_id, r.lang_pred) for r in got}
@@ -304,6 +393,18 @@ def test_notices_over_lines(spark, tmp_path):
     assert differences(QUERIES["op7_license_notices"](spark, str(tmp_path)), ORACLE_SQL["op7_license_notices"], str(tmp_path)) == []
 
 
+def test_whole_license_texts(spark, tmp_path):
+    rng, texts = random.Random(9), license_scan.TEXTS
+    broken = lambda t: "\n".join(" ".join(t.split()[i : i + 9]) for i in range(0, len(t.split()), 9))
+    partly = lambda t, keep: " ".join(w for w in t.split() if rng.random() < keep)
+    rows = [f"Copyright holder\n{broken(t)}\nint main;" for t in texts.values()] + [partly(t, 0.95) for t in texts.values()] + [partly(t, 0.5) for t in texts.values()]
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: set(r.labels.split(",")) for r in QUERIES["op7_license_scan"](spark, str(tmp_path)).collect()}
+    for i, name in enumerate(texts):
+        assert name in got[i] and name in got[i + len(texts)] and name not in got[i + 2 * len(texts)]
+    assert differences(QUERIES["op7_license_scan"](spark, str(tmp_path)), ORACLE_SQL["op7_license_scan"], str(tmp_path)) == []
+
+
 # ---- 8 exact dedup
 
 
@@ -334,6 +435,8 @@ def test_line_dedup_of_small_and_large_sites(spark, tmp_path):
     spark.createDataFrame(rows, "page_id string, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.page_id: r.n_dropped for r in QUERIES["op9_small_site_line_dedup"](spark, str(tmp_path)).collect()}
     assert got == {p: 0 if p[:3] == "two" else 2 if p[:-1] in ("three", "four") and p != "four3" else 1 if p[:4] != "larg" else 2 if int(p[5:]) >= 3 else 1 for p, *_ in rows}
+    got = {r.page_id: r.n_dropped for r in QUERIES["op9_site_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got["two0"] == got["three0"] == got["four0"] == 2 and got["large0"] == 1 and got["large5"] == 2
     for name in ("op9_site_line_dedup", "op9_small_site_line_dedup"):
         assert differences(QUERIES[name](spark, str(tmp_path)), ORACLE_SQL[name], str(tmp_path)) == []
 
