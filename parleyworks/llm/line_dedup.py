@@ -56,9 +56,12 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float, min_pages:
 
 
 def line_dedup(
-    pages: DataFrame, host: str, text: str, ratio: float = 0.3, min_pages: int = 2, dropped: str | None = None, broadcast_hosts: int = 20_000
+    pages: DataFrame, host: str, text: str, ratio: float = 0.3, min_pages: int = 2, dropped: str | None = None, broadcast_hosts: int = 20_000, keep_whole: bool = False
 ) -> DataFrame:
-    """``pages`` with the boilerplate lines gone from ``text``; ``dropped`` names a column of their number."""
+    """``pages`` with the boilerplate lines gone from ``text``; ``dropped`` names a column of their number.
+
+    With ``keep_whole`` a page that would lose all its lines keeps them: it is a copy of other pages, not what stands around theirs.
+    """
     name = free_name(pages, "__ld")
     site, drop, left = f"{name}host", f"{name}drop", f"{name}left"
     found = settle(boilerplate(pages, host, text, ratio, min_pages), "boilerplate").toDF(site, drop)
@@ -66,6 +69,8 @@ def line_dedup(
     joined = pages.join(F.broadcast(found) if small else found, F.col(host).eqNullSafe(F.col(site)), "left")
     lines = F.split(text, "\n")
     some = F.filter(lines, lambda x: _blank(x) | ~F.array_contains(F.col(drop), _key(x)))
+    if keep_whole:
+        some = F.when(F.exists(some, lambda x: ~_blank(x)), some).otherwise(lines)
     joined = joined.withColumn(left, F.when(F.col(drop).isNotNull(), some).otherwise(lines))
     out = {text: F.array_join(left, "\n")}
     if dropped:

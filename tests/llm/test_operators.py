@@ -503,6 +503,24 @@ def test_packing_odd(spark):
 # ---- pipeline
 
 
+def assert_lines_of_sources(docs, got, ratio=0.05, least=5):
+    """What the line stage makes of these documents, line by line; gives the number of lines that go."""
+    rows = [(r.doc_id, r.source, (r.text or "").split("\n")) for r in docs.collect()]
+    pages, holds = Counter(s for _, s, _ in rows), Counter((s, b) for _, s, x in rows for b in {y.strip(" \t\r") for y in x} if b)
+    bad = {k for k, n in holds.items() if n >= least and n > ratio * pages[k[0]]}
+    left = {d: [y for y in x if (s, y.strip(" \t\r")) not in bad] for d, s, x in rows}
+    want = {d: "\n".join(left[d] if any(y.strip(" \t\r") for y in left[d]) else x) for d, _, x in rows}
+    assert {r.doc_id: r.text for r in got.collect()} == want
+    return sum(len(x) - len(left[d]) for d, _, x in rows)
+
+
+def test_pipeline_drops_lines_on_documents(spark):
+    import corpus_pipeline as cp
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    assert assert_lines_of_sources(docs, cp.drop_boilerplate(spark, docs, "/root/testdata/sf0.01")) > 0
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline as cp
 
@@ -510,6 +528,7 @@ def test_pipeline(spark, small):
     clean = cp.drop_toxic(spark, docs, small)
     assert clean.columns == docs.columns and 0 < clean.count() < docs.count()
     lines = cp.drop_boilerplate(spark, docs, small)
+    assert_lines_of_sources(docs, lines)
     assert lines.columns == docs.columns and lines.where("n_chars <> length(text)").count() == 0 and lines.count() == docs.count()
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     label = {d: d for d, _ in rows}
@@ -526,6 +545,7 @@ def test_pipeline_drops_lines_of_a_source(spark, small):
 
     rows = [(i, f"own {i}\n" + "repeated\n" * (i % 10 == 0) + "rare\n" * (i % 25 == 1) + f"end {i}", "en", "ab"[i % 2], 0) for i in range(400)]
     rows += [(1000 + i, f"repeated\nfew {i}", "en", "c", 0) for i in range(4)]
+    rows += [(2000 + i, "all of\nthis text\nis copied", "en", "a", 0) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: r.text for r in cp.drop_boilerplate(spark, docs, small).collect()}
     assert got == {i: t.replace("repeated\n", "") if i < 1000 else t for i, t, *_ in rows}
