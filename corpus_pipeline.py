@@ -19,6 +19,9 @@ ORACLE_SQL = None
 #: many sites, so what repeats stands in about a tenth of it, and other lines in less than a twentieth.
 SOURCE_RATIO = 0.05
 
+#: Documents of a source that a line stands in, at least: two or three copies of a text make none of its lines boilerplate.
+SOURCE_DOCUMENTS = 5
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned on these documents and the labels, doesn't call toxic."""
@@ -28,8 +31,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that a large share of their source's documents has; none goes."""
-    left = line_dedup.line_dedup(docs, "source", "text", ratio=SOURCE_RATIO)
+    """Documents without the lines that a large share of their source's documents has; none goes, and none is emptied."""
+    left = line_dedup.line_dedup(docs, "source", "text", ratio=SOURCE_RATIO, min_pages=SOURCE_DOCUMENTS, keep_whole=True)
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
