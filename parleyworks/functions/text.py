@@ -42,39 +42,46 @@ def chunks(x: Column, size: int = 500, delimiters: str = "[。\n]", joiner: str
 
 # The entity patterns.
 ENTITIES = {
-    "order_id": r"(?i)(?:#|order\s*(?:no\.?|id)?\s*[:：]?\s*)([A-Z0-9]{4,20})",
-    "date": r"(\d{4}[-/]\d{1,2}[-/]\d{1,2})",
-    "amount": r"(?i)(\d+(?:\.\d+)?\s*(?:usd|eur|dollars|euros))",
-    "error_code": r"(?:^|[^A-Za-z0-9_])([45]\d\d)(?:[^A-Za-z0-9_]|$)",
+    "order_id": r"(?iuU)(?:订单号?|order(?:_id)?|#)\s*[:：#]?\s*([A-Za-z0-9_-]{4,32})",
+    "date": r"(今天|明天|昨天|本周|这周|下周|\d{4}[-/.年]\d{1,2}[-/.月]\d{1,2}日?)",
+    "amount": r"(?iuU)((?:¥|￥)\s*\d+(?:\.\d{1,2})?|\d+(?:\.\d{1,2})?\s*(?:元|块|rmb|cny|usd|美元))",
+    "error_code": r"(?U)\b([45]\d{2}|[A-Z][A-Z0-9_-]{2,16})\b",
 }
 
+#: The same for engines without the flags u and U.
+SQL_ENTITIES = {k: p.replace("(?iuU)", "(?i)").replace("(?U)", "") for k, p in ENTITIES.items()}
+
 
 def entities(x: Column, patterns: dict[str, str] = ENTITIES) -> dict[str, Column]:
     """Distinct matches in order of appearance, by kind."""
     return {k: F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit(p), F.lit(1)), strip)) for k, p in patterns.items()}
 
 
-def ngram_slots(x: Column, dims: int = 256, largest: int = 3) -> Column:
-    """(slot, sign) of every distinct character n-gram; the empty text has the empty n-gram."""
-    def grams(n: int) -> Column:
-        found = F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda i: x.substr(i, F.lit(n)))
-        return F.when(F.length(x) >= n, found).otherwise(F.array())
+def json_body(x: Column) -> Column:
+    """What stands from the first { to the last }, of a reply that may say more; empty where there is none."""
+    return F.regexp_extract(x, r"(?s)\{.*\}", 0)
 
-    every = F.array_distinct(F.concat(*[grams(n) for n in range(1, largest + 1)]))
-    every = F.when(F.length(x) == 0, F.array(F.lit(""))).otherwise(every)
 
-    def slot(g: Column) -> Column:
-        h = F.md5(g)
-        at = F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dims
-        sign = F.when(F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
-        return F.struct(at.cast("int").alias("slot"), sign.alias("sign"))
+def json_list(x: Column) -> Column:
+    """What stands from the first [ to the last ]; empty where there is none."""
+    return F.regexp_extract(x, r"(?s)\[.*\]", 0)
 
-    return F.transform(every, slot)
 
+def reply_text(blocks: Column) -> Column:
+    """The text blocks of a reply (structs with type and text) on lines; a block without a type is text, other kinds and empty ones are left out."""
+    said = F.filter(blocks, lambda b: (b["type"].isNull() | (b["type"] == "text")) & (F.coalesce(b["text"], F.lit("")) != ""))
+    return F.array_join(F.transform(said, lambda b: b["text"]), "\n")
 
-def json_body(x: Column) -> Column:
-    """What stands from the first { to the last }, of a reply that may say more; empty where there is none."""
-    return F.regexp_extract(x, r"(?s)\{.*\}", 0)
+
+def dialog_turns(turns: Column, question: Column) -> Column:
+    """The turns of a test case: its list without blank ones, else its one question, else none."""
+    one = F.when(F.coalesce(question, F.lit("")) != "", F.array(question)).otherwise(F.array().cast("array<string>"))
+    return F.when(turns.isNotNull(), F.filter(turns, lambda t: strip(t) != "")).otherwise(one)
+
+
+def sayable(x: Column) -> Column:
+    """``x`` from bytes or text without what is no UTF-8; the mark that stands for it goes too."""
+    return F.replace(F.make_valid_utf8(x.cast("string")), F.lit("\ufffd"), F.lit(""))
 
 
 def cache_key(text: Column, history: Column, most: int = 200, turns: int = 3, role: int = 20, content: int = 160) -> Column:

@@ -1,4 +1,5 @@
 """Registered queries."""
 
 from . import decisions as decisions
+from . import dialogue as dialogue
 from . import queries as queries

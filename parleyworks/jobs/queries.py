@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions import vectors
 from ..operators import classify, evaluate, memory, retrieve, telemetry
 from ..sources.tables import calls, read, turns
 
@@ -85,7 +86,10 @@ def _sql_entity(p: str) -> str:
     return f"coalesce(array_to_string((SELECT list(m ORDER BY i) FROM (SELECT trim(m) AS m, min(i) AS i FROM (SELECT unnest(x) AS m, generate_subscripts(x, 1) AS i FROM (SELECT regexp_extract_all(text, '{p}', 1) AS x)) GROUP BY 1)), ','), '')"
 
 
-@query("SELECT doc_id, " + ", ".join(f"{_sql_entity(p)} AS {k}" for k, p in tx.ENTITIES.items()) + " FROM documents")
+@query(
+    "SELECT doc_id, " + ", ".join(f"{_sql_entity(p)} AS {k}".replace("regexp_extract_all(text", "regexp_extract_all(" + ("word" if k == "error_code" else "text")) for k, p in tx.SQL_ENTITIES.items())
+    + " FROM (SELECT *, regexp_replace(text, '[\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{24F}]', 'x', 'g') AS word FROM documents)"  # there, word borders know ASCII only
+)
 def entity_extract(spark, sf_dir):
     found = tx.entities(F.col("text"))
     return read(spark, sf_dir, "documents").select("doc_id", *[F.array_join(c, ",").alias(k) for k, c in found.items()])
@@ -117,54 +121,55 @@ def route_decision(spark, sf_dir):
     return routed.select("conv_id", "turn", F.col("r.primary").alias("primary_domain"), "r.supporting", "r.confidence")
 
 
-_LEGS = """legs AS (
-  SELECT conv_id * 100 + turn AS id, 3 AS leg, 0.1::DOUBLE AS weight, label, score AS confidence FROM best
-  UNION ALL SELECT conv_id * 100 + turn, 2, 0.2::DOUBLE, CASE WHEN length(text) % 2 = 0 THEN 'query' ELSE 'refund' END, 0.75::DOUBLE FROM best
-  UNION ALL SELECT conv_id * 100 + turn, 1, 0.7::DOUBLE, CASE WHEN length(text) % 3 = 0 THEN 'request' ELSE label END, (length(text) % 4) * 0.25::DOUBLE FROM best)"""
-
-
 @query(
-    f"""WITH {_sql_hits()}, {_LEGS},
-sums AS (SELECT id, label, sum(weight * confidence) AS score, min(leg) AS first FROM legs GROUP BY id, label),
+    f"""WITH {_sql_hits()},
+legs AS (SELECT conv_id, role, turn, label, score AS confidence, CASE role WHEN 'assistant' THEN 0.7 WHEN 'user' THEN 0.2 ELSE 0.1 END::DOUBLE AS weight, CASE role WHEN 'assistant' THEN 1 WHEN 'user' THEN 2 ELSE 3 END AS leg
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM best) WHERE n = 1),
+sums AS (SELECT conv_id AS id, label, sum(weight * confidence) AS score, min(leg) AS first FROM legs GROUP BY ALL),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, first, label) AS rn FROM sums) WHERE rn = 1),
 j AS (SELECT top.*, p.label AS p_label, p.confidence AS p_score,
-  top.label IN ('query', 'request') AND p.label NOT IN ('other', 'query', 'request') AND p.confidence >= 0.5 AND top.score < 0.8 AS yields
-  FROM top JOIN legs p ON p.id = top.id AND p.leg = 3)
+  coalesce(top.label IN ('query', 'request') AND p.label NOT IN ('other', 'query', 'request') AND p.confidence >= 0.5 AND top.score < 0.8, false) AS yields
+  FROM top LEFT JOIN legs p ON p.conv_id = top.id AND p.leg = 3)
 SELECT id, CASE WHEN yields THEN p_label WHEN score < 0.5 THEN 'other' ELSE label END AS label,
   round(CASE WHEN yields THEN greatest(score, p_score) ELSE score END, 6) AS confidence FROM j"""
 )
 def weighted_vote(spark, sf_dir):
-    df = _labelled(spark, sf_dir).withColumns({"id": F.col("conv_id") * 100 + F.col("turn"), "n": F.length("text")})
-
-    def leg(no: int, weight: float, label: Column, confidence: Column) -> Column:
-        return F.struct(F.lit(no).alias("leg"), F.lit(weight).alias("weight"), label.alias("label"), confidence.alias("confidence"))
-
-    legs = F.array(
-        leg(1, 0.7, F.when(F.col("n") % 3 == 0, "request").otherwise(F.col("label")), (F.col("n") % 4) * 0.25),
-        leg(2, 0.2, F.when(F.col("n") % 2 == 0, "query").otherwise("refund"), F.lit(0.75)),
-        leg(3, 0.1, F.col("label"), F.col("score")),
-    )
-    voted = classify.vote(df.select("id", F.explode(legs).alias("x")).select("id", "x.*"), "id", generic=GENERIC)
-    return voted.withColumn("confidence", F.round("confidence", 6))
+    """A conversation's label by vote of its first turn in each role, which lie in different rows."""
+    leg = F.when(F.col("role") == "assistant", 1).when(F.col("role") == "user", 2).otherwise(3)
+    first = memory.first_per_key(_labelled(spark, sf_dir), ["conv_id", "role"], ["turn"]).withColumn("leg", leg)
+    weight = F.when(F.col("leg") == 1, 0.7).when(F.col("leg") == 2, 0.2).otherwise(0.1)
+    legs = first.select(F.col("conv_id").alias("id"), "leg", weight.alias("weight"), "label", F.col("score").alias("confidence"))
+    return classify.vote(legs, "id", generic=GENERIC).withColumn("confidence", F.round("confidence", 6))
 
 
 @query(
-    """WITH g AS (
+    """WITH s AS (SELECT conv_id, turn, lower(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS text FROM conversations),
+g AS (
   SELECT DISTINCT conv_id, turn, substr(text, i, n) AS g FROM (
-    SELECT conv_id, turn, text, n, unnest(range(1, length(text) - n + 2)) AS i FROM conversations, (VALUES (1), (2), (3)) v(n) WHERE length(text) >= n)
-  UNION SELECT conv_id, turn, '' FROM conversations WHERE length(text) = 0)
+    SELECT conv_id, turn, text, n, unnest(range(1, length(text) - n + 2)) AS i FROM s, (VALUES (1), (2), (3)) v(n) WHERE length(text) >= n)
+  UNION SELECT conv_id, turn, '' FROM s WHERE length(text) = 0)
 SELECT conv_id, turn, (('0x' || substr(md5(g), 1, 8))::BIGINT % 256)::INTEGER AS slot,
   sum(CASE WHEN ('0x' || substr(md5(g), 9, 2))::BIGINT % 2 = 0 THEN 1 ELSE -1 END)::BIGINT AS value FROM g GROUP BY ALL"""
 )
 def ngram_vectors(spark, sf_dir):
-    df = turns(spark, sf_dir).select("conv_id", "turn", F.explode(tx.ngram_slots(F.col("text"))).alias("x"))
-    return df.groupBy("conv_id", "turn", F.col("x.slot").alias("slot")).agg(F.sum("x.sign").alias("value"))
+    return vectors.sparse_vectors(turns(spark, sf_dir).select("conv_id", "turn", "text"), "text")
 
 
 # ---- retrieval ---------------------------------------------------------------------------------
 
 
-@query(None)
+_PACK = """list_reduce(list_concat([{done: []::VARCHAR[], cur: '', s: ''}], list_transform(sentences, lambda s: {done: []::VARCHAR[], cur: '', s: s})), lambda a, x:
+    CASE WHEN length(a.cur) + length(x.s) + 1 > 500 THEN {done: CASE WHEN a.cur = '' THEN a.done ELSE list_append(a.done, a.cur) END, cur: x.s, s: ''}
+    ELSE {done: a.done, cur: CASE WHEN a.cur = '' THEN x.s ELSE a.cur || '.' || x.s END, s: ''} END)"""
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, text, source || '/' || doc_id AS title, list_filter(regexp_split_to_array(text, '[.\n]'), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13)) <> '') AS sentences FROM documents),
+p AS (SELECT *, {_PACK} AS x FROM d),
+c AS (SELECT doc_id, title, CASE WHEN length(text) <= 500 THEN list_filter([text], lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13)) <> '') WHEN x.cur = '' THEN x.done ELSE list_append(x.done, x.cur) END AS c FROM p)
+SELECT doc_id, title, len(c)::INTEGER AS total_chunks, (i - 1)::INTEGER AS chunk_index, chunk, md5(title || '_' || (i - 1) || '_' || substr(chunk, 1, 50)) AS chunk_id
+FROM (SELECT *, unnest(c) AS chunk, generate_subscripts(c, 1) AS i FROM c)"""
+)
 def chunk_documents(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").withColumn("title", F.concat_ws("/", "source", F.col("doc_id").cast("string")))
     df = docs.select("doc_id", "title", tx.chunks(F.col("text"), delimiters="[.\n]", joiner=".").alias("c"))

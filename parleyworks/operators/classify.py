@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -60,13 +60,55 @@ def vote(legs: DataFrame, key: str, floor: float = 0.5, override_below: float =
     )
 
 
-def domain_scores(text: Column, label: Column, rules: Sequence[tuple[str, float, Sequence[str], float, Sequence[str], float, float]]) -> Column:
-    """(domain, ord, score): base, bonus by label, and capped bonus by keyword, in the order of the rules."""
+def vote_row(legs: Column, generic: Sequence[str] = (), specific: Sequence[str] = (), floor: float = 0.5, override_below: float = 0.8, other: str = "other") -> Column:
+    """(label, confidence) of the legs that stand in one row: structs (leg, weight, label, confidence, failed) in order, the model's first, the pattern's last.
+
+    Where the model's leg failed, the first other leg with a label and a confidence decides alone.
+    Else weighted confidences add up by label; ties, to nine digits, go to the label of the lowest
+    leg. A generic winner below ``override_below`` yields to a specific label of the pattern leg that
+    has ``floor``; what then is below ``floor`` is ``other`` and keeps its confidence.
+    """
+    sums = F.transform(
+        legs,
+        lambda x: F.struct(F.aggregate(F.filter(legs, lambda y: y["label"] == x["label"]), F.lit(0.0), lambda a, y: a + y["weight"] * y["confidence"]).alias("score"), x["leg"].alias("leg"), x["label"].alias("label")),
+    )
+    best = F.get(F.array_sort(F.transform(sums, lambda x: F.struct((-F.round(x["score"], 9)).alias("neg"), x["leg"].alias("leg"), x["label"].alias("label"), x["score"].alias("score")))), F.lit(0))
+    model, pattern = F.get(legs, F.lit(0)), F.get(legs, F.size(legs) - 1)
+    spare = F.get(F.filter(F.slice(legs, 2, F.size(legs)), lambda x: (x["label"] != other) & (x["confidence"] > 0)), F.lit(0))
+    result = lambda label, confidence: F.struct(label.alias("label"), confidence.alias("confidence"))
+    yields = best["label"].isin(*generic) & pattern["label"].isin(*specific) & (pattern["confidence"] >= floor) & (best["score"] < override_below)
+    return (
+        F.when(model["failed"], F.coalesce(F.when(spare.isNotNull(), result(spare["label"], spare["confidence"])), result(F.lit(other), F.lit(0.0))))
+        .when(yields, result(pattern["label"], F.greatest(best["score"], pattern["confidence"])))
+        .when(best["score"] < floor, result(F.lit(other), best["score"]))
+        .otherwise(result(best["label"], best["score"]))
+    )
+
+
+def known_label(label: Column, known: Sequence[str], other: str = "other") -> Column:
+    """``label`` where it is a known one, else ``other``."""
+    return F.when(label.isin(*known), label).otherwise(F.lit(other))
+
+
+def label_group(label: Column, groups: Mapping[str, str]) -> Column:
+    """The group of a label; a label without one is its own group."""
+    pairs = [F.lit(x) for pair in groups.items() for x in pair]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), label), label) if pairs else label
+
+
+def domain_scores(
+    text: Column,
+    label: Column,
+    rules: Sequence[tuple[str, float, Sequence[str], float, Sequence[str], float, float]],
+    bonuses: Sequence[tuple[str, Column, float]] = (),
+) -> Column:
+    """(domain, ord, score): base, bonus by label, capped bonus by keyword, and the bonuses whose condition holds, in the order of the rules."""
     low = F.lower(text)
     items = []
     for i, (domain, base, labels, bonus, keywords, step, cap) in enumerate(rules):
         hits = reduce(lambda a, b: a + b, [F.contains(low, F.lit(k)).cast("int") for k in keywords])
         score = F.lit(base) + F.when(label.isin(*labels), bonus).otherwise(0.0) + F.least(F.lit(cap), hits * F.lit(step))
+        score = reduce(lambda a, b: a + F.when(b[1], b[2]).otherwise(0.0), [b for b in bonuses if b[0] == domain], score)
         items.append(F.struct(F.lit(domain).alias("domain"), F.lit(i).alias("ord"), F.round(score, 3).alias("score")))
     return F.array(*items)
 
@@ -75,10 +117,23 @@ def route(scores: Column, fallback: str = "general", least: float = 0.45, ratio:
     """(primary, supporting, confidence): the best domain and those close behind it."""
     ranked = F.array_sort(F.transform(scores, lambda x: F.struct((-x["score"]).alias("neg"), x["ord"].alias("ord"), x["domain"].alias("domain"))))
     top = F.get(ranked, F.lit(0))
-    near = F.filter(F.slice(ranked, 2, 100), lambda x: (x["domain"] != fallback) & (-x["neg"] >= least) & (-x["neg"] >= ratio * -top["neg"]))
+    near = F.filter(F.slice(ranked, 2, F.greatest(F.size(ranked), F.lit(1))), lambda x: (x["domain"] != fallback) & (-x["neg"] >= least) & (-x["neg"] >= ratio * -top["neg"]))
     return F.struct(top["domain"].alias("primary"), F.array_join(F.transform(near, lambda x: x["domain"]), ",").alias("supporting"), F.round(F.least(-top["neg"], F.lit(1.0)), 3).alias("confidence"))
 
 
+def route_request(
+    scores: Column, urgency: Column, label: Column, confidence: Column, labels: Sequence[str], critical: int = 4, person: str = "escalation", fallback: str = "general"
+) -> Column:
+    """(primary, supporting, confidence, agent): a person for what is critical (1) or has an escalation label (0.8 at least), else the route by scores.
+
+    No agent stands for the person, so ``fallback`` answers there.
+    """
+    by_score = route(scores, fallback)
+    to_person = lambda c: F.struct(F.lit(person).alias("primary"), F.lit("").alias("supporting"), c.alias("confidence"), F.lit(fallback).alias("agent"))
+    routed = F.struct(by_score["primary"].alias("primary"), by_score["supporting"].alias("supporting"), by_score["confidence"].alias("confidence"), by_score["primary"].alias("agent"))
+    return F.when(urgency == critical, to_person(F.lit(1.0))).when(label.isin(*labels), to_person(F.greatest(confidence, F.lit(0.8)))).otherwise(routed)
+
+
 def merge_branches(branches: DataFrame, key: str, order: str, failed: str, roles: tuple[str, str] = ("primary", "supporting")) -> DataFrame:
     """(key, response, escalated) from branches (key, order, agent, is_primary, ok, content, escalate).
 

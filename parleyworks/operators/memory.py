@@ -30,6 +30,12 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return last_n(df, keys, order, 1)
 
 
+def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The oldest row of each key."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+
+
 def ordered_concat(order: Column, text: Column, separator: str) -> Column:
     """Texts of a group joined in order."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), text.alias("t")))), lambda x: x["t"]), separator)
@@ -44,3 +50,9 @@ def within_budget(df: DataFrame, keys: Sequence[str], order: Sequence[str], text
     room = F.greatest(F.col("__left") - len(mark), F.lit(0)).cast("int")
     cut = F.when(F.length(text) <= F.col("__left"), F.col(text)).otherwise(F.concat(F.rtrim(F.col(text).substr(F.lit(1), room)), F.lit(mark)))
     return out.withColumn(text, cut).drop("__left")
+
+
+def assemble(recent: DataFrame, history: DataFrame, profile: DataFrame, summary: DataFrame, conv: str = "conv_id", user: str = "user_id") -> DataFrame:
+    """One row of memory for each session of ``recent`` (conv, user, recent): its near episodes (conv, history), its user's profile (user, profile) and its summary (conv, summary); blank where there is none."""
+    out = recent.join(history, conv, "left").join(summary, conv, "left").join(profile, user, "left")
+    return out.select(conv, user, "recent", *[F.coalesce(c, F.lit("")).alias(c) for c in ("history", "profile", "summary")])

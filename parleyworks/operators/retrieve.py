@@ -10,42 +10,101 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int = 5, block: int = 8192, skip_self: bool = True) -> DataFrame:
-    """(q_id, rank, id, distance): the ``k`` rows of ``corpus`` (id, vec) nearest to each of ``queries`` (q_id, vec).
+def _packed(df: DataFrame, id_name: str, rows: int) -> DataFrame:
+    """(key, dims, ids, vecs) from (id, key, vec): up to ``rows`` vectors of one key and length in a row, as bytes.
 
-    Squared Euclidean distance; ties go to the smaller id. Queries go to the tasks in blocks of
-    ``block`` vectors; each batch of the corpus keeps its own ``k`` best for each query, and these
-    are ranked. The corpus is never moved.
+    A null vector, or one with a null in it, is in no row.
     """
-    n = queries.count()
-    out = None
-    for i in range(max(1, -(-n // block))):
-        part = queries if n <= block else queries.where(F.pmod(F.xxhash64("q_id"), F.lit(-(-n // block))) == i)
-        rows = part.select("q_id", "vec").collect()  # about one block of vectors
-        ids = np.array([r[0] for r in rows], np.int64)
-        vecs = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
-
-        def near(batches: Iterator[pa.RecordBatch], ids=ids, vecs=vecs) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                own = batch.column(0).to_numpy()
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
-                for lo in range(0, len(ids), 256):
-                    q = vecs[lo : lo + 256]
-                    d = np.stack([((x - v) ** 2).sum(1) for v in q])
-                    if skip_self:
-                        d[own[None, :] == ids[lo : lo + 256, None]] = np.inf
-                    top = np.lexsort((np.broadcast_to(own, d.shape), np.round(d, 6)), axis=1)[:, :k]
-                    r = np.repeat(np.arange(len(q)), top.shape[1])
-                    t = top.ravel()
-                    ok = np.isfinite(d[r, t])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo + r[ok]]), pa.array(own[t[ok]]), pa.array(np.round(d[r[ok], t[ok]], 6))], ["q_id", "id", "distance"])
-
-        found = corpus.select("id", "vec").mapInArrow(near, "q_id long, id long, distance double")
-        out = found if out is None else out.unionByName(found)
+    kind = df.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = batch.column(1).dictionary_encode()
+            code = coded.indices.fill_null(-1).to_numpy()
+            dims = batch.column(2).value_lengths().to_numpy()
+            for c, d in {*zip(code.tolist(), dims.tolist(), strict=True)}:
+                at = np.flatnonzero((code == c) & (dims == d))
+                for lo in range(0, len(at), rows):
+                    part = batch.take(pa.array(at[lo : lo + rows]))
+                    vecs = part.column(2).flatten().to_numpy(zero_copy_only=False).astype("<f8")
+                    values = [part.column(1).slice(0, 1), [d], [part.column(0).to_numpy().astype("<i8").tobytes()], [vecs.tobytes()]]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) if isinstance(v, list) else v for v, t in zip(values, (None, pa.int32(), pa.binary(), pa.binary()), strict=True)], ["key", "dims", "ids", "vecs"])
+
+    whole = df.where(F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull())).select(F.col(id_name).cast("long"), "key", "vec")
+    return whole.mapInArrow(run, f"key {kind}, dims int, ids binary, vecs binary")
+
+
+class _Best:
+    """The ``k`` nearest of each query so far."""
+
+    def __init__(self, k: int):
+        self.k, self.found = k, [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+
+    def add(self, q: np.ndarray, i: np.ndarray, d: np.ndarray) -> None:
+        self.found.append((q, i, d))
+        if sum(len(x[0]) for x in self.found[1:]) > max(200_000, 2 * len(self.found[0][0])):
+            self.found = [self.top()]
+
+    def top(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, i, d = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        order = np.lexsort((i, d, q))
+        q, i, d = q[order], i[order], d[order]
+        new = np.r_[True, q[1:] != q[:-1]][: len(q)]
+        place = np.arange(len(q)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(q) else q
+        keep = place < self.k
+        return q[keep], i[keep], d[keep]
+
+
+def _near(q: np.ndarray, x: np.ndarray, same: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (query, row) that hold the ``k`` nearest, and their distances to six digits, computed one by one."""
+    rough = (q**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * q @ x.T
+    rough[same] = np.inf
+    limit = np.partition(rough, k - 1, axis=1)[:, k - 1] if k < len(x) else np.full(len(q), np.inf)
+    a, b = np.nonzero((rough <= (limit + 2e-6 + 1e-9 * np.abs(limit))[:, None]) & ~same)
+    return a, b, np.round(((x[b] - q[a]) ** 2).sum(1), 6)
+
+
+def knn(
+    queries: DataFrame, corpus: DataFrame, k: int = 5, block: int = 1024, skip_self: bool = True, keyed: bool = False, broadcast_blocks: int = 256, spread: int = 64
+) -> DataFrame:
+    """(q_id, id, distance, rank): the ``k`` rows of ``corpus`` (id, vec) nearest to each of ``queries`` (q_id, vec).
+
+    Squared Euclidean distance to six digits; ties go to the smaller id. With ``keyed`` both have a
+    ``key``, and only rows with the query's own key count; a null key has no neighbours. Vectors of
+    different lengths never meet.
+
+    Both sides are packed into rows of up to ``block`` vectors where they lie. Every packed row of the
+    corpus meets the packed queries of its key: as a broadcast of up to ``broadcast_blocks`` such rows,
+    beyond that by a shuffle in which the queries go to ``spread`` places, so that no key is one task.
+    A task keeps one running top ``k`` for each query and gives it out once. Nothing passes through the driver.
+    """
+    spark = queries.sparkSession
+    if not keyed:
+        queries, corpus = (df.withColumn("key", F.lit(0)) for df in (queries, corpus))
+    # packed rows are large: a few of them in a batch
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    blocks = _packed(queries, "q_id", block).toDF("key", "dims", "q_ids", "q_vecs")
+    slices = _packed(corpus, "id", block)
+    if queries.limit(broadcast_blocks * block + 1).count() <= broadcast_blocks * block:
+        pairs = slices.join(F.broadcast(blocks), ["key", "dims"])
+    else:
+        salted = slices.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(spread)).cast("int"))
+        pairs = salted.join(blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))), ["key", "dims", "salt"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(k)
+        for batch in batches:
+            for d, ids, vecs, q_ids, q_vecs in zip(*(batch.column(i) for i in range(5)), strict=True):
+                own, asked = np.frombuffer(ids.as_buffer(), "<i8"), np.frombuffer(q_ids.as_buffer(), "<i8")
+                x, q = (np.frombuffer(v.as_buffer(), "<f8").reshape(len(n), d.as_py()) for v, n in ((vecs, own), (q_vecs, asked)))
+                same = asked[:, None] == own[None, :] if skip_self else np.zeros((len(asked), len(own)), bool)
+                a, b, distance = _near(q, x, same, k)
+                best.add(asked[a], own[b], distance)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in best.top()], ["q_id", "id", "distance"])
+
+    found = pairs.select("dims", "ids", "vecs", "q_ids", "q_vecs").mapInArrow(near, "q_id long, id long, distance double")
     w = Window.partitionBy("q_id").orderBy("distance", "id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def multi_query(hits: DataFrame, key: str, content: list[str], k: int = 5) -> DataFrame:
@@ -56,45 +115,9 @@ def multi_query(hits: DataFrame, key: str, content: list[str], k: int = 5) -> Da
     return best.where(F.col("place") <= k)
 
 
-def knn_within(queries: DataFrame, corpus: DataFrame, k: int = 5, block: int = 8192) -> DataFrame:
-    """``knn`` among the rows with the query's own ``key``: (q_id, key, vec) against (id, key, vec).
-
-    Only distances within a key are computed, batch by batch, so the rows of a key never come
-    together and a hot key spreads over all tasks that read it. A null key has no neighbours.
-    """
-    n = queries.count()
-    parts = max(1, -(-n // block))
-    kind = corpus.schema["key"].dataType.simpleString()
-    out = None
-    for i in range(parts):
-        groups: dict = {}
-        for q_id, key, vec in queries.where(F.pmod(F.xxhash64("q_id"), F.lit(parts)) == i).select("q_id", "key", "vec").collect():  # about one block
-            groups.setdefault(key, []).append((q_id, vec))
-        blocks = {g: (np.array([q for q, _ in qs], np.int64), np.array([v for _, v in qs], np.float64)) for g, qs in groups.items() if g is not None}
-
-        def near(batches: Iterator[pa.RecordBatch], blocks=blocks) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                out_schema = pa.schema([("q_id", pa.int64()), ("key", batch.schema.field(1).type), ("id", pa.int64()), ("distance", pa.float64())])
-                coded = batch.column(1).dictionary_encode()
-                codes = coded.indices.fill_null(-1).to_numpy()
-                every = batch.column(0).to_numpy()
-                vectors = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(every), -1)
-                best = []
-                for code, key in enumerate(coded.dictionary.to_pylist()):
-                    ids, vecs = blocks.get(key, ((), ()))
-                    rows = np.flatnonzero(codes == code)
-                    own, x = every[rows], vectors[rows]
-                    for q, v in zip(ids, vecs, strict=True):
-                        d = np.round(((x - v) ** 2).sum(1), 6)
-                        best += [(q, key, own[t], d[t]) for t in np.lexsort((own, d))[: k + 1] if own[t] != q][:k]
-                yield pa.RecordBatch.from_pylist([dict(zip(out_schema.names, row, strict=True)) for row in best], out_schema)
-
-        found = corpus.select("id", "key", "vec").mapInArrow(near, f"q_id long, key {kind}, id long, distance double")
-        out = found if out is None else out.unionByName(found)
-    w = Window.partitionBy("q_id").orderBy("distance", "id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def knn_within(queries: DataFrame, corpus: DataFrame, k: int = 5, **options) -> DataFrame:
+    """``knn`` among the rows with the query's own ``key``: (q_id, key, vec) against (id, key, vec); ids of queries are distinct."""
+    return knn(queries, corpus, k, keyed=True, **options).join(queries.select("q_id", "key"), "q_id")
 
 
 def rerank(hits: DataFrame, orders: DataFrame, key: str, k: int = 5) -> DataFrame:

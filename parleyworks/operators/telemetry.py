@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,22 +58,23 @@ def fold_sorted(df: DataFrame, key: str, order: Sequence[str], start: Callable[[
     """``df`` with ``out`` from a state machine run along each key's rows in order.
 
     Rows are dealt by key and sorted by Spark (which spills); a task then holds one key's state and
-    one batch, however many rows a key has.
+    one batch, however many rows a key has. Keys are compared as they are: null is a key of its own,
+    and large numbers stay exact.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, current, state = False, None, None
         for batch in batches:
             said = []
-            for row in zip(batch[key], *(batch[c] for c in columns), strict=True):
-                if state is None or row[0] != current:
-                    current, state = row[0], start()
+            for row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (key, *columns)), strict=True):
+                if not begun or row[0] != current:
+                    begun, current, state = True, row[0], start()
                 state, word = step(state, row[1:])
                 said.append(word)
-            yield batch.assign(**{out: said})
+            yield batch.append_column(out, pa.array(said, pa.string()))
 
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, f"{schema}, {out} string")
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, f"{schema}, {out} string")
 
 
 def breaker_step(threshold: int, recovery: int):

@@ -7,23 +7,41 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 
-_SKILL = "name string, description string, keywords array<string>, agents array<string>, enabled boolean, content string, instructions string"
+_NO = ("0", "false", "no", "off", "disabled")
 
 
 def _meta(head: Column, key: str) -> Column:
-    value = strip(F.regexp_extract(head, rf"(?m)^[ \t]*{key}[ \t]*:(.*)$", 1))
-    return F.regexp_replace(value, r"""^["']|["']$""", "")
+    """The value of the last line ``key: value``, without quotes around it; blank where there is none."""
+    every = F.regexp_extract_all(head, F.lit(rf"(?m)^[ \t]*{key}[ \t]*:(.*)$"), F.lit(1))
+    value = F.coalesce(F.get(every, F.size(every) - 1), F.lit(""))
+    return F.regexp_replace(strip(value), r"""^["']+|["']+$""", "")
 
 
 def _items(value: Column) -> Column:
     return F.filter(F.transform(F.split(value, ","), strip), lambda x: x != "")
 
 
+def _on(value: Column) -> Column:
+    """Whether a value switches on; a blank one does."""
+    return ~F.lower(strip(F.coalesce(value, F.lit("")))).isin(*_NO)
+
+
+def _field(raw: Column, key: str) -> Column:
+    return F.coalesce(F.get_json_object(raw, f"$.{key}"), F.lit(""))
+
+
+def _listed(value: Column) -> Column:
+    """A JSON list, or a text with commas, as its items."""
+    listed = F.filter(F.transform(F.from_json(value, "array<string>"), strip), lambda x: x != "")
+    return F.coalesce(F.when(value.startswith("["), listed), _items(value))
+
+
 def read_skills(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Skills under ``root`` in load order (SKILL.md files first, then by path), and the files that gave none.
+    """Skills under ``root`` in load order (SKILL.md files first, then by path), and the files that gave none, with the reason.
 
-    Dot files and any README.md are skipped. A file is a skill where it has a body; a JSON file needs
-    ``content`` or ``instructions``. An unclosed front matter belongs to the body.
+    Dot files and any README.md are skipped. A file is a skill where it has a body; a JSON file must
+    be an object with ``content`` or ``instructions``. An unclosed front matter belongs to the body;
+    of equal keys the last counts. Agents are lower-cased.
     """
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
     files = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
@@ -31,41 +49,53 @@ def read_skills(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     files = files.withColumns({"file": base, "stem": F.regexp_replace(base, r"\.[^.]*$", ""), "dir": F.element_at(F.split("path", "/"), -2)})
     kind = F.lower(F.regexp_extract("file", r"\.([^.]*)$", 1))
     files = files.where(~F.col("file").startswith(".") & (F.lower("file") != "readme.md") & kind.isin("md", "txt", "json")).withColumn("kind", kind)
-    fence = r"(?s)\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)"
+    fence = r"(?sm)\A\s*---[ \t]*\r?\n(.*?)^[ \t]*---[ \t]*(?:\r?\n|\z)"
     head = F.regexp_extract("raw", fence, 1)
     body = strip(F.regexp_replace("raw", fence, ""))
-    is_skill = F.col("file") == "SKILL.md"
-    heading = strip(F.regexp_extract(body, r"(?m)^\s*#+[ \t]+(.*)$", 1))
-    named = F.coalesce(F.nullif(_meta(head, "name"), F.lit("")), F.nullif(heading, F.lit("")), F.when(is_skill, F.col("dir")).otherwise(F.col("stem")))
-    titled = F.regexp_extract(body, r"\A\s*#+[ \t]+([^\r\n]*)", 1)
-    cut = F.when(strip(titled) == named, strip(F.regexp_replace(body, r"\A\s*#+[ \t]+[^\r\n]*", ""))).otherwise(body)
-    on = ~F.lower(F.coalesce(F.nullif(_meta(head, "enabled"), F.lit("")), F.lit("true"))).isin("0", "false", "no", "off", "disabled")
+    heading = strip(F.regexp_extract(body, r"(?m)^[ \t]*#+(.*)$", 1))
+    default = F.when(F.col("file") == "SKILL.md", F.col("dir")).otherwise(F.col("stem"))
+    named = F.coalesce(F.nullif(_meta(head, "name"), F.lit("")), F.nullif(heading, F.lit("")), default)
+    titled = F.regexp_extract(body, r"\A#+([^\r\n]*)", 1)
+    cut = F.when(body.startswith("#") & (strip(titled) == named), strip(F.regexp_replace(body, r"\A#+[^\r\n]*", ""))).otherwise(body)
     text = files.where("kind <> 'json'").select(
-        "path", named.alias("name"), _meta(head, "description").alias("description"), _items(_meta(head, "keywords")).alias("keywords"), _items(_meta(head, "agents")).alias("agents"), on.alias("enabled"), cut.alias("content")
+        "path",
+        named.alias("name"),
+        _meta(head, "description").alias("description"),
+        _items(_meta(head, "keywords")).alias("keywords"),
+        F.transform(_items(_meta(head, "agents")), F.lower).alias("agents"),
+        _on(_meta(head, "enabled")).alias("enabled"),
+        cut.alias("content"),
+        F.when(body == "", "no body").alias("reason"),
     )
-    j = F.from_json("raw", _SKILL)
-    parsed = files.where("kind = 'json'").select("path", "stem", j.alias("j"))
-    none = F.array().cast("array<string>")
-    json = parsed.select(
+    raw = F.col("raw")
+    content = strip(F.coalesce(F.nullif(_field(raw, "content"), F.lit("")), _field(raw, "instructions")))
+    is_object = F.schema_of_variant(F.try_parse_json(raw)).startswith("OBJECT")
+    json = files.where("kind = 'json'").select(
         "path",
-        F.coalesce(F.nullif("j.name", F.lit("")), "stem").alias("name"),
-        F.coalesce("j.description", F.lit("")).alias("description"),
-        F.coalesce("j.keywords", none).alias("keywords"),
-        F.coalesce("j.agents", none).alias("agents"),
-        F.coalesce("j.enabled", F.lit(True)).alias("enabled"),
-        strip(F.coalesce(F.nullif("j.content", F.lit("")), F.col("j.instructions"))).alias("content"),
+        F.coalesce(F.nullif(_field(raw, "name"), F.lit("")), "stem").alias("name"),
+        _field(raw, "description").alias("description"),
+        _listed(_field(raw, "keywords")).alias("keywords"),
+        F.transform(_listed(_field(raw, "agents")), F.lower).alias("agents"),
+        _on(_field(raw, "enabled")).alias("enabled"),
+        content.alias("content"),
+        F.when(~F.coalesce(is_object, F.lit(False)), "no JSON object").when(content == "", "no content or instructions").alias("reason"),
     )
     every = text.unionByName(json)
-    good = F.coalesce(F.col("content"), F.lit("")) != ""
     order = [F.col("path").endswith("/SKILL.md").desc(), "path"]
-    return every.where(good).orderBy(*order), every.where(~good).select("path")
+    return every.where("reason is null").drop("reason").orderBy(*order), every.where("reason is not null").select("path", "reason")
 
 
 def read_knowledge(spark: SparkSession, path: str, max_bytes: int = 10 << 20) -> DataFrame:
-    """(title, content) of a JSON array of records, or of whole text files; files over ``max_bytes`` are left out."""
+    """(title, content) of a JSON array of records, or of whole text files; files over ``max_bytes`` are left out (``refused_knowledge`` names them)."""
     if path.endswith(".json"):
         rows = spark.read.schema("title string, content string").option("multiLine", True).json(path)
         sized = rows.where(F.col("_metadata.file_size") <= max_bytes)
         return sized.select(F.coalesce("title", F.lit("")).alias("title"), F.coalesce("content", F.lit("")).alias("content"))
     rows = spark.read.text(path, wholetext=True).where(F.col("_metadata.file_size") <= max_bytes)
     return rows.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("title"), F.regexp_replace("value", "�", "").alias("content"))
+
+
+def refused_knowledge(spark: SparkSession, path: str, max_bytes: int = 10 << 20) -> DataFrame:
+    """(path, bytes, reason) of the files that ``read_knowledge`` leaves out."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"))
+    return files.where(F.col("bytes") > max_bytes).withColumn("reason", F.lit(f"larger than {max_bytes} bytes"))

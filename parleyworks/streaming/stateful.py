@@ -1,4 +1,4 @@
-"""Streaming forms of sessions, ticks and the circuit breaker."""
+"""Streaming forms of sessions, compaction, ticks and the circuit breaker."""
 
 from __future__ import annotations
 
@@ -12,13 +12,41 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.telemetry import breaker_step
 
 
-def session_counts(events: DataFrame, key: str, ts: str, gap: str = "24 hours", late: str = "1 hour") -> DataFrame:
-    """(key, start, end, n) of each session once the watermark has closed it; an event at exactly the gap is merged."""
-    s = F.session_window(ts, gap)
+def session_counts(events: DataFrame, key: str, ts: str, gap: int = 86_400_000_000, late: str = "1 hour") -> DataFrame:
+    """(key, start, end, n) of each session once the watermark has closed it; ``gap`` microseconds or more begin a new one.
+
+    A session window merges an event at exactly its gap, so it is opened a microsecond short; ``end`` is the last event's time plus that.
+    """
+    short = gap - 1
+    s = F.session_window(ts, f"{short // 1_000_000} seconds {short % 1_000_000} microseconds")
     out = events.withWatermark(ts, late).groupBy(key, s.alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return out.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def compaction(events: DataFrame, key: str, order: str, text: str, at: int = 15, keep: int = 5) -> DataFrame:
+    """(key, batch, text, n): the rows that each compaction takes, joined in order, when a key's log has reached ``at`` rows.
+
+    The state of a key is its live rows, ``at`` at most; rows of a micro-batch go in ``order``.
+    """
+    kind = events.schema[key].dataType.simpleString()
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        done, live = state.get if state.exists else (0, [])
+        live, out = list(live), []
+        for row in pd.concat(list(batches)).sort_values(order, kind="stable")[text]:
+            live.append(row)
+            if len(live) >= at:
+                taken, live = live[: len(live) - keep], live[len(live) - keep :]
+                out.append((k[0], done, "\n".join(x or "" for x in taken), len(taken)))
+                done += 1
+        state.update((done, live))
+        yield pd.DataFrame(out, columns=[key, "batch", "text", "n"])
+
+    return events.select(key, order, text).groupBy(key).applyInPandasWithState(
+        run, f"{key} {kind}, batch long, text string, n long", "done long, live array<string>", "append", GroupStateTimeout.NoTimeout
+    )
+
+
 def ticks(events: DataFrame, key: str, ts: str, value: str, every: str = "10 seconds", late: str = "1 minute") -> DataFrame:
     """(tick, key, n, mean): what a collector that runs at a fixed interval would see."""
     out = events.withWatermark(ts, late).groupBy(F.window(ts, every).alias("w"), key).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
@@ -26,8 +54,9 @@ def ticks(events: DataFrame, key: str, ts: str, value: str, every: str = "10 sec
 
 
 def circuit_breaker(events: DataFrame, key: str, at: str, ok: str, threshold: int = 5, recovery: int = 60_000_000) -> DataFrame:
-    """(key, at, outcome) of each call, the state of each key kept between batches; calls of a batch go in time order."""
+    """(key, at, outcome) of each call, the state of each key kept between batches; calls of a batch go in time order; calls without a time or an outcome are left out."""
     step = breaker_step(threshold, recovery)
+    events = events.where(F.col(at).isNotNull() & F.col(ok).isNotNull())
     kind = events.schema[key].dataType.simpleString()
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
