@@ -288,7 +288,7 @@ def jaccard_join(
     branches: int = 3,
     rounds: int = 3,
     block: int = 1024,
-    block_tokens: int = 1 << 20,
+    block_tokens: int = 1 << 19,
     broadcast_sets: int = 250_000,
 ) -> DataFrame:
     """doc_id, class_id, n_links (documents at the threshold or above, copies included), class_size of every row."""
