@@ -94,12 +94,17 @@ def repeated_fingerprints(fps: DataFrame, block_bits: int = 11, flush: int = 1 <
     return filters.groupBy("block").applyInPandas(merged, "fp long, n long")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bits: int = 11) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bits: int | None = None) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Without ``block_bits`` the fingerprint space is cut so that a block has about 2**18 rows, and into 2**11 blocks at least.
+    """
     bounded_batches(docs)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     digests = settle(rows.mapInArrow(_digest, f"doc_id {kind}, fp long, sha string"), "digests")
+    if block_bits is None:
+        block_bits = max(11, (digests.count() >> 18).bit_length())
     repeated = settle(repeated_fingerprints(digests, block_bits), "repeated")
     normal = rows.mapInArrow(_normalise, f"doc_id {kind}, fp long, norm string")
     groups = (

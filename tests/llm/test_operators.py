@@ -415,6 +415,8 @@ def test_exact_dedup_odd(spark):
     assert {(1, 2, 3, False), (2, 2, 3, True), (None, 2, 3, False), (3, 3, 3, True), (None, 3, 3, False), (6, 6, 1, True)} <= got
     assert {r.text_sha256 for r in rows if r.doc_id == 6} == {hashlib.sha256("ÄÖ é　z".encode()).hexdigest()}
     assert exact_dedup.exact_dedup(odd(spark, [])).count() == 0
+    key = lambda r: repr(r)
+    assert sorted(exact_dedup.exact_dedup(odd(spark), block_bits=20).collect(), key=key) == sorted(rows, key=key)
 
 
 # ---- 9 line dedup
