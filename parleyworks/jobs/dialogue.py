@@ -129,13 +129,14 @@ SELECT conv_id AS doc_id, label, CASE WHEN critical OR person THEN 'escalation'
 
 @query(_sql_routed())
 def full_route(spark, sf_dir):
-    found = tx.entities(F.col("text"))
-    bonuses = [("technical", F.size(found["error_code"]) > 0, 0.2), ("billing", F.size(found["amount"]) > 0, 0.15), ("general", F.size(found["order_id"]) > 0, 0.1)]
     df = read(spark, sf_dir, "documents").select("doc_id", "text")
-    df = df.withColumn("best", classify.best_label(classify.keyword_hits(F.col("text"), DICTIONARY))).select("*", "best.label", "best.score")
-    r = classify.route_request(
-        classify.domain_scores(F.col("text"), F.col("label"), RULES, bonuses), classify.urgency(F.col("text"), F.col("label"), LEVELS), F.col("label"), F.col("score"), TO_PERSON
-    )
+    # what is used more than once is a column of its own, so it is worked out once
+    df = df.withColumns({f"has_{k}": F.col("text").rlike(tx.ENTITIES[k]) for k in ("error_code", "amount", "order_id")})
+    df = df.withColumn("hits", classify.keyword_hits(F.col("text"), DICTIONARY))
+    df = df.withColumn("best", classify.best_label(F.col("hits"))).select("*", "best.label", "best.score")
+    bonuses = [("technical", F.col("has_error_code"), 0.2), ("billing", F.col("has_amount"), 0.15), ("general", F.col("has_order_id"), 0.1)]
+    df = df.withColumns({"scores": classify.domain_scores(F.col("text"), F.col("label"), RULES, bonuses), "urgency": classify.urgency(F.col("text"), F.col("label"), LEVELS)})
+    r = classify.route_request(F.col("scores"), F.col("urgency"), F.col("label"), F.col("score"), TO_PERSON)
     return df.select("doc_id", "label", r.alias("r")).select("doc_id", "label", F.col("r.primary").alias("primary_domain"), "r.supporting", "r.confidence", "r.agent")
 
 
