@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -163,11 +163,13 @@ _PACK = """list_reduce(list_concat([{done: []::VARCHAR[], cur: '', s: ''}], list
     ELSE {done: a.done, cur: CASE WHEN a.cur = '' THEN x.s ELSE a.cur || '.' || x.s END, s: ''} END)"""
 
 
-@query(
-    f"""WITH d AS (SELECT doc_id, text, source || '/' || doc_id AS title, list_filter(regexp_split_to_array(text, '[.\n]'), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13)) <> '') AS sentences FROM documents),
+_CHUNKED = f"""d AS (SELECT doc_id, text, source, source || '/' || doc_id AS title, list_filter(regexp_split_to_array(text, '[.\n]'), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13)) <> '') AS sentences FROM documents),
 p AS (SELECT *, {_PACK} AS x FROM d),
-c AS (SELECT doc_id, title, CASE WHEN length(text) <= 500 THEN list_filter([text], lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13)) <> '') WHEN x.cur = '' THEN x.done ELSE list_append(x.done, x.cur) END AS c FROM p)
-SELECT doc_id, title, len(c)::INTEGER AS total_chunks, (i - 1)::INTEGER AS chunk_index, chunk, md5(title || '_' || (i - 1) || '_' || substr(chunk, 1, 50)) AS chunk_id
+c AS (SELECT doc_id, source, title, CASE WHEN length(text) <= 500 THEN list_filter([text], lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13)) <> '') WHEN x.cur = '' THEN x.done ELSE list_append(x.done, x.cur) END AS c FROM p)"""
+
+
+@query(
+    f"""WITH {_CHUNKED} SELECT doc_id, title, len(c)::INTEGER AS total_chunks, (i - 1)::INTEGER AS chunk_index, chunk, md5(title || '_' || (i - 1) || '_' || substr(chunk, 1, 50)) AS chunk_id
 FROM (SELECT *, unnest(c) AS chunk, generate_subscripts(c, 1) AS i FROM c)"""
 )
 def chunk_documents(spark, sf_dir):
@@ -177,6 +179,12 @@ def chunk_documents(spark, sf_dir):
     return df.withColumn("chunk_id", F.md5(F.concat_ws("_", "title", F.col("chunk_index").cast("string"), F.substring("chunk", 1, 50))))
 
 
+@query(f"WITH {_CHUNKED} SELECT source, count(*) AS documents, sum(len(c))::BIGINT AS chunks FROM c GROUP BY source")
+def chunk_counts(spark, sf_dir):
+    n = F.size(tx.chunks(F.col("text"), delimiters="[.\n]", joiner="."))
+    return read(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(n).alias("chunks"))
+
+
 _KNN = """nn AS (
   SELECT q_id, id, label, distance, row_number() OVER (PARTITION BY q_id ORDER BY distance, id) AS rank FROM (
     SELECT q.vec_id AS q_id, c.vec_id AS id, c.label,
@@ -310,6 +318,33 @@ def routing_penalty(spark, sf_dir):
     return s.select("key", F.round("penalty", 6).alias("penalty"), F.round(telemetry.routing_score(F.col("success_rate"), F.col("avg_ms"), F.col("penalty")), 6).alias("score"))
 
 
+@query(
+    f"""WITH {_STATS}, p AS (SELECT *, CASE WHEN key % 3 = 0 THEN {_PENALTY} * 4 - 1 ELSE 0 END AS found FROM stats),
+c AS (SELECT *, greatest(0, least(0.9, found)) AS penalty FROM p), r AS (SELECT key % 7 AS pool, key, round((0.7 * success_rate + 0.3 / (1 + avg_ms / 1000)) * greatest(0, 1 - penalty), 6) AS score FROM c)
+SELECT pool, key, score FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY score DESC, key) AS n FROM r) WHERE n = 1"""
+)
+def penalised_instance(spark, sf_dir):
+    s = _stats(spark, sf_dir)
+    found = s.where("key % 3 = 0").withColumn("penalty", telemetry.routing_penalty(F.col("success_rate"), F.col("avg_ms"), slow=45, scale=100) * 4 - 1)
+    scored = telemetry.penalised(s, found, "key").select((F.col("key") % 7).alias("pool"), "key", F.round("score", 6).alias("score"))
+    return telemetry.best_instance(scored, "pool", "key", "score")
+
+
+@query(
+    f"""WITH {_CALLS}, t AS (SELECT tool, count(*) AS n, sum(ok::INTEGER) AS success, {', '.join(f'count(*) FILTER (WHERE ms <= {b}) AS b{b}' for b in (5, 50, 1000))} FROM calls GROUP BY tool)
+SELECT unnest(['requests_total{{tool="' || tool || '"}} ' || n, 'requests_ok_total{{tool="' || tool || '"}} ' || success,
+  {', '.join(f"""'latency_ms_bucket{{tool="' || tool || '",le="{b}"}} ' || b{b}""" for b in (5, 50, 1000))}, 'latency_ms_bucket{{tool="' || tool || '",le="+Inf"}} ' || n, 'latency_ms_count{{tool="' || tool || '"}} ' || n]) AS line FROM t"""
+)
+def metrics_text(spark, sf_dir):
+    n = F.count(F.lit(1)).alias("n")
+    t = calls(spark, sf_dir).groupBy("tool").agg(n, F.sum(F.col("ok").cast("int")).alias("success"), *[F.count_if(F.col("ms") <= b).alias(f"b{b}") for b in (5, 50, 1000)])
+    tool = {"tool": F.col("tool")}
+    lines = [telemetry.exposition("latency_ms_bucket", tool | {"le": F.lit(str(b))}, F.col(f"b{b}")) for b in (5, 50, 1000)]
+    lines.append(telemetry.exposition("latency_ms_bucket", tool | {"le": F.lit("+Inf")}, F.col("n")))
+    lines += [telemetry.exposition(name, tool, F.col(c)) for name, c in (("requests_total", "n"), ("requests_ok_total", "success"), ("latency_ms_count", "n"))]
+    return t.select(F.explode(F.array(*lines)).alias("line"))
+
+
 @query(
     f"""WITH {_CALLS}, z AS (SELECT event_id, key, ms, count(*) OVER w AS n, abs(ms - avg(ms) OVER w) / nullif(stddev_samp(ms) OVER w, 0) AS z
   FROM calls WINDOW w AS (PARTITION BY key ORDER BY us, event_id ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))
@@ -345,8 +380,9 @@ def failure_streak(spark, sf_dir):
 
 @query(f"WITH {_CALLS} SELECT event_id, count(*) OVER w AS total, (sum(ok::INTEGER) OVER w)::BIGINT AS success, round(sum(ms) OVER w, 4) AS total_ms FROM calls WINDOW w AS (PARTITION BY key ORDER BY us, event_id)")
 def cumulative_counters(spark, sf_dir):
-    w = Window.partitionBy("key").orderBy("at", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return calls(spark, sf_dir).select("event_id", F.count(F.lit(1)).over(w).alias("total"), F.sum(F.col("ok").cast("int")).over(w).alias("success"), F.round(F.sum("ms").over(w), 4).alias("total_ms"))
+    sums = {"total": F.lit(1), "success": F.col("ok").cast("int"), "total_ms": F.col("ms")}
+    t = telemetry.running_totals(calls(spark, sf_dir), "key", ["at", "event_id"], sums)
+    return t.select("event_id", "total", "success", F.round("total_ms", 4).alias("total_ms"))
 
 
 BUCKETS = [5, 10, 25, 50, 100, 250, 1000]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -31,27 +31,89 @@ def routing_penalty(rate: Column, ms: Column, slow: float = 3000, scale: float =
     return F.least(F.lit(0.9), a + b)
 
 
-def rolling_zscore(df: DataFrame, key: str, order: Sequence[str], value: str, window: int = 60, least: int = 30, limit: float = 2.5) -> DataFrame:
-    """Rows whose value is over ``limit`` sample deviations from the mean of the last ``window`` rows, itself included."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(1 - window, 0)
-    z = F.abs(F.col(value) - F.avg(value).over(w)) / F.nullif(F.stddev_samp(value).over(w), F.lit(0.0))
-    out = df.withColumns({"z": z, "n": F.count(F.lit(1)).over(w)}).where((F.col("n") >= least) & (F.col("z") > limit))
-    return out.withColumn("severity", F.when(F.col("z") > 1.5 * limit, "high").otherwise("medium")).drop("n")
+#: Microseconds of a block of time. A key's rows are split into blocks, so that a hot key is many tasks.
+HOUR = 3_600_000_000
+
+
+def _blocked(df: DataFrame, at: str, width: int) -> DataFrame:
+    return df.withColumn("__block", F.floor(F.col(at) / width))
 
 
-def failure_streaks(calls: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """``streak``: failures since the last success, at each call."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    islands = calls.withColumn("island", F.sum(F.col("ok").cast("int")).over(w))
-    inside = Window.partitionBy(key, "island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return islands.withColumn("streak", F.sum((~F.col("ok")).cast("int")).over(inside)).drop("island")
+def _with_blocks(rows: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
+    """``rows`` with what ``blocks`` (key, __block, ...) has on their block; null keys and times are equal to themselves."""
+    b = blocks.withColumnsRenamed({key: "__of", "__block": "__at"})
+    return rows.join(b, F.col(key).eqNullSafe(F.col("__of")) & F.col("__block").eqNullSafe(F.col("__at"))).drop("__of", "__at", "__block")
 
 
-def sessions(df: DataFrame, key: str, at: str, tie: str, gap: int) -> DataFrame:
-    """``session`` numbers from 0: a new one where ``gap`` or more has passed."""
-    w = Window.partitionBy(key).orderBy(at, tie)
-    new = F.coalesce((F.col(at) - F.lag(at).over(w) >= gap).cast("int"), F.lit(0))
-    return df.withColumn("__new", new).withColumn("session", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+def running_totals(df: DataFrame, key: str, order: Sequence[str], totals: Mapping[str, Column], width: int = HOUR) -> DataFrame:
+    """``df`` with running sums along each key's rows in order; ``totals`` names them.
+
+    ``order[0]`` is a number. Sums run inside blocks of ``width`` of it and start with the totals of the
+    key's earlier blocks, which are summed on the map side, so no task sees a whole key. Null values add
+    nothing and null times come first.
+    """
+    rows = _blocked(df, order[0], width)
+    inside = Window.partitionBy(key, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(key, "__block").agg(*[F.sum(c).alias(f"__{n}") for n, c in totals.items()])
+    begin = sums.select(key, "__block", *[F.sum(f"__{n}").over(before).alias(f"__{n}") for n in totals])
+    out = _with_blocks(rows.withColumns({n: F.sum(c).over(inside) for n, c in totals.items()}), begin, key)
+    zero = F.lit(0)
+    return out.withColumns({n: F.coalesce(F.col(n), zero) + F.coalesce(F.col(f"__{n}"), zero) for n in totals}).drop(*[f"__{n}" for n in totals])
+
+
+def rolling_zscore(df: DataFrame, key: str, order: Sequence[str], value: str, window: int = 60, least: int = 30, limit: float = 2.5, chunk: int = 100_000) -> DataFrame:
+    """Rows whose value is over ``limit`` sample deviations from the mean of the last ``window`` rows, itself included.
+
+    A key's rows are numbered and dealt in chunks of ``chunk``; the last rows of a chunk also stand
+    before the next one, so windows are whole and a hot key is many tasks. ``chunk`` is no less than ``window``.
+    """
+    place = F.col("__row") - 1
+    rows = running_totals(df, key, order, {"__row": F.lit(1)}).withColumn("__chunk", F.floor(place / chunk))
+    lent = place % chunk >= chunk - (window - 1)
+    dealt = rows.withColumn("__to", F.explode(F.when(lent, F.array(F.col("__chunk"), F.col("__chunk") + 1)).otherwise(F.array("__chunk"))))
+    w = Window.partitionBy(key, "__to").orderBy("__row").rowsBetween(1 - window, 0)
+    z = F.abs(F.col(value) - F.avg(value).over(w)) / F.nullif(F.stddev_samp(value).over(w), F.lit(0.0))
+    out = dealt.withColumns({"z": z, "n": F.count(F.lit(1)).over(w)}).where((F.col("n") >= least) & (F.col("z") > limit) & (F.col("__to") == F.col("__chunk")))
+    return out.withColumn("severity", F.when(F.col("z") > 1.5 * limit, "high").otherwise("medium")).drop("n", "__row", "__chunk", "__to")
+
+
+def failure_streaks(calls: DataFrame, key: str, order: Sequence[str], width: int = HOUR) -> DataFrame:
+    """``streak``: failures since the last success, at each call.
+
+    A block of ``width`` runs by itself; a streak that no success in the block has ended goes on from the blocks before it.
+    """
+    rows = _blocked(calls, order[0], width)
+    w = Window.partitionBy(key, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    good, bad = F.coalesce(F.col("ok").cast("int"), F.lit(0)), F.coalesce((~F.col("ok")).cast("int"), F.lit(0))
+    rows = rows.withColumns({"__good": F.sum(good).over(w), "__bad": F.sum(bad).over(w)})
+    since = F.col("__bad") - F.coalesce(F.max(F.when(F.col("ok"), F.col("__bad"))).over(w), F.lit(0))
+    rows = rows.withColumn("streak", since)
+    last = F.struct(*order)
+    ends = rows.groupBy(key, "__block").agg(F.max("__good").alias("__any"), F.max_by("streak", last).alias("__tail"))
+    by_key = Window.partitionBy(key).orderBy("__block")
+    ends = ends.withColumn("__island", F.sum((F.col("__any") > 0).cast("int")).over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = ends.withColumn("__after", F.sum("__tail").over(Window.partitionBy(key, "__island").orderBy("__block").rowsBetween(Window.unboundedPreceding, 0)))
+    begin = ends.select(key, "__block", F.coalesce(F.lag("__after").over(by_key), F.lit(0)).alias("__open"))
+    out = _with_blocks(rows, begin, key)
+    return out.withColumn("streak", F.col("streak") + F.when(F.col("__good") == 0, F.col("__open")).otherwise(0)).drop("__good", "__bad", "__open")
+
+
+def sessions(df: DataFrame, key: str, at: str, tie: str, gap: int, width: int = HOUR) -> DataFrame:
+    """``session`` numbers from 0: a new one where ``gap`` or more has passed.
+
+    Gaps inside blocks of ``width`` are counted in the block; those between blocks from the blocks' first and last times.
+    """
+    rows = _blocked(df, at, width)
+    w = Window.partitionBy(key, "__block").orderBy(at, tie)
+    rows = rows.withColumn("__new", F.coalesce((F.col(at) - F.lag(at).over(w) >= gap).cast("int"), F.lit(0)))
+    by_key = Window.partitionBy(key).orderBy("__block")
+    ends = rows.groupBy(key, "__block").agg(F.min(at).alias("__first"), F.max(at).alias("__last"), F.sum("__new").alias("__in"))
+    start = F.coalesce((F.col("__first") - F.lag("__last").over(by_key) >= gap).cast("int"), F.lit(0))
+    so_far = by_key.rowsBetween(Window.unboundedPreceding, 0)
+    begin = ends.withColumn("__start", start).select(key, "__block", (F.sum(F.col("__start") + F.col("__in")).over(so_far) - F.col("__in")).alias("__base"))
+    inside = rows.withColumn("session", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return _with_blocks(inside, begin, key).withColumn("session", F.col("session") + F.col("__base")).drop("__new", "__base")
 
 
 def fold_sorted(df: DataFrame, key: str, order: Sequence[str], start: Callable[[], object], step: Callable[[object, tuple], tuple[object, str]], columns: Sequence[str], out: str) -> DataFrame:
@@ -125,6 +187,26 @@ def best_instance(stats: DataFrame, group: str, instance: str, score: str) -> Da
     return stats.groupBy(group).agg(F.min(best).alias("b")).select(group, F.col("b.id").alias(instance), (-F.col("b.neg")).alias(score))
 
 
+def penalised(stats: DataFrame, penalties: DataFrame, key: str, most: float = 0.9) -> DataFrame:
+    """``stats`` with ``penalty``, looked up by key (one row a key; 0 without one, clamped to 0 and ``most``), and the ``score`` under it."""
+    p = penalties.select(F.col(key).alias("__of"), F.col("penalty").alias("__found"))
+    out = stats.join(p, F.col(key) == F.col("__of"), "left").withColumn("penalty", F.greatest(F.lit(0.0), F.least(F.lit(most), F.coalesce("__found", F.lit(0.0)))))
+    return out.withColumn("score", routing_score(F.col("success_rate"), F.col("avg_ms"), F.col("penalty"))).drop("__of", "__found")
+
+
+def exposition(metric: str, labels: Mapping[str, Column], value: Column) -> Column:
+    """One line of metrics as text, ``metric{label="value",...} value``; backslashes, quotes and line ends of label values are escaped."""
+
+    def quoted(x: Column) -> Column:
+        x = F.coalesce(x.cast("string"), F.lit(""))
+        for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
+            x = F.replace(x, F.lit(plain), F.lit(escaped))
+        return x
+
+    parts = [F.concat(F.lit(f'{name}="'), quoted(x), F.lit('"')) for name, x in labels.items()]
+    return F.concat(F.lit(metric + "{"), F.concat_ws(",", *parts), F.lit("} "), value.cast("string"))
+
+
 def suggestions(tools: DataFrame, agents: DataFrame, streak: int = 3, rate: float = 0.85, calls: int = 10, most: int = 5) -> DataFrame:
     """The ``most`` urgent suggestions (title, priority): tools (key, streak) that fail on, agents (key, total, success_rate) that fail often.
 
@@ -146,7 +228,7 @@ def with_fallback(result: Column, ok: Column, fallback: Column, error: Column) -
 def feedback(ticks: DataFrame, key: str, tick: str, slow: float = 3000, scale: float = 10000) -> DataFrame:
     """``penalty`` and ``score`` at each tick: lifetime totals, penalised by what the tick before has found.
 
-    ``ticks`` has total, success and sum_ms of each key and tick.
+    ``ticks`` has total, success and sum_ms of each key and tick, so a key has as many rows as there are ticks.
     """
     w = Window.partitionBy(key).orderBy(tick)
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)

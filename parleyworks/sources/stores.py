@@ -49,6 +49,13 @@ def seed_when_empty(seed: DataFrame, path: str, **options) -> int:
     return add_chunks(seed, path, **options)
 
 
+def add_templates(corrected: DataFrame, path: str) -> None:
+    """Store corrected messages (label, text) as templates of their labels; a stored one stays as it is."""
+    known = stored(corrected.sparkSession, path, "label string, text string")
+    new = corrected.select("label", "text").distinct().join(known, ["label", "text"], "left_anti")
+    new.write.mode("append").parquet(path)
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     """Add messages, summaries or episodes to their log."""
     rows.write.mode("append").parquet(path)

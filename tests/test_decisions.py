@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from parleyworks.functions import text as tx
@@ -128,3 +129,37 @@ def test_recommend_json_and_cache_key(spark):
     df = spark.createDataFrame(rows, "t string, h array<struct<role: string, content: string>>")
     k = [r[0] for r in df.select(tx.cache_key(F.col("t"), F.col("h"))).collect()]
     assert k[0] == k[1] and k[4] == k[5] and len(set(k)) == 4
+
+
+@pytest.mark.parametrize("width", [1, 7, 50, 10_000])
+def test_windows_in_blocks_by_loop(spark, width):
+    """Running totals, streaks, sessions and z-scores of hot, small and null keys do not depend on how time is cut."""
+    rng = random.Random(width)
+    rows = [(i, rng.choice(["hot", "hot", "hot", "a", None]), rng.choice([None, -30, *range(0, 600, 3)]), rng.random() < 0.4, rng.choice([1.0, 2.0, 3.0, 90.0])) for i in range(900)]
+    df = spark.createDataFrame(rows, "id int, key string, at long, ok boolean, ms double").repartition(5)
+    order = ["at", "id"]
+    totals = {r.id: (r.n, r.sum) for r in telemetry.running_totals(df, "key", order, {"n": F.lit(1), "sum": F.col("ms")}, width).collect()}
+    streaks = {r.id: r.streak for r in telemetry.failure_streaks(df, "key", order, width).collect()}
+    session = {r.id: r.session for r in telemetry.sessions(df, "key", "at", "id", 9, width).collect()}
+    odd = {r.id: r.z for r in telemetry.rolling_zscore(df, "key", order, "ms", window=10, least=5, limit=1.5, chunk=10 + width).collect()}
+    want_odd = {}
+    for key in ("hot", "a", None):
+        mine = sorted((r for r in rows if r[1] == key), key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
+        streak = number = 0
+        for i, (row, _, at, ok, ms) in enumerate(mine):
+            streak = 0 if ok else streak + 1
+            number += i > 0 and at is not None and mine[i - 1][2] is not None and at - mine[i - 1][2] >= 9
+            assert totals[row] == (i + 1, sum(r[4] for r in mine[: i + 1]))
+            assert (streaks[row], session[row]) == (streak, number)
+            last = [r[4] for r in mine[max(0, i - 9) : i + 1]]
+            if len(last) >= 5 and np.std(last, ddof=1) > 0 and (z := abs(ms - np.mean(last)) / np.std(last, ddof=1)) > 1.5:
+                want_odd[row] = z
+    assert odd.keys() == want_odd.keys() and all(np.isclose(odd[k], want_odd[k]) for k in odd)
+
+
+def test_penalties_and_metrics_text(spark):
+    s = spark.createDataFrame([("a", 1.0, 0.0), ("b", 1.0, 0.0), ("c", 1.0, 0.0), (None, 1.0, 0.0)], "key string, success_rate double, avg_ms double")
+    p = spark.createDataFrame([("a", 2.0), ("b", -1.0)], "key string, penalty double")
+    assert {r.key: (r.penalty, round(r.score, 9)) for r in telemetry.penalised(s, p, "key").collect()} == {"a": (0.9, 0.1), "b": (0.0, 1.0), "c": (0.0, 1.0), None: (0.0, 1.0)}
+    df = spark.createDataFrame([('x"\\\n', 3), (None, 4)], "tool string, n long")
+    assert [r[0] for r in df.select(telemetry.exposition("n", {"tool": F.col("tool"), "le": F.lit("5")}, F.col("n"))).collect()] == ['n{tool="x\\"\\\\\\n",le="5"} 3', 'n{tool="",le="5"} 4']

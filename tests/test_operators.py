@@ -308,6 +308,14 @@ def test_stores(spark, tmp_path):
     assert [tuple(r) for r in stores.upsert_profiles(spark.createDataFrame([("a", 2, "new")], "k string, at int, p string"), spark.createDataFrame([("a", 1, "old")], "k string, at int, p string"), ["k"], ["at"]).collect()] == [("a", 2, "new")]
 
 
+def test_templates_are_added_once(spark, tmp_path):
+    path = str(tmp_path / "templates")
+    first = spark.createDataFrame([("refund", "a"), ("refund", "a"), ("query", "a")], "label string, text string")
+    stores.add_templates(first, path)
+    stores.add_templates(spark.createDataFrame([("refund", "b"), ("query", "a")], "label string, text string"), path)
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("query", "a"), ("refund", "a"), ("refund", "b")]
+
+
 def test_evaluation_runs(spark, tmp_path):
     (tmp_path / "cases.json").write_text('[{"id": "1", "query": "q", "expected_intent": "refund"}, {"id": "2", "history": [{"role": "user", "content": "c"}]}]')
     cases = evaluation.read_cases(spark, str(tmp_path / "cases.json")).orderBy("id").collect()
