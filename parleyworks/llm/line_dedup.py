@@ -40,10 +40,20 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(F.lit(1), bare).alias("b"))
 
 
+def _name(key: Column) -> Column:
+    """A key as text, which array functions hash (structs they compare one by one)."""
+    return F.concat(F.hex(key["a"]), F.lit("-"), F.hex(key["b"]))
+
+
 def _blank(line: Column) -> Column:
     return F.trim(line, F.lit(" \t\r")) == ""
 
 
+def _own(text: str) -> Column:
+    """The keys, as text, of the lines of a page."""
+    return F.transform(F.filter(F.split(text, "\n"), lambda x: ~_blank(x)), lambda x: _name(_key(x)))
+
+
 def boilerplate(pages: DataFrame, host: str, text: str, ratio: float, min_pages: int) -> DataFrame:
     """(host, lines): the hashed boilerplate lines of each host."""
     df = pages.select(F.col(host).alias("__ld_host"), F.split(text, "\n").alias("__ld_lines"))
@@ -68,7 +78,10 @@ def line_dedup(
     small = small_enough(found, broadcast_hosts)
     joined = pages.join(F.broadcast(found) if small else found, F.col(host).eqNullSafe(F.col(site)), "left")
     lines = F.split(text, "\n")
-    some = F.filter(lines, lambda x: _blank(x) | ~F.array_contains(F.col(drop), _key(x)))
+    # a page's own boilerplate is found by hashing, once; each line then looks into that, which is short
+    hit = F.array_intersect(_own(text), F.transform(drop, _name))
+    joined = joined.withColumn(drop, F.when(F.col(drop).isNotNull(), hit)).withColumn(drop, F.when(F.size(drop) > 0, F.col(drop)))
+    some = F.filter(lines, lambda x: _blank(x) | ~F.array_contains(F.col(drop), _name(_key(x))))
     if keep_whole:
         some = F.when(F.exists(some, lambda x: ~_blank(x)), some).otherwise(lines)
     joined = joined.withColumn(left, F.when(F.col(drop).isNotNull(), some).otherwise(lines))
