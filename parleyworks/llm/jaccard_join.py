@@ -1,6 +1,6 @@
 """N-gram Jaccard self-join by chosen paths.
 
-Documents are sets of hashed five-word shingles; documents with equal sets are one member with a
+Documents are sets of hashed five-word shingles, A-Z lower-cased; documents with equal sets are one member with a
 number of copies. Sets are embedded by minhash, so that a coordinate is a token sampled from the
 set and two sets share it with probability equal to their similarity.
 
