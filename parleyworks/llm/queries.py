@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, language_id, license_scan, line_dedup, mixing, packing, quality_rules, token_counts, toxicity
+from . import exact_dedup, jaccard_join, language_id, license_scan, line_dedup, mixing, packing, quality_rules, spelling_variants, token_counts, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,10 @@ def op9_small_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.page_line_dedup(table(spark, sf_dir, "pages"), min_pages=3)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -83,6 +87,7 @@ QUERIES: dict[str, Query] = {
         op10_power_of_two_packing,
         op7_license_notices,
         op9_small_site_line_dedup,
+        op11_spelling_variants,
     )
 }
 
@@ -190,6 +195,40 @@ SELECT page_id, p.host, sum(gone::INTEGER)::BIGINT AS n_dropped, coalesce(string
 FROM p JOIN marked USING (r) GROUP BY r, page_id, p.host
 """
 
+# crc32 byte by byte: the table entry of a byte is eight shifts with the reflected polynomial 3988292384
+_OP11 = r"""
+WITH RECURSIVE bits AS (
+  SELECT range AS b, range AS c, 0 AS k FROM range(256)
+  UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8),
+runs AS (
+  SELECT coalesce(doc_id::VARCHAR, 'null') AS id,
+    unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run
+  FROM documents),
+counted AS (SELECT id, run, count(*) AS n FROM runs GROUP BY ALL),
+coded AS (
+  SELECT run, n, hex(encode(id || ':' || run)) AS x FROM counted),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(x)::BIGINT, 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)),
+    lambda a, byte: xor(a >> 8, t[(xor(a, byte) & 255) + 1])), 4294967295) AS h
+  FROM coded, crc),
+noisy AS (
+  SELECT CASE WHEN h % 199 = 0 THEN run[1:(h % length(run))::BIGINT] || run[(h % length(run))::BIGINT + 2:] ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM noisy GROUP BY word HAVING length(word) >= 6 AND sum(n) >= 5),
+cuts AS (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)),
+half AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, n, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS top FROM half GROUP BY word, n),
+formed AS (SELECT words.word, words.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top >= 5 * words.n THEN other END AS form, CASE WHEN top >= 5 * words.n THEN top END AS form_n FROM words LEFT JOIN best USING (word)),
+chain AS (
+  SELECT word, word AS at FROM formed
+  UNION ALL SELECT chain.word, formed.form FROM chain JOIN formed ON formed.word = chain.at WHERE formed.form IS NOT NULL),
+ends AS (SELECT chain.word, chain.at AS root FROM chain JOIN formed ON formed.word = chain.at WHERE formed.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_poisson_mixing": _OP1,
     "op4_rule_cascade": _OP4,
@@ -198,4 +237,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_site_line_dedup": _OP9,
     "op7_license_notices": _op7(license_scan.TEMPLATES),
     "op9_small_site_line_dedup": _OP9.replace("n >= 2", "n >= 3"),
+    "op11_spelling_variants": _OP11,
 }
