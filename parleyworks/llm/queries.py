@@ -7,7 +7,20 @@ from collections.abc import Callable, Mapping
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, language_id, license_scan, line_dedup, mixing, packing, quality_rules, spelling_variants, token_counts, toxicity
+from . import (
+    exact_dedup,
+    jaccard_join,
+    language_id,
+    license_scan,
+    line_dedup,
+    mixing,
+    packing,
+    quality_rules,
+    spelling_variants,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +85,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -88,6 +105,7 @@ QUERIES: dict[str, Query] = {
         op7_license_notices,
         op9_small_site_line_dedup,
         op11_spelling_variants,
+        op13_suffix_dedup,
     )
 }
 
@@ -229,6 +247,23 @@ ends AS (SELECT chain.word, chain.at AS root FROM chain JOIN formed ON formed.wo
 SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
 """
 
+# two hexadecimal digits a byte; a span is a run of windows of which each starts at the end of the one before, or earlier
+_OP13 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+places AS (SELECT r, doc_id, p, substr(x, 2 * p + 1, 100) AS w FROM (SELECT *, unnest(range(0, length(x) // 2 - 49)) AS p FROM d)),
+gone AS (SELECT r, p FROM (SELECT r, doc_id, p, min(doc_id) OVER (PARTITION BY w) AS least FROM places) WHERE least < doc_id OR (doc_id IS NULL AND least IS NOT NULL)),
+marked AS (SELECT *, coalesce(p > lag(p) OVER (PARTITION BY r ORDER BY p) + 50, TRUE)::INTEGER AS opens FROM gone),
+numbered AS (SELECT r, p, sum(opens) OVER (PARTITION BY r ORDER BY p) AS no FROM marked),
+spans AS (SELECT r, no, min(p) AS a, max(p) + 50 AS z FROM numbered GROUP BY r, no),
+kept AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS done FROM spans),
+cut AS (
+  SELECT r, count(*) AS n_spans, sum(z - a) AS n_removed, string_agg(substr(x, 2 * done + 1, 2 * (a - done)), '' ORDER BY a) AS head, max(z) AS z
+  FROM kept JOIN d USING (r) GROUP BY r)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN z IS NULL THEN x ELSE head || substr(x, 2 * z + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_poisson_mixing": _OP1,
     "op4_rule_cascade": _OP4,
@@ -238,4 +273,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_license_notices": _op7(license_scan.TEMPLATES),
     "op9_small_site_line_dedup": _OP9.replace("n >= 2", "n >= 3"),
     "op11_spelling_variants": _OP11,
+    "op13_suffix_dedup": _OP13,
 }
