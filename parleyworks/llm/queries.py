@@ -15,6 +15,7 @@ from . import (
     line_dedup,
     mixing,
     packing,
+    phrase_mining,
     quality_rules,
     spelling_variants,
     suffix_dedup,
@@ -85,6 +86,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.phrase_mining(table(spark, sf_dir, "documents"))
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -105,6 +110,7 @@ QUERIES: dict[str, Query] = {
         op7_license_notices,
         op9_small_site_line_dedup,
         op11_spelling_variants,
+        op12_phrase_mining,
         op13_suffix_dedup,
     )
 }
@@ -247,6 +253,27 @@ ends AS (SELECT chain.word, chain.at AS root FROM chain JOIN formed ON formed.wo
 SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
 """
 
+_OP12 = r"""
+WITH p AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM p, range(1, 6) t(k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100 OR k = 1),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE k >= 2),
+cuts AS (SELECT *, array_to_string(w[:j], ' ') AS first, array_to_string(w[j + 1:], ' ') AS rest FROM (SELECT *, unnest(range(1, len(w))) AS j FROM c)),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, a, l.f AS l, r.f AS r, n.n, j, ((1000::HUGEINT * a * n.n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = first JOIN f r ON r.lang = cuts.lang AND r.phrase = rest JOIN n ON n.lang = cuts.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+longer AS (
+  SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM c, range(2, 5) t(k) WHERE k < len(w)) GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best LEFT JOIN longer USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a
+QUALIFY rank <= 2000
+"""
+
 # two hexadecimal digits a byte; a span is a run of windows of which each starts at the end of the one before, or earlier
 _OP13 = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
@@ -273,5 +300,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_license_notices": _op7(license_scan.TEMPLATES),
     "op9_small_site_line_dedup": _OP9.replace("n >= 2", "n >= 3"),
     "op11_spelling_variants": _OP11,
+    "op12_phrase_mining": _OP12,
     "op13_suffix_dedup": _OP13,
 }
