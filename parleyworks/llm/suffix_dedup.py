@@ -13,7 +13,7 @@ The steps, each a Spark job over written tables or shuffles:
 2. Each block sends the hashes of its anchors, with the number of its documents that have them, to their buckets, which send back
    those of two documents or more. No other piece can be repeated, so no other text moves.
 3. Blocks send the pieces of those anchors to buckets of about ``bucket`` pieces; the transform is built there. Equal pieces of
-   a bucket enter it as one string with the least id.
+   a bucket enter it as one string with the least id, and those of an anchor with a single string, which have no other to meet, not at all.
 4. An anchor in over ``hot`` documents is dealt by document to several buckets. There the first document with a window is found as
    elsewhere; the windows that remain go once more, one by one, to buckets by their whole content, so no bucket has more copies of
    a window than there were buckets of its anchor.
@@ -303,7 +303,13 @@ def _found_spans(width: int, buckets: int, hot_pass: bool):
             length = count + width - 1
             start = np.cumsum(length) - length
             one, of, least = _distinct_strings(raw, start, length, doc)
-            before, begin = _first_documents(raw, start[one], count[one], least, width)
+            anchor = np.concatenate([_array(r["anchors"], "<u8") for r in rows])[one]
+            before, begin = np.repeat(least, count[one]), np.cumsum(count[one]) - count[one]
+            _, which, strings = np.unique(anchor, return_inverse=True, return_counts=True)
+            met = np.flatnonzero(strings[which] > 1)  # a string that is alone with its anchor shares no window
+            found, _ = _first_documents(raw, start[one][met], count[one][met], least[met], width)
+            k = count[one][met]
+            before[np.repeat(begin[met] - np.cumsum(k) + k, k) + np.arange(len(found))] = found
             string = np.repeat(np.arange(len(doc)), count)
             window = np.arange(len(string)) - np.repeat(np.cumsum(count) - count, count)
             gone = before[begin[of[string]] + window] < doc[string]
