@@ -65,15 +65,15 @@ def fold(doc_id: Column) -> Column:
 def bounded_sample(df: DataFrame, group: str, key: str, limit: int, seed: int = 0) -> DataFrame:
     """About ``limit`` rows of each group, all rows where a group has fewer.
 
-    The share kept comes from a count of each group and the choice from a hash of ``key``, so no
-    row is moved to choose it. At most ``limit`` plus its sampling error (a few of its square
-    roots) stay.
+    The share kept comes from a count of each group and the choice from a hash of ``key`` and of the
+    row's place in the table, so no row is moved to choose it and rows that repeat a key are chosen each. At
+    most ``limit`` plus its sampling error (a few of its square roots) stay.
     """
-    value, rate = free_name(df, "sample_value"), free_name(df, "sample_rate")
+    value, rate, place = (free_name(df, x) for x in ("sample_value", "sample_rate", "sample_place"))
     rates = settle(df.groupBy(F.col(group).alias(value)).agg((F.lit(float(limit)) / F.count(F.lit(1))).alias(rate)), "sample-rates")
-    spread = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rated = df.join(F.broadcast(rates) if small_enough(rates, 1_000_000) else rates, F.col(group).eqNullSafe(F.col(value)))
-    return rated.where(spread < F.col(rate)).drop(value, rate)
+    spread = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col(place)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rated = df.withColumn(place, F.monotonically_increasing_id()).join(F.broadcast(rates) if small_enough(rates, 1_000_000) else rates, F.col(group).eqNullSafe(F.col(value)))
+    return rated.where(spread < F.col(rate)).drop(value, rate, place)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -80,9 +80,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(slot), pa.string()), pa.array(slot), pa.array(own[slot])], ["lang", "slot", "n"])
 
 
-def train(docs: DataFrame, per_language: int = 2000) -> tuple[list[str], np.ndarray] | None:
-    """The languages in order and their log-likelihoods, a row for each slot."""
+def train(docs: DataFrame, per_language: int = 2000, languages: int = 64) -> tuple[list[str], np.ndarray] | None:
+    """The languages in order and their log-likelihoods, a row for each slot.
+
+    The ``languages`` values of ``lang`` with the most documents are learned (ties in order of the value), so a column with
+    thousands of values takes 64 x 2**16 numbers in a task and in the driver.
+    """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
+    most = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    rows = rows.where(F.col("lang").isin(most))
     sample = bounded_sample(rows.select("doc_id", "lang", "text"), "lang", "doc_id", per_language)
     by_slot = sample.select("lang", "text").mapInArrow(_count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     found = by_slot.groupBy("lang").agg(F.collect_list("slot").alias("slots"), F.collect_list("n").alias("n")).orderBy("lang").collect()  # 2**16 slots a language

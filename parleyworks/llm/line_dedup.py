@@ -10,8 +10,12 @@ with partial counts. A host's boilerplate has at most (lines of its pages on ave
 entries, so it is one short array by host. That table is broadcast up to ``broadcast_hosts`` hosts;
 beyond, Spark joins by host and splits the hot ones.
 
+A page's lines are looked up in its own boilerplate, which is sorted, so a page costs its lines times the logarithm of that.
+
 Defined results: null text stays null and its page counts for its host; null hosts are one host;
-rows that repeat count as pages each; an empty table gives an empty result. Other columns pass
+rows that repeat count as pages each; an empty table gives an empty result;
+without ``keep_whole`` a page may end without a line, as where two equal pages are a host's only ones; a very long text is its array of lines in
+its task, about a hundred bytes a line. Other columns pass
 through; the added name is a parameter, and working names are chosen free.
 """
 
@@ -49,6 +53,14 @@ def _blank(line: Column) -> Column:
     return F.trim(line, F.lit(" \t\r")) == ""
 
 
+def _holds(ordered: Column, x: Column) -> Column:
+    """Whether a sorted array has ``x``: by comparison with each where it is short, else by halving, a step for each power of two of its size."""
+    most = F.ceil(F.log2(F.size(ordered))).cast("int")
+    steps = F.transform(F.sequence(F.lit(0), most), lambda i: F.pow(F.lit(2), most - i).cast("int"))
+    up_to = F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= F.size(ordered)) & (F.get(ordered, at + s - 1) <= x), at + s).otherwise(at))
+    return F.when(F.size(ordered) <= 16, F.array_contains(ordered, x)).otherwise(F.coalesce(F.get(ordered, up_to - 1) == x, F.lit(False)))
+
+
 def _own(text: str) -> Column:
     """The keys, as text, of the lines of a page."""
     return F.transform(F.filter(F.split(text, "\n"), lambda x: ~_blank(x)), lambda x: _name(_key(x)))
@@ -78,10 +90,10 @@ def line_dedup(
     small = small_enough(found, broadcast_hosts)
     joined = pages.join(F.broadcast(found) if small else found, F.col(host).eqNullSafe(F.col(site)), "left")
     lines = F.split(text, "\n")
-    # a page's own boilerplate is found by hashing, once; each line then looks into that, which is short
-    hit = F.array_intersect(_own(text), F.transform(drop, _name))
+    # a page's own boilerplate is found by hashing, once, and sorted; each line then looks into that by halving
+    hit = F.array_sort(F.array_intersect(_own(text), F.transform(drop, _name)))
     joined = joined.withColumn(drop, F.when(F.col(drop).isNotNull(), hit)).withColumn(drop, F.when(F.size(drop) > 0, F.col(drop)))
-    some = F.filter(lines, lambda x: _blank(x) | ~F.array_contains(F.col(drop), _name(_key(x))))
+    some = F.filter(lines, lambda x: _blank(x) | ~_holds(F.col(drop), _name(_key(x))))
     if keep_whole:
         some = F.when(F.exists(some, lambda x: ~_blank(x)), some).otherwise(lines)
     joined = joined.withColumn(left, F.when(F.col(drop).isNotNull(), some).otherwise(lines))

@@ -109,15 +109,19 @@ def _bag_keys(spark: SparkSession, bags: int) -> list[int]:
     return found if len(found) == bags else list(range(bags))
 
 
-def train(docs: DataFrame, labels: DataFrame, bags: int = 4, positives: int = 4000, unlabelled: int = 16000) -> tuple[np.ndarray, float] | None:
-    """The averaged weights by slot (2**18 of them, whatever the corpus) and bias; None without positives."""
+def train(docs: DataFrame, labels: DataFrame, bags: int = 4, positives: int = 4000, unlabelled: int = 16000, priors: tuple[float, float] = (0.01, 0.5)) -> tuple[np.ndarray, float] | None:
+    """The averaged weights by slot (2**18 of them, whatever the corpus) and bias; None without positives.
+
+    The class prior is the share of toxic rows among the labels, held within ``priors``: outside, the risk has next to no weight
+    on one of its sides.
+    """
     bounded_batches(docs)
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("positive"))
     marks = marks.where(fold(F.col("doc_id")) != 0)
     n, n_pos = marks.agg(F.count(F.lit(1)), F.sum("positive")).first()
     if not n_pos:
         return None
-    prior = min(max(n_pos / n, 0.01), 0.5)
+    prior = min(max(n_pos / n, priors[0]), priors[1])
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
     chosen = bounded_sample(marks.where("positive = 1").select("doc_id", "positive"), "positive", "doc_id", positives)
     p = rows.join(F.broadcast(chosen), "doc_id").select(F.lit(1).alias("positive"), F.col("doc_id").alias("key"), "text")

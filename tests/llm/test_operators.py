@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -18,7 +19,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from parleyworks.llm import exact_dedup, jaccard_join, language_id, license_scan, line_dedup, mixing, packing, quality_rules, quotient_filter, textvec, token_counts, toxicity
-from parleyworks.llm.common import table
+from parleyworks.llm.common import bounded_sample, table
 from parleyworks.llm.queries import ORACLE_SQL, QUERIES
 
 from ..oracle import differences
@@ -255,8 +256,8 @@ def test_rules_odd(spark):
 
 
 def test_token_counts_on_whole_table(spark, small):
-    model, stable = token_counts.load(PIECES)
-    assert stable
+    model, seams = token_counts.load(PIECES)
+    assert seams.before_blank
     want = {r.doc_id: len(model.encode(r.text)) for r in table(spark, small, "documents").collect()}
     got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(table(spark, small, "documents"), PIECES, chunk=500, overlap=16).collect()}
     assert got == want
@@ -265,8 +266,32 @@ def test_token_counts_on_whole_table(spark, small):
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab  \n退é▁.😀"), max_size=300), st.integers(8, 60), st.integers(1, 20))
 def test_spliced_counts(text, chunk, overlap):
-    model, _ = token_counts.load(PIECES)
-    assert token_counts.count_long(model, text.encode(), chunk, overlap) == len(model.encode(text))
+    model, seams = token_counts.load(PIECES)
+    assert token_counts.count_long(model, seams, text.encode(), chunk, overlap) == len(model.encode(text))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("的一是中国人日本語カタ゛がกาำไ한ᄀ글ABz9/+e\u0301é😀\u200d"), max_size=400), st.integers(8, 60), st.sampled_from([1, 7, 40]))
+def test_spliced_counts_without_blanks(text, chunk, overlap):
+    model, seams = token_counts.load(PIECES)
+    assert token_counts.count_long(model, seams, text.encode(), chunk, overlap) == len(model.encode(text))
+
+
+@pytest.mark.parametrize("alphabet", ["的一是中国人在有我他这为之大来以个上们到说时要就出会可也你对生能而子那得于着下自", "กขคงจฉชซญดตถทธนบปผพฟมยรลวสหอาิีุู", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+def test_long_texts_without_blanks_are_spliced(alphabet):
+    """Each chunk meets the next; none doubles up to the whole text."""
+    model, seams = token_counts.load(PIECES)
+    text = "".join(random.Random(1).choices(alphabet, k=300_000))
+    longest = 0
+
+    class Watched:
+        def encode(self, part, **how):
+            nonlocal longest
+            longest = max(longest, len(part.encode()))
+            return model.encode(part, **how)
+
+    assert token_counts.count_long(Watched(), seams, text.encode(), 1 << 15, 256) == len(model.encode(text))
+    assert longest <= 1 << 15
 
 
 def test_token_counts_odd(spark):
@@ -581,3 +606,41 @@ def test_pipeline_stages_odd(spark, small):
             out = stage(spark, docs, small)
             docs = spark.createDataFrame(out.collect(), out.schema)
         assert rows is None or docs.count() == 0
+
+
+# ---- samples, hot values and long pages
+
+
+def test_samples_take_rows_not_keys(spark):
+    df = spark.range(500_000).select((F.col("id") % 100).alias("doc_id"), F.lit("t").alias("text"), F.lit(0).alias("every"))
+    for seed in range(4):
+        assert abs(bounded_sample(df, "every", "doc_id", 2000, seed).count() - 2000) < 250
+    nulls = df.withColumn("doc_id", F.lit(None).cast("long"))
+    assert abs(bounded_sample(nulls, "every", "doc_id", 2000).count() - 2000) < 250
+
+
+def test_languages_of_a_dirty_column(spark):
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2000, F.concat(F.lit("x"), F.col("id"))).otherwise(F.when(F.col("id") % 2 == 0, "a").otherwise("b")).alias("lang"), F.when(F.col("id") % 2 == 0, "lorem ipsum").otherwise("der und die").alias("text"))
+    langs, model = language_id.train(df)
+    assert len(langs) == 64 and {"a", "b"} <= set(langs) and model.shape[1] == 64
+
+
+def test_toxicity_scores_by_plain_python(spark, small):
+    """A table's scores are the sums of the weights of its texts' distinct words."""
+    docs = table(spark, small, "documents")
+    model = toxicity.train(docs, table(spark, small, "labels"))
+    weights, bias = model
+    got = {r.doc_id: r.toxicity for r in toxicity.score_toxicity(docs.select("doc_id", "text"), model).collect()}
+    for r in docs.collect():
+        slots = {int(textvec.hash_word(w.decode(), textvec.LETTERS)) & (len(weights) - 1) for w in set(re.findall(rb"[A-Za-z\x80-\xff]+", (r.text or "").encode()))}
+        assert abs(got[r.doc_id] - 1 / (1 + math.exp(-max(-50, min(50, bias + sum(float(weights[s]) for s in slots)))))) < 1e-5
+
+
+def test_long_equal_pages(spark):
+    """Two pages of many lines, all but one of them equal, and a third without them."""
+    lines = [f"line {i}" for i in range(20_000)]
+    rows = [("h", "\n".join([*lines, "own", "", "line 3"])), ("h", "\n".join([*lines, "other"])), ("h", "x\nline 5"), (None, "line 5")]
+    began = time.monotonic()
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "host string, text string"), "host", "text", dropped="n").collect()
+    assert sorted((r.n, r.text) for r in got) == [(0, "line 5"), (1, "x"), (20_000, "other"), (20_001, "own\n")]
+    assert time.monotonic() - began < 30
