@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import keywords
+from ..operators import keywords, pivots
 from ..sources.tables import read, turns
-from .queries import query
+from .queries import _KNN, query
 
 # ---- large dictionaries ------------------------------------------------------------------------------
 
@@ -38,3 +38,14 @@ def dictionary_labels(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     best = keywords.best_labels(keywords.classify(docs, ["doc_id"], "text", _word_dictionary(spark, sf_dir)), ["doc_id"])
     return docs.join(best, "doc_id", "left").groupBy("source", F.coalesce("label", F.lit("other")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- neighbours by pivots ----------------------------------------------------------------------------
+
+
+@query(f"WITH {_KNN} SELECT q_id, id, rank, distance FROM nn WHERE rank <= 5")
+def knn_by_pivots(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    index = pivots.build(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")))
+    found = pivots.search(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("vec")), index, 5)
+    return found.select("q_id", "id", "rank", "distance")

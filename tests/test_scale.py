@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parleyworks.operators import classify, keywords, skills
+from parleyworks.operators import classify, keywords, pivots, retrieve, skills
 
 
 @pytest.mark.parametrize("part_chars", [1 << 20, 200])
@@ -63,3 +64,42 @@ def test_many_skills_as_in_a_row(spark):
         assert sorted(map(repr, one.select(many.columns).collect())) == sorted(map(repr, many.collect()))
     with pytest.raises(ValueError, match="key"):
         skills.match_skills(asked, df, "said", "who", most=10)
+
+
+def nearest(queries, corpus, k):
+    out = []
+    for q, v in queries:
+        if v is None or None in v:
+            continue
+        d = sorted((round(sum((a - b) ** 2 for a, b in zip(v, x, strict=True)), 6), i) for i, x in corpus if x is not None and None not in x and len(x) == len(v) and i != q)
+        out += [(q, i, r + 1) for r, (_, i) in enumerate(d[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("rows", [3, 1024])
+def test_pivots_by_brute_force(spark, rows):
+    rng = random.Random(rows)
+    spot = [[rng.randrange(100) for _ in range(3)] for _ in range(4)]
+    corpus = [(i, [float(c + rng.choice((0, 0, 1, 2))) for c in rng.choice(spot[: 1 if i % 3 else 4])]) for i in range(300)]
+    corpus += [(900, None), (901, [1.0, None, 2.0]), (902, [1.0])]
+    df = spark.createDataFrame(corpus, "id long, vec array<double>").repartition(4)
+    index = pivots.build(df, cells=7, sample=50, rows=rows)
+    queries = [(i, v) for i, v in corpus if i % 5 == 0 and (v is None or len(v) == 3)] + [(1000, [500.0, 0.0, 1.0])]
+    for k in (1, 5, 299):
+        got = pivots.search(spark.createDataFrame(queries, "q_id long, vec array<double>"), index, k)
+        assert sorted(map(tuple, got.select("q_id", "id", "rank").collect())) == nearest(queries, corpus, k)
+    assert pivots.search(df.select(F.col("id").alias("q_id"), "vec"), pivots.build(df.limit(0))).count() == 0
+
+
+def test_pivots_leave_out_most_pairs(spark):
+    rng = np.random.default_rng(1)
+    centre = rng.normal(0, 1, (40, 16))
+    x = centre[rng.integers(0, 40, 8000)] + rng.normal(0, 0.05, (8000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    queries = df.where("id % 20 = 0").withColumnRenamed("id", "q_id")
+    got = pivots.search(queries, pivots.build(df), 5).select("q_id", "id", "rank", "compared").collect()
+    want = retrieve.knn(queries, df, 5).select("q_id", "id", "rank").collect()
+    assert sorted((r.q_id, r.id, r.rank) for r in got) == sorted(map(tuple, want))
+    compared = {r.q_id: r.compared for r in got}
+    share = sum(compared.values()) / (len(compared) * len(x))
+    assert share < 0.2, share
