@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
@@ -31,88 +32,123 @@ def routing_penalty(rate: Column, ms: Column, slow: float = 3000, scale: float =
     return F.least(F.lit(0.9), a + b)
 
 
-#: Microseconds of a block of time. A key's rows are split into blocks, so that a hot key is many tasks.
-HOUR = 3_600_000_000
+def cut_points(df: DataFrame, key: str, at: str, rows: int) -> DataFrame | None:
+    """(__of, __cuts): for each key of over ``rows`` rows the ascending values of ``at`` that cut it into parts of about ``rows`` rows; None where no key is that large.
 
-
-def _blocked(df: DataFrame, at: str, width: int) -> DataFrame:
-    return df.withColumn("__block", F.floor(F.col(at) / width))
+    The keys are at most the rows of ``df`` / ``rows``; cuts are approximate quantiles. Counting takes one aggregation with partial
+    counts; only where it finds a large key are there parts.
+    """
+    large = df.groupBy(F.col(key).alias("__of")).agg(F.count(at).alias("__n")).where(F.col("__n") > rows)
+    most = large.agg(F.max("__n")).first()[0]
+    if most is None:
+        return None
+    parts = math.ceil(most / rows)
+    own = df.select(F.col(key).alias("__key"), F.col(at).alias("__at")).join(F.broadcast(large), F.col("__key").eqNullSafe(F.col("__of")))
+    quantiles = F.percentile_approx("__at", [i / parts for i in range(1, parts)], max(10_000, 10 * parts))
+    return own.groupBy("__of").agg(F.array_distinct(F.array_sort(quantiles)).alias("__cuts"))
+
+
+def _blocked(df: DataFrame, key: str, at: str, rows: int) -> tuple[DataFrame, bool]:
+    """``df`` with ``__block``, the number of the part of its key that a row is in, and whether any key has parts. Rows without a time come first."""
+    cuts = cut_points(df, key, at, rows)
+    if cuts is None:
+        return df.withColumn("__block", F.lit(0)), False
+    joined = df.join(F.broadcast(cuts), F.col(key).eqNullSafe(F.col("__of")), "left")
+    most = F.ceil(F.log2(F.size("__cuts"))).cast("int")
+    steps = F.transform(F.sequence(F.lit(0), most), lambda i: F.pow(F.lit(2), most - i).cast("int"))
+    # halving: how many cuts are not after the row
+    up_to = F.aggregate(steps, F.lit(0), lambda n, s: F.when((n + s <= F.size("__cuts")) & (F.get("__cuts", n + s - 1) <= F.col(at)), n + s).otherwise(n))
+    return joined.withColumn("__block", F.when(F.col("__cuts").isNull(), 0).when(F.col(at).isNull(), -1).otherwise(up_to)).drop("__of", "__cuts"), True
 
 
 def _with_blocks(rows: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
-    """``rows`` with what ``blocks`` (key, __block, ...) has on their block; null keys and times are equal to themselves."""
+    """``rows`` with what ``blocks`` (key, __block, ...) has on their block; null keys are equal to themselves."""
     b = blocks.withColumnsRenamed({key: "__of", "__block": "__at"})
-    return rows.join(b, F.col(key).eqNullSafe(F.col("__of")) & F.col("__block").eqNullSafe(F.col("__at"))).drop("__of", "__at", "__block")
+    return rows.join(b, F.col(key).eqNullSafe(F.col("__of")) & (F.col("__block") == F.col("__at"))).drop("__of", "__at", "__block")
 
 
-def running_totals(df: DataFrame, key: str, order: Sequence[str], totals: Mapping[str, Column], width: int = HOUR) -> DataFrame:
+def running_totals(df: DataFrame, key: str, order: Sequence[str], totals: Mapping[str, Column], rows: int = 1_000_000) -> DataFrame:
     """``df`` with running sums along each key's rows in order; ``totals`` names them.
 
-    ``order[0]`` is a number. Sums run inside blocks of ``width`` of it and start with the totals of the
-    key's earlier blocks, which are summed on the map side, so no task sees a whole key. Null values add
-    nothing and null times come first.
+    ``order[0]`` is a number. A prefix scan: a key of over ``rows`` rows is cut by order into parts of about as many, each part is summed
+    and scanned by itself, and a part's scan starts with the sums of the parts before. So blocks follow the data, and a hot key is
+    many tasks. Null values add nothing and null times come first.
     """
-    rows = _blocked(df, order[0], width)
+    blocked, cut = _blocked(df, key, order[0], rows)
     inside = Window.partitionBy(key, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = blocked.withColumns({n: F.sum(c).over(inside) for n, c in totals.items()})
+    zero = F.lit(0)
+    if not cut:
+        return out.withColumns({n: F.coalesce(F.col(n), zero) for n in totals}).drop("__block")
     before = Window.partitionBy(key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy(key, "__block").agg(*[F.sum(c).alias(f"__{n}") for n, c in totals.items()])
+    sums = blocked.groupBy(key, "__block").agg(*[F.sum(c).alias(f"__{n}") for n, c in totals.items()])
     begin = sums.select(key, "__block", *[F.sum(f"__{n}").over(before).alias(f"__{n}") for n in totals])
-    out = _with_blocks(rows.withColumns({n: F.sum(c).over(inside) for n, c in totals.items()}), begin, key)
-    zero = F.lit(0)
+    out = _with_blocks(out, begin, key)
     return out.withColumns({n: F.coalesce(F.col(n), zero) + F.coalesce(F.col(f"__{n}"), zero) for n in totals}).drop(*[f"__{n}" for n in totals])
 
 
-def rolling_zscore(df: DataFrame, key: str, order: Sequence[str], value: str, window: int = 60, least: int = 30, limit: float = 2.5, chunk: int = 100_000) -> DataFrame:
+def rolling_zscore(df: DataFrame, key: str, order: Sequence[str], value: str, window: int = 60, least: int = 30, limit: float = 2.5, rows: int = 1_000_000) -> DataFrame:
     """Rows whose value is over ``limit`` sample deviations from the mean of the last ``window`` rows, itself included.
 
-    A key's rows are numbered and dealt in chunks of ``chunk``; the last rows of a chunk also stand
-    before the next one, so windows are whole and a hot key is many tasks. ``chunk`` is no less than ``window``.
+    A key of over ``rows`` rows is cut by order into parts of about as many, at least ``window``; its rows are numbered by a prefix scan and
+    the last ones of a chunk of numbers also stand before the next, so windows are whole and a hot key is many tasks.
     """
+    rows = max(rows, window)
+
+    def marked(dealt: DataFrame, by: list[str], along: list[str]) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(*along).rowsBetween(1 - window, 0)
+        z = F.abs(F.col(value) - F.avg(value).over(w)) / F.nullif(F.stddev_samp(value).over(w), F.lit(0.0))
+        out = dealt.withColumns({"z": z, "n": F.count(F.lit(1)).over(w)}).where((F.col("n") >= least) & (F.col("z") > limit))
+        return out.withColumn("severity", F.when(F.col("z") > 1.5 * limit, "high").otherwise("medium")).drop("n")
+
+    if df.groupBy(key).count().where(F.col("count") > rows).isEmpty():
+        return marked(df, [key], list(order))
     place = F.col("__row") - 1
-    rows = running_totals(df, key, order, {"__row": F.lit(1)}).withColumn("__chunk", F.floor(place / chunk))
-    lent = place % chunk >= chunk - (window - 1)
-    dealt = rows.withColumn("__to", F.explode(F.when(lent, F.array(F.col("__chunk"), F.col("__chunk") + 1)).otherwise(F.array("__chunk"))))
-    w = Window.partitionBy(key, "__to").orderBy("__row").rowsBetween(1 - window, 0)
-    z = F.abs(F.col(value) - F.avg(value).over(w)) / F.nullif(F.stddev_samp(value).over(w), F.lit(0.0))
-    out = dealt.withColumns({"z": z, "n": F.count(F.lit(1)).over(w)}).where((F.col("n") >= least) & (F.col("z") > limit) & (F.col("__to") == F.col("__chunk")))
-    return out.withColumn("severity", F.when(F.col("z") > 1.5 * limit, "high").otherwise("medium")).drop("n", "__row", "__chunk", "__to")
+    numbered = running_totals(df, key, order, {"__row": F.lit(1)}, rows).withColumn("__chunk", F.floor(place / rows))
+    lent = place % rows >= rows - (window - 1)
+    dealt = numbered.withColumn("__to", F.explode(F.when(lent, F.array(F.col("__chunk"), F.col("__chunk") + 1)).otherwise(F.array("__chunk"))))
+    return marked(dealt, [key, "__to"], ["__row"]).where(F.col("__to") == F.col("__chunk")).drop("__row", "__chunk", "__to")
 
 
-def failure_streaks(calls: DataFrame, key: str, order: Sequence[str], width: int = HOUR) -> DataFrame:
+def failure_streaks(calls: DataFrame, key: str, order: Sequence[str], rows: int = 1_000_000) -> DataFrame:
     """``streak``: failures since the last success, at each call.
 
-    A block of ``width`` runs by itself; a streak that no success in the block has ended goes on from the blocks before it.
+    A part of a key of over ``rows`` rows runs by itself; a streak that no success in the part has ended goes on from the parts before it.
     """
-    rows = _blocked(calls, order[0], width)
+    blocked, cut = _blocked(calls, key, order[0], rows)
     w = Window.partitionBy(key, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     good, bad = F.coalesce(F.col("ok").cast("int"), F.lit(0)), F.coalesce((~F.col("ok")).cast("int"), F.lit(0))
-    rows = rows.withColumns({"__good": F.sum(good).over(w), "__bad": F.sum(bad).over(w)})
+    out = blocked.withColumns({"__good": F.sum(good).over(w), "__bad": F.sum(bad).over(w)})
     since = F.col("__bad") - F.coalesce(F.max(F.when(F.col("ok"), F.col("__bad"))).over(w), F.lit(0))
-    rows = rows.withColumn("streak", since)
+    out = out.withColumn("streak", since)
+    if not cut:
+        return out.drop("__good", "__bad", "__block")
     last = F.struct(*order)
-    ends = rows.groupBy(key, "__block").agg(F.max("__good").alias("__any"), F.max_by("streak", last).alias("__tail"))
+    ends = out.groupBy(key, "__block").agg(F.max("__good").alias("__any"), F.max_by("streak", last).alias("__tail"))
     by_key = Window.partitionBy(key).orderBy("__block")
     ends = ends.withColumn("__island", F.sum((F.col("__any") > 0).cast("int")).over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
     ends = ends.withColumn("__after", F.sum("__tail").over(Window.partitionBy(key, "__island").orderBy("__block").rowsBetween(Window.unboundedPreceding, 0)))
     begin = ends.select(key, "__block", F.coalesce(F.lag("__after").over(by_key), F.lit(0)).alias("__open"))
-    out = _with_blocks(rows, begin, key)
-    return out.withColumn("streak", F.col("streak") + F.when(F.col("__good") == 0, F.col("__open")).otherwise(0)).drop("__good", "__bad", "__open")
+    met = _with_blocks(out, begin, key)
+    return met.withColumn("streak", F.col("streak") + F.when(F.col("__good") == 0, F.col("__open")).otherwise(0)).drop("__good", "__bad", "__open")
 
 
-def sessions(df: DataFrame, key: str, at: str, tie: str, gap: int, width: int = HOUR) -> DataFrame:
+def sessions(df: DataFrame, key: str, at: str, tie: str, gap: int, rows: int = 1_000_000) -> DataFrame:
     """``session`` numbers from 0: a new one where ``gap`` or more has passed.
 
-    Gaps inside blocks of ``width`` are counted in the block; those between blocks from the blocks' first and last times.
+    Gaps inside a part of a key of over ``rows`` rows are counted there; those between parts from the parts' first and last times.
     """
-    rows = _blocked(df, at, width)
+    blocked, cut = _blocked(df, key, at, rows)
     w = Window.partitionBy(key, "__block").orderBy(at, tie)
-    rows = rows.withColumn("__new", F.coalesce((F.col(at) - F.lag(at).over(w) >= gap).cast("int"), F.lit(0)))
+    marked = blocked.withColumn("__new", F.coalesce((F.col(at) - F.lag(at).over(w) >= gap).cast("int"), F.lit(0)))
+    inside = marked.withColumn("session", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    if not cut:
+        return inside.drop("__new", "__block")
     by_key = Window.partitionBy(key).orderBy("__block")
-    ends = rows.groupBy(key, "__block").agg(F.min(at).alias("__first"), F.max(at).alias("__last"), F.sum("__new").alias("__in"))
+    ends = marked.groupBy(key, "__block").agg(F.min(at).alias("__first"), F.max(at).alias("__last"), F.sum("__new").alias("__in"))
     start = F.coalesce((F.col("__first") - F.lag("__last").over(by_key) >= gap).cast("int"), F.lit(0))
     so_far = by_key.rowsBetween(Window.unboundedPreceding, 0)
     begin = ends.withColumn("__start", start).select(key, "__block", (F.sum(F.col("__start") + F.col("__in")).over(so_far) - F.col("__in")).alias("__base"))
-    inside = rows.withColumn("session", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return _with_blocks(inside, begin, key).withColumn("session", F.col("session") + F.col("__base")).drop("__new", "__base")
 
 

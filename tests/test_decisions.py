@@ -131,17 +131,17 @@ def test_recommend_json_and_cache_key(spark):
     assert k[0] == k[1] and k[4] == k[5] and len(set(k)) == 4
 
 
-@pytest.mark.parametrize("width", [1, 7, 50, 10_000])
-def test_windows_in_blocks_by_loop(spark, width):
-    """Running totals, streaks, sessions and z-scores of hot, small and null keys do not depend on how time is cut."""
-    rng = random.Random(width)
+@pytest.mark.parametrize("part", [2, 7, 50, 10_000])
+def test_windows_in_parts_by_loop(spark, part):
+    """Running totals, streaks, sessions and z-scores of hot, small and null keys do not depend on how keys are cut."""
+    rng = random.Random(part)
     rows = [(i, rng.choice(["hot", "hot", "hot", "a", None]), rng.choice([None, -30, *range(0, 600, 3)]), rng.random() < 0.4, rng.choice([1.0, 2.0, 3.0, 90.0])) for i in range(900)]
     df = spark.createDataFrame(rows, "id int, key string, at long, ok boolean, ms double").repartition(5)
     order = ["at", "id"]
-    totals = {r.id: (r.n, r.sum) for r in telemetry.running_totals(df, "key", order, {"n": F.lit(1), "sum": F.col("ms")}, width).collect()}
-    streaks = {r.id: r.streak for r in telemetry.failure_streaks(df, "key", order, width).collect()}
-    session = {r.id: r.session for r in telemetry.sessions(df, "key", "at", "id", 9, width).collect()}
-    odd = {r.id: r.z for r in telemetry.rolling_zscore(df, "key", order, "ms", window=10, least=5, limit=1.5, chunk=10 + width).collect()}
+    totals = {r.id: (r.n, r.sum) for r in telemetry.running_totals(df, "key", order, {"n": F.lit(1), "sum": F.col("ms")}, part).collect()}
+    streaks = {r.id: r.streak for r in telemetry.failure_streaks(df, "key", order, part).collect()}
+    session = {r.id: r.session for r in telemetry.sessions(df, "key", "at", "id", 9, part).collect()}
+    odd = {r.id: r.z for r in telemetry.rolling_zscore(df, "key", order, "ms", window=10, least=5, limit=1.5, rows=part).collect()}
     want_odd = {}
     for key in ("hot", "a", None):
         mine = sorted((r for r in rows if r[1] == key), key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
@@ -163,3 +163,14 @@ def test_penalties_and_metrics_text(spark):
     assert {r.key: (r.penalty, round(r.score, 9)) for r in telemetry.penalised(s, p, "key").collect()} == {"a": (0.9, 0.1), "b": (0.0, 1.0), "c": (0.0, 1.0), None: (0.0, 1.0)}
     df = spark.createDataFrame([('x"\\\n', 3), (None, 4)], "tool string, n long")
     assert [r[0] for r in df.select(telemetry.exposition("n", {"tool": F.col("tool"), "le": F.lit("5")}, F.col("n"))).collect()] == ['n{tool="x\\"\\\\\\n",le="5"} 3', 'n{tool="",le="5"} 4']
+
+
+def test_a_hot_key_is_cut_by_its_rows(spark):
+    """A key whose rows lie in one hour is cut into parts of about as many rows; small keys are not."""
+    df = spark.range(200_000).select(F.when(F.col("id") % 10 == 0, "small").otherwise("hot").alias("key"), (F.col("id") * 17_000).alias("at"))
+    cuts = {r["__of"]: len(r["__cuts"]) for r in telemetry.cut_points(df, "key", "at", 20_000).collect()}
+    assert cuts == {"hot": 8}
+    blocked, _ = telemetry._blocked(df, "key", "at", 20_000)
+    sizes = {(r["key"], r["__block"]): r["count"] for r in blocked.groupBy("key", "__block").count().collect()}
+    assert sizes["small", 0] == 20_000 and len(sizes) == 10 and all(abs(n - 20_000) < 1000 for (k, _), n in sizes.items() if k == "hot")
+    assert telemetry.cut_points(df, "key", "at", 1_000_000) is None
