@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,23 +25,43 @@ def tail(x: Column, n: int) -> Column:
     return F.slice(x, F.greatest(F.size(x) - n + 1, F.lit(1)), F.lit(n))
 
 
+#: What counts as white space, as in ``strip``.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def pack_sentences(sentences: list[str], size: int, joiner: str) -> list[str]:
+    """Sentences joined to chunks, in one pass: lengths as a running sum, and from each chunk's first sentence a jump to its last."""
+    ends = np.cumsum(np.fromiter(map(len, sentences), np.int64, len(sentences)) + len(joiner))
+    out, i, before = [], 0, 0
+    while i < len(sentences):
+        # the next sentence must fit with one character more, whatever the joiner
+        last = max(i + 1, int(np.searchsorted(ends, before + size + 2 * len(joiner) - 1, "right")))
+        out.append(joiner.join(sentences[i:last]))
+        i, before = last, int(ends[last - 1])
+    return out
+
+
 def chunks(x: Column, size: int = 500, delimiters: str = "[。\n]", joiner: str = "。") -> Column:
     """Sentences packed into chunks of at most ``size`` characters.
 
     A text that fits is one chunk as it is. A chunk closes where the next sentence (and a joiner)
-    does not fit; a sentence over ``size`` is never split; blank chunks are dropped.
+    does not fit; a sentence over ``size`` is never split; blank chunks are dropped. ``delimiters`` is a pattern without groups.
+    Texts go through Arrow batches, and each costs its length.
     """
-    sentences = F.filter(F.split(x, delimiters), lambda s: strip(s) != "")
-    packed = F.aggregate(
-        sentences,
-        F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur")),
-        lambda acc, s: F.when(
-            F.length(acc["cur"]) + F.length(s) + 1 > size,
-            F.struct(F.when(acc["cur"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["cur"]))).alias("done"), s.alias("cur")),
-        ).otherwise(F.struct(acc["done"].alias("done"), F.when(acc["cur"] == "", s).otherwise(F.concat(acc["cur"], F.lit(joiner), s)).alias("cur"))),
-        lambda acc: F.when(acc["cur"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["cur"]))),
-    )
-    return F.when(F.length(x) <= size, F.filter(F.array(x), lambda s: strip(s) != "")).otherwise(packed)
+    cut = re.compile(delimiters)
+
+    @F.arrow_udf("array<string>")
+    def packed(texts: pa.Array) -> pa.Array:
+        def one(text: str | None) -> list[str] | None:
+            if text is None:
+                return None
+            if len(text) <= size:
+                return [text] if text.strip(WHITE) else []
+            return pack_sentences([s for s in cut.split(text) if s.strip(WHITE)], size, joiner)
+
+        return pa.array(map(one, texts.to_pylist()), pa.list_(pa.string()))
+
+    return packed(x)
 
 
 # The entity patterns.

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from parleyworks.operators import classify, keywords, pivots, retrieve, skills
+from parleyworks.functions import text as tx
+from parleyworks.operators import classify, keywords, memory, pivots, retrieve, skills
 
 
 @pytest.mark.parametrize("part_chars", [1 << 20, 200])
@@ -103,3 +107,62 @@ def test_pivots_leave_out_most_pairs(spark):
     compared = {r.q_id: r.compared for r in got}
     share = sum(compared.values()) / (len(compared) * len(x))
     assert share < 0.2, share
+
+
+def one_by_one(sentences, size, joiner):
+    done, now = [], ""
+    for s in sentences:
+        if len(now) + len(s) + 1 > size:
+            done, now = done + [now] * (now != ""), s
+        else:
+            now = s if now == "" else now + joiner + s
+    return done + [now] * (now != "")
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="ab退😀", min_size=1, max_size=12), max_size=30), st.integers(1, 25), st.sampled_from([".", "。", " | "]))
+def test_sentences_are_packed_as_one_by_one(sentences, size, joiner):
+    assert tx.pack_sentences(sentences, size, joiner) == one_by_one(sentences, size, joiner)
+
+
+def test_chunks_of_a_long_text_take_linear_time(spark):
+    text = "".join(f"sentence number {i}." for i in range(600_000))
+    df = spark.createDataFrame([(text,), (None,), ("",), (" 　\n",), ("short",)], "t string").repartition(1).cache()
+    df.count()
+    began = time.monotonic()
+    got = [r[0] for r in df.select(F.transform(tx.chunks(F.col("t"), delimiters=r"[.\n]", joiner="."), F.length)).collect()]
+    assert time.monotonic() - began < 15
+    assert None in got and [5] in got and got.count([]) == 2
+    assert max(len(x or ()) for x in got) == len(tx.pack_sentences(text.split(".")[:-1], 500, "."))
+
+
+@pytest.mark.parametrize("batch", ["3", "10000"])
+def test_budgets_are_kept_before_the_shuffle(spark, batch):
+    rng = random.Random(6)
+    rows = [(rng.choice(("hot", "hot", "a", None)), rng.choice((1, None)), i, rng.choice((None, "", "x" * rng.randrange(9), "é  " * 3))) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, j int, i long, t string").repartition(4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        left = memory.first_within(df, ["k", "j"], ["i"], "t", 20).collect()
+        got = memory.within_budget(df, ["k", "j"], ["i"], "t", budget=20, each=6, mark="~").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(left) <= 6 * 4 * 20 and len(left) < len(rows)
+    want = []
+    for key in {(r[0], r[1]) for r in rows}:
+        room = 20
+        for r in sorted((r for r in rows if r[:2] == key), key=lambda r: r[2]):
+            if room <= 0:
+                break
+            t = r[3] if r[3] is None or len(r[3]) <= 6 else r[3][:6].rstrip(" ") + "~"
+            n = len(t or "")
+            want.append((*r[:3], t if n <= room else t[: max(room - 1, 0)].rstrip(" ") + "~"))
+            room -= n
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_a_hot_key_moves_a_budget_from_each_task(spark):
+    df = spark.range(0, 1_000_000, 1, 8).select(F.lit("hot").alias("k"), "id", F.lit("ten chars.").alias("t"))
+    left = memory.first_within(df, ["k"], ["id"], "t", 500)
+    assert left.count() == 8 * 50
+    assert memory.within_budget(df, ["k"], ["id"], "t", budget=500).count() == 50
