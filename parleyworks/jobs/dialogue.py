@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors
-from ..operators import classify, memory, retrieve, skills
+from ..operators import classify, memory, retrieve, skills, telemetry
 from ..sources.tables import calls, read, turns
 from .queries import _CALLS, _COMPACTED, DICTIONARY, GENERIC, LEVELS, RULES, _labelled, _sql_hits, query
 
@@ -254,11 +254,16 @@ def dialog_cases(spark, sf_dir):
     return df.select("conv_id", F.array_join(tx.dialog_turns(listed, question), " / ").alias("turns"))
 
 
-@query("SELECT event_id, (json_extract('[' || event_id % 7 || ', 3]', '$[0]'))::BIGINT AS best FROM events")
+@query(
+    """WITH e AS (SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, user_id FROM events),
+p AS (SELECT event_id, list_filter([k, user_id, 3], lambda x: x BETWEEN 0 AND 59) AS places FROM e)
+SELECT event_id, places[1] AS best, array_to_string(places, ',') AS places FROM p"""
+)
 def reply_order(spark, sf_dir):
-    reply = F.concat(F.lit("order: ["), (F.col("event_id") % 7).cast("string"), F.lit(", 3] by use"))
-    order = F.from_json(tx.json_list(reply), "array<long>")
-    return read(spark, sf_dir, "events").select("event_id", F.get(order, F.lit(0)).alias("best"))
+    """The places of up to 60 hits that a reply lists: each event's properties and user stand for what a model answers."""
+    said = F.concat(F.lit("order: ["), F.get_json_object("props", "$.k"), F.lit(", "), F.col("user_id").cast("string"), F.lit(", 3] by use"))
+    order = F.filter(F.from_json(tx.json_list(said), "array<long>"), lambda x: x.between(0, 59))
+    return read(spark, sf_dir, "events").select("event_id", F.get(order, F.lit(0)).alias("best"), F.array_join(order.cast("array<string>"), ",").alias("places"))
 
 
 @query(f"WITH {_CALLS}, f AS (SELECT key, tool, row_number() OVER (PARTITION BY key, tool ORDER BY us, event_id) > 1 AS hit FROM calls) SELECT tool, count(*) AS total, round(avg(hit::INTEGER), 6) AS hit_rate FROM f GROUP BY tool")
@@ -281,9 +286,20 @@ def new_texts(spark, sf_dir):
     return docs.where("doc_id % 2 = 1").select("source", *key).join(stored, ["a", "b"], "left_anti").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_CALLS} SELECT key, count(*) AS n FROM calls WHERE NOT ok AND ms > 400 AND tool || '-' || key NOT IN (SELECT tool || '-' || key FROM calls WHERE ok) GROUP BY key")
+_RESOLVED = f"""{_CALLS}, r AS (SELECT *, min(CASE WHEN ok THEN us END) OVER (PARTITION BY key ORDER BY us, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS resolved_at FROM calls)"""
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts for failures slower than 50 ms, with the time of the caller's next success."""
+    return telemetry.resolutions(calls(spark, sf_dir), "key", ["at", "event_id"]).where("not ok and ms > 50")
+
+
+@query(f"WITH {_RESOLVED} SELECT key, count(*) AS n, min(us) AS since FROM r WHERE NOT ok AND ms > 50 AND resolved_at IS NULL GROUP BY key")
 def unresolved_alerts(spark, sf_dir):
-    """Slow failures of callers whose tool has never answered them since: alerts that nothing has resolved."""
-    c = calls(spark, sf_dir)
-    resolved = c.where("ok").select("tool", "key").distinct()
-    return c.where("not ok and ms > 400").join(resolved, ["tool", "key"], "left_anti").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    """Alerts of callers that have had no success since, with the time of the first."""
+    return _resolved(spark, sf_dir).where("resolved_at is null").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("since"))
+
+
+@query(f"WITH {_RESOLVED} SELECT event_id, key, us AS at, resolved_at IS NOT NULL AS resolved, resolved_at FROM r WHERE NOT ok AND ms > 50")
+def alert_resolutions(spark, sf_dir):
+    return _resolved(spark, sf_dir).select("event_id", "key", "at", F.col("resolved_at").isNotNull().alias("resolved"), "resolved_at")

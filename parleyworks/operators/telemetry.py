@@ -133,6 +133,23 @@ def failure_streaks(calls: DataFrame, key: str, order: Sequence[str], rows: int
     return met.withColumn("streak", F.col("streak") + F.when(F.col("__good") == 0, F.col("__open")).otherwise(0)).drop("__good", "__bad", "__open")
 
 
+def resolutions(calls: DataFrame, key: str, order: Sequence[str], rows: int = 1_000_000) -> DataFrame:
+    """``resolved_at``: the time (``order[0]``) of the key's next success after each call; null while there is none.
+
+    A part of a key of over ``rows`` rows looks into itself; where it has no later success, the first one of the parts after it counts.
+    """
+    at = order[0]
+    blocked, cut = _blocked(calls, key, at, rows)
+    good = F.when(F.col("ok"), F.col(at))
+    following = Window.partitionBy(key, "__block").orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
+    out = blocked.withColumn("resolved_at", F.min(good).over(following))
+    if not cut:
+        return out.drop("__block")
+    after = Window.partitionBy(key).orderBy("__block").rowsBetween(1, Window.unboundedFollowing)
+    later = blocked.groupBy(key, "__block").agg(F.min(good).alias("__first")).select(key, "__block", F.min("__first").over(after).alias("__later"))
+    return _with_blocks(out, later, key).withColumn("resolved_at", F.coalesce("resolved_at", "__later")).drop("__later")
+
+
 def sessions(df: DataFrame, key: str, at: str, tie: str, gap: int, rows: int = 1_000_000) -> DataFrame:
     """``session`` numbers from 0: a new one where ``gap`` or more has passed.
 

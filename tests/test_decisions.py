@@ -142,6 +142,7 @@ def test_windows_in_parts_by_loop(spark, part):
     streaks = {r.id: r.streak for r in telemetry.failure_streaks(df, "key", order, part).collect()}
     session = {r.id: r.session for r in telemetry.sessions(df, "key", "at", "id", 9, part).collect()}
     odd = {r.id: r.z for r in telemetry.rolling_zscore(df, "key", order, "ms", window=10, least=5, limit=1.5, rows=part).collect()}
+    resolved = {r.id: r.resolved_at for r in telemetry.resolutions(df, "key", order, part).collect()}
     want_odd = {}
     for key in ("hot", "a", None):
         mine = sorted((r for r in rows if r[1] == key), key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
@@ -151,6 +152,7 @@ def test_windows_in_parts_by_loop(spark, part):
             number += i > 0 and at is not None and mine[i - 1][2] is not None and at - mine[i - 1][2] >= 9
             assert totals[row] == (i + 1, sum(r[4] for r in mine[: i + 1]))
             assert (streaks[row], session[row]) == (streak, number)
+            assert resolved[row] == next((r[2] for r in mine[i + 1 :] if r[3] and r[2] is not None), None)
             last = [r[4] for r in mine[max(0, i - 9) : i + 1]]
             if len(last) >= 5 and np.std(last, ddof=1) > 0 and (z := abs(ms - np.mean(last)) / np.std(last, ddof=1)) > 1.5:
                 want_odd[row] = z

@@ -192,6 +192,9 @@ def test_skills_and_knowledge(spark, tmp_path):
     assert {r.name: r.agents for r in rows if r.agents} == {"Z": ["billing"], "new": ["billing", "tech"]}
     assert sorted((r.path.rsplit("/", 1)[1], r.reason) for r in bad.collect()) == [("empty.md", "no body"), ("z2.json", "no JSON object"), ("z3.json", "no content or instructions")]
     assert [r.path.rsplit("/", 1)[1] for r in refused_knowledge(spark, str(tmp_path / "s" / "*"), 60).collect() if r.bytes <= 60] == []
+    (tmp_path / "s" / "large.md").write_text("x" * 61)
+    assert [(r.path.rsplit("/", 1)[1], r.bytes, r.reason) for r in refused_knowledge(spark, str(tmp_path / "s" / "l*"), 60).collect()] == [("large.md", 61, "larger than 60 bytes")]
+    assert read_knowledge(spark, str(tmp_path / "s" / "large.md"), 60).count() == 0 and read_knowledge(spark, str(tmp_path / "s" / "large.md"), 61).count() == 1
     (tmp_path / "k.json").write_text('[{"title": "t"}, {"content": "c"}]')
     (tmp_path / "a.b.md").write_text("text")
     assert [tuple(r) for r in read_knowledge(spark, str(tmp_path / "k.json")).collect()] == [("t", ""), ("", "c")]
