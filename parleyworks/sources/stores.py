@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import chunks
 from ..operators.memory import latest_per_key
+from .commits import Table
 
 
 def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -32,19 +33,22 @@ def chunk_rows(docs: DataFrame, size: int = 500, **options) -> DataFrame:
     return df.select(F.md5(F.concat_ws("_", "title", F.col("chunk_index").cast("string"), F.substring("text", 1, 50))).alias("chunk_id"), "title", "chunk_index", "total_chunks", "text")
 
 
+def chunk_table(spark: SparkSession, path: str) -> Table:
+    """The chunk store at ``path``, which several writers may add to."""
+    return Table(spark, path, CHUNK, ["chunk_id"])
+
+
 def add_chunks(docs: DataFrame, path: str, **options) -> int:
     """Store the chunks of documents; an id that is stored stays as it is. Returns how many were submitted."""
     rows = chunk_rows(docs, **options)
-    known = stored(docs.sparkSession, path, CHUNK).select("chunk_id")
-    new = rows.join(known, "chunk_id", "left_anti").dropDuplicates(["chunk_id"])
     n = rows.count()
-    new.write.mode("append").parquet(path)
+    chunk_table(docs.sparkSession, path).add(rows)
     return n
 
 
 def seed_when_empty(seed: DataFrame, path: str, **options) -> int:
     """Store the chunks of ``seed`` where nothing is stored yet; returns how many were submitted."""
-    if not stored(seed.sparkSession, path, CHUNK).isEmpty():
+    if not chunk_table(seed.sparkSession, path).read().isEmpty():
         return 0
     return add_chunks(seed, path, **options)
 
@@ -67,6 +71,11 @@ def live_log(log: DataFrame, keys: Sequence[str], at: str, now: int, ttl: int =
     return log.join(alive, list(keys), "left_semi")
 
 
+def profile_table(spark: SparkSession, path: str, schema: str, keys: Sequence[str]) -> Table:
+    """The profiles at ``path``: ``upsert(rows, order)`` keeps the newest of each key and touches the buckets of ``rows`` alone."""
+    return Table(spark, path, schema, keys)
+
+
 def upsert_profiles(new: DataFrame, old: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row of each key: the newest of both tables."""
     return latest_per_key(old.unionByName(new), keys, order)

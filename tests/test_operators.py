@@ -303,9 +303,9 @@ def test_stores(spark, tmp_path):
     path = str(tmp_path / "chunks")
     docs = spark.createDataFrame([("t", "a。" * 400), ("u", "short"), ("u", "short"), ("v", " ")], "title string, content string")
     n = stores.seed_when_empty(docs, path)
-    rows = spark.read.parquet(path)
+    rows = stores.chunk_table(spark, path).read()
     assert n == stores.chunk_rows(docs).count() and rows.count() == n - 1 and rows.select("chunk_id").distinct().count() == n - 1
-    assert stores.seed_when_empty(docs, path) == 0 and stores.add_chunks(docs, path) == n and spark.read.parquet(path).count() == n - 1
+    assert stores.seed_when_empty(docs, path) == 0 and stores.add_chunks(docs, path) == n and stores.chunk_table(spark, path).read().count() == n - 1
     log = spark.createDataFrame([("a", 0), ("a", 50), ("b", 10)], "k string, at long")
     assert {r.k for r in stores.live_log(log, ["k"], "at", 100, 60).collect()} == {"a"}
     assert [tuple(r) for r in stores.upsert_profiles(spark.createDataFrame([("a", 2, "new")], "k string, at int, p string"), spark.createDataFrame([("a", 1, "old")], "k string, at int, p string"), ["k"], ["at"]).collect()] == [("a", 2, "new")]

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import os
 import random
+import threading
 
+import pytest
 from pyspark.sql import functions as F
 
 from parleyworks.operators import telemetry
+from parleyworks.sources.commits import Table
 from parleyworks.streaming import collector
 
 
@@ -52,3 +55,56 @@ def test_collector_as_feedback_in_batch(spark, tmp_path):
     assert sorted(map(repr, again.collect())) == scores
     assert spark.read.parquet(f"{path}/scores").where("batch = 6").count() == 1
     assert sorted(f for f in os.listdir(f"{path}/state") if f.startswith("batch")) == ["batch=5", "batch=6"]
+
+
+# ---- tables with commits
+
+SCHEMA = "id string, at int, t string"
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.select("id", "at", "t").collect()))
+
+
+def test_table_adds_and_upserts(spark, tmp_path):
+    table = Table(spark, str(tmp_path / "t"), SCHEMA, ["id"], buckets=4)
+    make = lambda rows: spark.createDataFrame(rows, SCHEMA)
+    assert table.version() == 0 and table.read().count() == 0 and table.add(make([])) == 0
+    assert table.add(make([("a", 1, "x"), ("b", 1, "x"), ("a", 2, "w"), (None, 1, "n")])) == 1
+    assert table.add(make([("a", 9, "later"), ("c", 1, "z")])) == 2
+    assert table.add(make([("c", 9, "later")])) == 2
+    assert rows_of(table.read().where("id is not null")) == [("a", 1, "x"), ("b", 1, "x"), ("c", 1, "z")]
+    assert table.upsert(make([("a", 0, "old"), ("b", 1, "tie"), ("c", 5, "new"), ("d", 1, "d"), ("d", 2, "e")]), ["at"]) == 3
+    assert rows_of(table.read().where("id is not null")) == [("a", 1, "x"), ("b", 1, "tie"), ("c", 5, "new"), ("d", 2, "e")]
+    assert rows_of(table.read(1).where("id is not null")) == [("a", 1, "x"), ("b", 1, "x")]
+
+
+def test_two_writers_store_each_id_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    failed = []
+
+    def write(no):
+        try:
+            Table(spark, path, SCHEMA, ["id"], buckets=4).add(spark.createDataFrame([(f"k{i}", no, "x") for i in range(no, no + 20)], SCHEMA))
+        except Exception as error:
+            failed.append(error)
+
+    threads = [threading.Thread(target=write, args=(no,)) for no in (0, 5, 10, 15)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    table = Table(spark, path, SCHEMA, ["id"], buckets=4)
+    assert not failed and table.version() == 4
+    assert sorted(r.id for r in table.read().collect()) == sorted(f"k{i}" for i in range(35))
+
+
+def test_a_failed_write_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    table = Table(spark, str(tmp_path / "t"), SCHEMA, ["id"], buckets=4)
+    table.add(spark.createDataFrame([("a", 1, "x")], SCHEMA))
+    with pytest.raises(Exception, match="broken"):
+        table.upsert(spark.createDataFrame([("a", 2, "y"), ("b", 2, "y")], SCHEMA).withColumn("t", F.raise_error(F.lit("broken")).cast("string")), ["at"])
+    monkeypatch.setattr(table, "_publish", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError, match="lost"):
+        table.add(spark.createDataFrame([("b", 2, "y")], SCHEMA))
+    assert rows_of(Table(spark, str(tmp_path / "t"), SCHEMA, ["id"], buckets=4).read()) == [("a", 1, "x")]
