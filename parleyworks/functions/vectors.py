@@ -7,32 +7,76 @@ n-gram's md5. The empty text has the empty n-gram; null counts as empty.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def _counter(dims: int, largest: int, keep: int = 1_000_000) -> Callable[[str | None], tuple[np.ndarray, np.ndarray]]:
-    """How many n-grams of a text add to each slot, and how many take away; n-grams seen before are not hashed again."""
-    known: dict[str, int] = {}
+class _Hashes:
+    """2 * slot + sign bit of n-grams; one seen before is not hashed again, up to ``keep`` of them."""
 
-    def code(gram: str) -> int:
-        if gram not in known:
-            if len(known) > keep:
-                known.clear()
-            digest = hashlib.md5(gram.encode()).digest()
-            known[gram] = 2 * (int.from_bytes(digest[:4], "big") % dims) + digest[4] % 2
-        return known[gram]
+    def __init__(self, dims: int, keep: int = 1_000_000):
+        self.dims, self.keep, self.known = dims, keep, {}
 
-    def count(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        t = (text or "").lower().strip()
-        grams = {t[i : i + n] for n in range(1, largest + 1) for i in range(len(t) - n + 1)} or {""}
-        both = np.bincount(np.fromiter(map(code, grams), np.int64, len(grams)), minlength=2 * dims).reshape(dims, 2)
-        return both[:, 0], both[:, 1]
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The codes of n-grams given by their keys (see ``_grams``), which are distinct."""
+        if len(self.known) > self.keep:
+            self.known.clear()
+        known, out = self.known, []
+        for key in keys.tolist():
+            code = known.get(key)
+            if code is None:
+                digest = hashlib.md5("".join(chr((key >> at & _POINT) - 1) for at in _PLACES if key >> at & _POINT).encode()).digest()
+                code = known[key] = 2 * (int.from_bytes(digest[:4], "big") % self.dims) + digest[4] % 2
+            out.append(code)
+        return np.array(out, np.int64)
 
-    return count
+
+_POINT = (1 << 21) - 1
+_PLACES = (0, 21, 42)
+
+
+def _grams(texts: Sequence[str], largest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the distinct n-grams of each text, by sliding windows over code points.
+
+    A key holds the n-gram's code points plus one, 21 bits each, so it is the n-gram itself; the key of the empty n-gram is 0.
+    """
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    row = np.repeat(np.arange(len(texts)), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(points))  # code points from each place to the end of its text
+    key, rows, keys = np.zeros(len(points), np.uint64), [np.flatnonzero(lengths == 0)], [np.zeros(int((lengths == 0).sum()), np.uint64)]
+    for n in range(1, largest + 1):
+        at = np.flatnonzero(left >= n)
+        key[at] |= points[at + n - 1] << np.uint64(_PLACES[n - 1])
+        rows.append(row[at])
+        keys.append(key[at])
+    r, k = np.concatenate(rows), np.concatenate(keys)
+    order = np.lexsort((k, r))
+    r, k = r[order], k[order]
+    new = np.ones(len(r), bool)
+    new[1:] = (r[1:] != r[:-1]) | (k[1:] != k[:-1])
+    return r[new], k[new]
+
+
+def _counts(texts: Sequence[str | None], hashes: _Hashes, largest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, how many n-grams of each text add to and take from each slot), for some texts at a time."""
+    if not 1 <= largest <= len(_PLACES):
+        raise ValueError(f"n-grams of 1 to {len(_PLACES)} characters")
+    said = [(t or "").lower().strip() for t in texts]
+    lo = 0
+    while lo < len(said):
+        hi, size = lo, 0
+        while hi < len(said) and hi - lo < 1024 and (hi == lo or size + len(said[hi]) <= 1 << 19):
+            size += len(said[hi])
+            hi += 1
+        row, key = _grams(said[lo:hi], largest)
+        distinct, place = np.unique(key, return_inverse=True)
+        slot = row * (2 * hashes.dims) + hashes.of(distinct)[place]
+        yield lo, np.bincount(slot, minlength=(hi - lo) * 2 * hashes.dims).reshape(hi - lo, hashes.dims, 2)
+        lo = hi
 
 
 def _schema(df: DataFrame, without: str = "") -> str:
@@ -44,19 +88,13 @@ def sparse_vectors(df: DataFrame, text: str, dims: int = 256, largest: int = 3)
     rest = [f.name for f in df.schema if f.name != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _counter(dims, largest)
+        hashes = _Hashes(dims)
         for batch in batches:
-            rows, slots, values = [], [], []
-            for i, t in enumerate(batch.column(batch.schema.get_field_index(text)).to_pylist()):
-                plus, minus = count(t)
-                at = np.flatnonzero(plus + minus)
-                rows.append(np.full(len(at), i))
-                slots.append(at)
-                values.append((plus - minus)[at])
-            if rows:
-                again = batch.select(rest).take(pa.array(np.concatenate(rows)))
-                extra = [pa.array(np.concatenate(slots).astype(np.int32)), pa.array(np.concatenate(values).astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([*again.columns, *extra], [*rest, "slot", "value"])
+            for lo, both in _counts(batch.column(batch.schema.get_field_index(text)).to_pylist(), hashes, largest):
+                row, slot = np.nonzero(both.sum(2))
+                again = batch.select(rest).take(pa.array(row + lo))
+                value = (both[..., 0] - both[..., 1])[row, slot]
+                yield pa.RecordBatch.from_arrays([*again.columns, pa.array(slot.astype(np.int32)), pa.array(value.astype(np.int64))], [*rest, "slot", "value"])
 
     return df.mapInArrow(run, f"{_schema(df, text)}slot int, value long")
 
@@ -65,9 +103,9 @@ def dense_vectors(df: DataFrame, text: str, name: str, dims: int = 256, largest:
     """``df`` with the vector of ``text`` as ``name``, of length one if ``unit`` (a vector of zeros stays)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _counter(dims, largest)
+        hashes = _Hashes(dims)
         for batch in batches:
-            v = _matrix(count, batch.column(batch.schema.get_field_index(text)).to_pylist(), dims)
+            v = _matrix(batch.column(batch.schema.get_field_index(text)).to_pylist(), hashes, largest)
             if unit:
                 v /= np.maximum(np.sqrt((v**2).sum(1, keepdims=True)), 1e-300)
             offsets = pa.array(np.arange(0, v.size + 1, dims, dtype=np.int32))
@@ -76,37 +114,45 @@ def dense_vectors(df: DataFrame, text: str, name: str, dims: int = 256, largest:
     return df.mapInArrow(run, f"{_schema(df)}`{name}` array<double>")
 
 
-def _matrix(count: Callable, texts: Sequence[str | None], dims: int) -> np.ndarray:
-    out = np.zeros((len(texts), dims))
-    for i, t in enumerate(texts):
-        plus, minus = count(t)
-        out[i] = plus - minus
+def _matrix(texts: Sequence[str | None], hashes: _Hashes, largest: int) -> np.ndarray:
+    out = np.zeros((len(texts), hashes.dims))
+    for lo, both in _counts(texts, hashes, largest):
+        out[lo : lo + len(both)] = both[..., 0] - both[..., 1]
     return out
 
 
+def _cosines(v: np.ndarray, sides: np.ndarray, first: np.ndarray, cells: int = 1 << 22) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, largest cosine of each row with the templates of each label), for as many rows at a time as give ``cells`` cosines."""
+    size, own = np.sqrt((v**2).sum(1)), np.sqrt((sides**2).sum(1))
+    step = max(1, cells // max(len(sides), 1))
+    for lo in range(0, len(v), step):
+        norms = size[lo : lo + step, None] * own[None, :]
+        cosine = np.divide(v[lo : lo + step] @ sides.T, norms, out=np.zeros_like(norms), where=norms > 0)
+        yield lo, np.maximum.reduceat(cosine, first, axis=1)
+
+
 def best_template(
     df: DataFrame, text: str, templates: Sequence[tuple[str, Sequence[str]]], name: str = "match", dims: int = 256, largest: int = 3, other: str = "other"
 ) -> DataFrame:
     """``df`` with ``name`` (label, confidence): the label whose nearest template has the largest cosine.
 
-    Templates are given (a parameter) and go to every task. Ties, to nine digits, go to the label
+    Templates are given (a parameter) and go to every task, which meets them in blocks of rows. Ties, to nine digits, go to the label
     first in order; where no cosine is above 0, or a vector is all zeros, it is ``other`` with 0.
     """
     kind = pa.struct([("label", pa.string()), ("confidence", pa.float64())])
-    labels = [label for label, _ in templates]
+    given = [(label, texts) for label, texts in templates if texts]
+    labels = [label for label, _ in given]
+    first = np.cumsum([0, *(len(texts) for _, texts in given)])[:-1].astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _counter(dims, largest)
-        sides = [_matrix(count, texts, dims) for _, texts in templates]
+        hashes = _Hashes(dims)
+        sides = _matrix([t for _, texts in given for t in texts], hashes, largest)
         for batch in batches:
-            v = _matrix(count, batch.column(batch.schema.get_field_index(text)).to_pylist(), dims)
-            size = np.sqrt((v**2).sum(1))
-            best = np.zeros((len(v), len(templates)))
-            for i, side in enumerate(sides):
-                norms = size[:, None] * np.sqrt((side**2).sum(1))[None, :]
-                best[:, i] = np.divide(v @ side.T, norms, out=np.zeros_like(norms), where=norms > 0).max(1, initial=-1)
-            top = np.round(best, 9).argmax(1) if labels else np.zeros(len(v), int)
-            score = best[np.arange(len(v)), top] if labels else np.zeros(len(v))
+            v = _matrix(batch.column(batch.schema.get_field_index(text)).to_pylist(), hashes, largest)
+            top, score = np.zeros(len(v), int), np.zeros(len(v))
+            for lo, best in _cosines(v, sides, first) if labels else ():
+                at = np.round(best, 9).argmax(1)
+                top[lo : lo + len(at)], score[lo : lo + len(at)] = at, best[np.arange(len(at)), at]
             said = [{"label": labels[t], "confidence": float(s)} if s > 0 else {"label": other, "confidence": 0.0} for t, s in zip(top, score, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, kind)], [*batch.schema.names, name])
 

@@ -23,28 +23,45 @@ def session_counts(events: DataFrame, key: str, ts: str, gap: int = 86_400_000_0
     return out.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def compaction(events: DataFrame, key: str, order: str, text: str, at: int = 15, keep: int = 5) -> DataFrame:
+def compaction(events: DataFrame, key: str, order: str, text: str, at: int = 15, keep: int = 5, ts: str | None = None, ttl: int = 86_400_000_000, late: str = "1 hour") -> DataFrame:
     """(key, batch, text, n): the rows that each compaction takes, joined in order, when a key's log has reached ``at`` rows.
 
-    The state of a key is its live rows, ``at`` at most; rows of a micro-batch go in ``order``.
+    The state of a key is its live rows, ``at`` at most; rows of a micro-batch go in ``order``. With ``ts`` a log dies ``ttl``
+    microseconds after its last row: a later row begins a new one, whose batches count from 0, and once the watermark has passed that time the
+    key's state is gone. Then there is also ``since``, the time of the log's first row.
     """
     kind = events.schema[key].dataType.simpleString()
+    columns = [key, order, text, *([ts] if ts else [])]
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, live = state.get if state.exists else (0, [])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        done, live, since, last = state.get if state.exists else (0, [], None, None)
         live, out = list(live), []
-        for row in pd.concat(list(batches)).sort_values(order, kind="stable")[text]:
+        rows = pd.concat(list(batches)).sort_values([*([ts] if ts else []), order], kind="stable")
+        times = [None] * len(rows) if ts is None else [t.value // 1000 for t in rows[ts]]
+        for row, now in zip(rows[text], times, strict=True):
+            if ts and (last is None or now - last >= ttl):
+                done, live, since = 0, [], now
+            last = now
             live.append(row)
             if len(live) >= at:
                 taken, live = live[: len(live) - keep], live[len(live) - keep :]
-                out.append((k[0], done, "\n".join(x or "" for x in taken), len(taken)))
+                out.append((k[0], done, "\n".join(x or "" for x in taken), len(taken), since))
                 done += 1
-        state.update((done, live))
-        yield pd.DataFrame(out, columns=[key, "batch", "text", "n"])
-
-    return events.select(key, order, text).groupBy(key).applyInPandasWithState(
-        run, f"{key} {kind}, batch long, text string, n long", "done long, live array<string>", "append", GroupStateTimeout.NoTimeout
+        state.update((done, live, since, last))
+        if ts:
+            state.setTimeoutTimestamp(max(last + ttl, state.getCurrentWatermarkMs() * 1000 + 1000) // 1000 + 1)
+        yield pd.DataFrame(out, columns=[key, "batch", "text", "n", "since"])
+
+    if ts:
+        events = events.where(F.col(ts).isNotNull()).withWatermark(ts, late)
+    timeout = GroupStateTimeout.EventTimeTimeout if ts else GroupStateTimeout.NoTimeout
+    made = events.select(columns).groupBy(key).applyInPandasWithState(
+        run, f"{key} {kind}, batch long, text string, n long, since long", "done long, live array<string>, since long, last long", "append", timeout
     )
+    return made.withColumn("since", F.timestamp_micros("since")) if ts else made.drop("since")
 
 
 def ticks(events: DataFrame, key: str, ts: str, value: str, every: str = "10 seconds", late: str = "1 minute") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import time
 
@@ -12,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from parleyworks.functions import text as tx
+from parleyworks.functions import vectors
 from parleyworks.operators import classify, keywords, memory, pivots, retrieve, skills
 
 
@@ -166,3 +168,30 @@ def test_a_hot_key_moves_a_budget_from_each_task(spark):
     left = memory.first_within(df, ["k"], ["id"], "t", 500)
     assert left.count() == 8 * 50
     assert memory.within_budget(df, ["k"], ["id"], "t", budget=500).count() == 50
+
+
+def test_ten_thousand_templates_by_brute_force(spark):
+    rng = random.Random(7)
+    text = lambda: "".join(rng.choice("ab 退É😀\x00") for _ in range(rng.randrange(12)))
+    templates = [(f"l{i}", [text() for _ in range(i % 4)]) for i in range(7000)]
+    asked = [text() for _ in range(40)] + [None, "", "  ", "x" * 3000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "i int, t string").repartition(2)
+    assert sum(len(x) for _, x in templates) > 10_000
+
+    def vector(t):
+        t = (t or "").lower().strip()
+        v = np.zeros(256)
+        for g in {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)} or {""}:
+            d = hashlib.md5(g.encode()).digest()
+            v[int.from_bytes(d[:4], "big") % 256] += -1 if d[4] % 2 else 1
+        return v
+
+    sides = [np.array([vector(t) for t in x]) for _, x in templates]
+    got = {r.i: (r.match.label, r.match.confidence) for r in vectors.best_template(df, "t", templates).collect()}
+    for i, t in enumerate(asked):
+        v, best = vector(t), (0.0, "other")
+        for (label, _), s in zip(templates, sides, strict=True):
+            c = max((float(x @ v) / n for x in s if (n := np.linalg.norm(x) * np.linalg.norm(v)) > 0), default=0.0)
+            if round(c, 9) > round(best[0], 9):
+                best = (c, label)
+        assert got[i][0] == best[1] and abs(got[i][1] - best[0]) < 1e-9

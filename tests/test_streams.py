@@ -9,9 +9,9 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from parleyworks.operators import telemetry
+from parleyworks.operators import memory, telemetry
 from parleyworks.sources.commits import Table
-from parleyworks.streaming import collector
+from parleyworks.streaming import collector, stateful
 
 
 def test_collector_as_feedback_in_batch(spark, tmp_path):
@@ -108,3 +108,38 @@ def test_a_failed_write_leaves_the_old_version(spark, tmp_path, monkeypatch):
     with pytest.raises(OSError, match="lost"):
         table.add(spark.createDataFrame([("b", 2, "y")], SCHEMA))
     assert rows_of(Table(spark, str(tmp_path / "t"), SCHEMA, ["id"], buckets=4).read()) == [("a", 1, "x")]
+
+
+def test_compaction_stream_expires(spark, tmp_path):
+    """A log that nothing is pushed to for a day dies, in the stream as in the batch form, and leaves no state."""
+    rng = random.Random(9)
+    hour = 3_600_000_000
+    rows, at = [], dict.fromkeys("abc", 0)
+    for i in range(120):
+        k = rng.choice("abc")
+        at[k] += rng.choice((1, 2, 30)) * hour if rng.random() < 0.1 else hour
+        rows.append((k, i, f"t{i}", at[k]))
+    df = spark.createDataFrame(rows, "k string, i int, t string, us long").withColumn("ts", F.timestamp_micros("us")).drop("us")
+    source = str(tmp_path / "in")
+    last = max(r[3] for r in rows)
+    stages = [df.where("i < 60"), df.where("i >= 60"), spark.createDataFrame([("z", 999, "z", last + 96 * hour)], "k string, i int, t string, us long").withColumn("ts", F.timestamp_micros("us")).drop("us")]
+    for n, part in enumerate(stages):
+        part.coalesce(1).write.mode("append").parquet(source)
+        for f in os.listdir(source):
+            if f.endswith(".parquet") and os.path.getmtime(f"{source}/{f}") > 10_000:
+                os.utime(f"{source}/{f}", (1000 + n, 1000 + n))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    made = stateful.compaction(stream, "k", "i", "t", 6, 2, ts="ts", late="1000 hours")
+    q = made.writeStream.format("memory").queryName("expiring").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    begun = telemetry.sessions(df.withColumn("us", F.unix_micros("ts")), "k", "us", "i", 24 * hour)
+    since = F.min("ts").over(telemetry.Window.partitionBy("k", "session")).alias("since")
+    want = memory.compact(begun.select("k", "i", "t", "session", since), ["k", "session"], ["i"], 6, 2).where("batch is not null")
+    want = want.groupBy("k", "since", "batch").agg(memory.ordered_concat(F.col("i"), F.col("t"), "\n").alias("text"))
+    got = sorted(map(tuple, spark.table("expiring").select("k", "since", "batch", "text").collect()))
+    assert got == sorted(map(tuple, want.collect())) and len({(r[0], r[1]) for r in got}) > 3
+
+    short = stateful.compaction(stream, "k", "i", "t", 6, 2, ts="ts", late="1 hour")
+    q = short.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    assert q.recentProgress[-1].stateOperators[0].numRowsTotal == 1  # of z alone, whose day has not passed
