@@ -15,8 +15,10 @@ every stretch are compared with those kept; rows whose stretches differ are enco
 Defined results: null text counts as empty and packs as the end id alone; a text may begin and end
 in any white space, whatever the next row begins with; rows that repeat are packed each, with
 sequence ids of their own; sequence ids are unique and repeat when a task is run again over the same
-input; a long text is encoded in pieces of about 1 MB that end at cuts; an empty table gives an
-empty result; further columns are not read.
+input; an empty table gives an empty result; further columns are not read. A long text is encoded in
+pieces of about 1 MB that end at cuts or, where it has none for as long, between two letters of a run that no
+token can join there (every token that holds both is compared with the text around them). Only a text that has
+neither, as one of punctuation alone, is encoded in a longer piece.
 """
 
 from __future__ import annotations
@@ -44,8 +46,8 @@ _VISIBLE[0x21:0x7F] = _VISIBLE[0xC3:0xE1] = _VISIBLE[0xE4:0xF5] = True
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> tuple[Any, np.ndarray, np.ndarray]:
-    """An encoder with the vocabulary of a byte-level ``tokenizers`` file, the length of every id, and the bytes that end a run at a cut.
+def load(path: str) -> tuple[Any, np.ndarray, np.ndarray, frozenset[bytes], tuple[bytes, ...]]:
+    """An encoder with the vocabulary of a byte-level ``tokenizers`` file, the length of every id, the bytes that end a run at a cut, the tokens and the special strings.
 
     A special string is taken out of the text first, so white space before it is a run of its own:
     there is no cut before what special strings begin with.
@@ -64,6 +66,7 @@ def load(path: str) -> tuple[Any, np.ndarray, np.ndarray]:
     byte = {chr(x): x for x in shown} | {chr(256 + i): x for i, x in enumerate(sorted(set(range(256)) - set(shown)))}
     ranks = {bytes(byte[c] for c in token): i for token, i in model.get_vocab(with_added_tokens=False).items() if token not in special}
     fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    tokens = frozenset(ranks)
     for text in ("ab cd.\n ef  g\n\nh's é", *special):
         if fast.encode(text, allowed_special="all") != model.encode(text, add_special_tokens=False).ids:
             raise ValueError("the vocabulary is not one of ranks")
@@ -72,14 +75,15 @@ def load(path: str) -> tuple[Any, np.ndarray, np.ndarray]:
         sizes[i] = len(token)
     visible = _VISIBLE.copy()
     visible[[k.encode()[0] for k in special]] = False
-    return fast, sizes, visible
+    return fast, sizes, visible, tokens, tuple(k.encode() for k in special)
 
 
 class Encoder:
     """Ids of texts, with recurring stretches and their ids kept by the stretches' 64-bit hashes."""
 
     def __init__(self, path: str, keep: int = 1_000_000):
-        (self.model, self.token_bytes, self.visible), self.keep = load(path), keep
+        (self.model, self.token_bytes, self.visible, self.tokens, self.special), self.keep = load(path), keep
+        self.longest = max(map(len, self.tokens))
         self._clear()
 
     def _clear(self) -> None:
@@ -110,18 +114,34 @@ class Encoder:
         for name, new in (("hashes", hashes), ("starts", starts), ("sizes", sizes), ("places", places), ("lengths", lengths)):
             setattr(self, name, np.insert(getattr(self, name), at, new[order]))
 
+    def seam(self, raw: np.ndarray, lo: int, hi: int) -> int | None:
+        """The last place in ``raw[lo:hi]`` between two letters that no token can join, with letters alone just before."""
+        for p in range(hi - 1, lo + 4, -1):
+            if raw[p] & 0xC0 == 0x80:
+                continue
+            left, right = raw[max(0, p - self.longest) : p].tobytes(), raw[p : p + self.longest].tobytes()
+            if not (left[-16:].decode(errors="ignore")[-4:] + right[:4].decode(errors="ignore")[:1]).isalpha():  # no contraction begins there
+                continue
+            if any(left[-i:] + right[:j] in self.tokens for i in range(1, len(left) + 1) for j in range(1, min(len(right), self.longest - i) + 1)):
+                continue
+            if not any(s in raw[max(0, p - len(s) + 1) : p + len(s) - 1].tobytes() for s in self.special):
+                return p
+        return None
+
     def encode(self, raw: np.ndarray, offsets: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, and how many each row has. A row of over ``most`` bytes goes in pieces that end at cuts."""
         if len(offsets) == 2 and len(raw) > most:
-            ids, lo = [], 0
+            ids, lo, alone = [], 0, True
             while lo < len(raw):
-                hi, cuts = lo, np.zeros(0, np.int64)
-                while not len(cuts) and hi < len(raw):  # farther where there is no cut so far
-                    hi = min(hi + most, len(raw))
-                    cuts = np.flatnonzero(_SPACE[raw[lo + 1 : hi]] & self.visible[raw[lo + 2 : hi + 1]]) if hi < len(raw) else cuts
-                hi = lo + 1 + int(cuts[-1]) if len(cuts) else hi
-                ids.append(self._encode(raw[lo:hi], np.array([0, hi - lo]), lo == 0)[0])
-                lo = hi
+                hi, cuts, seam = lo, np.zeros(0, np.int64), None
+                while not len(cuts) and seam is None and hi < len(raw):  # farther where there is no cut so far
+                    hi, before = min(hi + most, len(raw)), hi
+                    if hi < len(raw):
+                        cuts = np.flatnonzero(_SPACE[raw[lo + 1 : hi]] & self.visible[raw[lo + 2 : hi + 1]])
+                        seam = None if len(cuts) else self.seam(raw, max(before, hi - (1 << 14)), hi)
+                hi = lo + 1 + int(cuts[-1]) if len(cuts) else hi if seam is None else seam
+                ids.append(self._encode(raw[lo:hi], np.array([0, hi - lo]), alone)[0])
+                lo, alone = hi, not len(cuts)
             ids = np.concatenate(ids)
             return ids, np.array([len(ids)])
         return self._encode(raw, offsets, True)

@@ -644,3 +644,21 @@ def test_long_equal_pages(spark):
     got = line_dedup.line_dedup(spark.createDataFrame(rows, "host string, text string"), "host", "text", dropped="n").collect()
     assert sorted((r.n, r.text) for r in got) == [(0, "line 5"), (1, "x"), (20_000, "other"), (20_001, "own\n")]
     assert time.monotonic() - began < 30
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet=st.sampled_from("的一是中国人日本語カタкириλ한글abcXYZ'sreล้า9=.é"), min_size=30, max_size=400), st.sampled_from([24, 60, 150]))
+def test_long_texts_without_cuts_are_encoded_in_pieces(text, most):
+    encoder = packing.Encoder(BPE)
+    raw = np.frombuffer(text.encode(), np.uint8)
+    ids, _ = encoder.encode(raw, np.array([0, len(raw)]), most)
+    assert ids.tolist() == encoder.model.encode(text, allowed_special="all")
+
+
+def test_seams_are_found_in_long_runs_of_letters():
+    encoder, seen = packing.Encoder(BPE), []
+    text = "".join(random.Random(2).choices("的一是中国人在有我他这为之大来以个上们到说时要就出会可也你对生能而子", k=200_000)) + "<|endoftext|>"
+    plain, encoder._ids = encoder._ids, lambda raw: seen.append(len(raw)) or plain(raw)
+    raw = np.frombuffer(text.encode(), np.uint8)
+    ids, n = encoder.encode(raw, np.array([0, len(raw)]), 1 << 16)
+    assert max(seen) <= 1 << 16 and len(seen) >= 9 and ids.tolist() == encoder.model.encode(text, allowed_special="all") and n.tolist() == [len(ids)]
