@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.steps import written
+
 
 def _packed(df: DataFrame, id_name: str, rows: int) -> DataFrame:
     """(key, dims, ids, vecs) from (id, key, vec): up to ``rows`` vectors of one key and length in a row, as bytes.
@@ -81,11 +84,14 @@ def knn(
     spark = queries.sparkSession
     if not keyed:
         queries, corpus = (df.withColumn("key", F.lit(0)) for df in (queries, corpus))
-    # packed rows are large: a few of them in a batch
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    blocks = _packed(queries, "q_id", block).toDF("key", "dims", "q_ids", "q_vecs")
+    # packed rows are large: a few of them in a batch, and no more where the session asks for less
+    now = re.match(r"(\d+)b?$", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))
+    if now is None or not 0 < int(now[1]) <= 16 << 20:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    # written, so what makes the queries runs once, for the check of their size and for the join
+    blocks = written(_packed(queries, "q_id", block).toDF("key", "dims", "q_ids", "q_vecs"), "queries")
     slices = _packed(corpus, "id", block)
-    if queries.limit(broadcast_blocks * block + 1).count() <= broadcast_blocks * block:
+    if blocks.limit(broadcast_blocks + 1).count() <= broadcast_blocks:
         pairs = slices.join(F.broadcast(blocks), ["key", "dims"])
     else:
         salted = slices.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(spread)).cast("int"))

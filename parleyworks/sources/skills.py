@@ -37,13 +37,24 @@ def _listed(value: Column) -> Column:
 
 
 def read_skills(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Skills under ``root`` in load order (SKILL.md files first, then by path), and the files that gave none, with the reason.
+    """Skills under ``root`` in load order (SKILL.md files first, then by path), and the files that gave none, with the reason."""
+    every = skill_rows(spark.read.text(root, wholetext=True, recursiveFileLookup=True))
+    order = [F.col("path").endswith("/SKILL.md").desc(), "path"]
+    return every.where("reason is null").drop("reason").orderBy(*order), every.where("reason is not null").select("path", "reason")
+
+
+def stream_skills(spark: SparkSession, root: str, most_files: int = 1000) -> DataFrame:
+    """A stream of the files under ``root``, each once: skills, and those that gave none with a ``reason``, in one scan."""
+    return skill_rows(spark.readStream.option("maxFilesPerTrigger", most_files).text(root, wholetext=True, recursiveFileLookup=True))
+
+
+def skill_rows(files: DataFrame) -> DataFrame:
+    """(path, name, description, keywords, agents, enabled, content, reason) of whole files (value), read in batch or as a stream; ``reason`` is null for a skill.
 
     Dot files and any README.md are skipped. A file is a skill where it has a body; a JSON file must
     be an object with ``content`` or ``instructions``. An unclosed front matter belongs to the body;
-    of equal keys the last counts. Agents are lower-cased.
+    of equal keys the last counts. Agents are lower-cased. A file is read and parsed once.
     """
-    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
     files = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
     base = F.element_at(F.split("path", "/"), -1)
     files = files.withColumns({"file": base, "stem": F.regexp_replace(base, r"\.[^.]*$", ""), "dir": F.element_at(F.split("path", "/"), -2)})
@@ -57,8 +68,10 @@ def read_skills(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     named = F.coalesce(F.nullif(_meta(head, "name"), F.lit("")), F.nullif(heading, F.lit("")), default)
     titled = F.regexp_extract(body, r"\A#+([^\r\n]*)", 1)
     cut = F.when(body.startswith("#") & (strip(titled) == named), strip(F.regexp_replace(body, r"\A#+[^\r\n]*", ""))).otherwise(body)
-    text = files.where("kind <> 'json'").select(
-        "path",
+    raw = F.col("raw")
+    content = strip(F.coalesce(F.nullif(_field(raw, "content"), F.lit("")), _field(raw, "instructions")))
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(raw)).startswith("OBJECT"), F.lit(False))
+    text = F.struct(
         named.alias("name"),
         _meta(head, "description").alias("description"),
         _items(_meta(head, "keywords")).alias("keywords"),
@@ -67,22 +80,16 @@ def read_skills(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
         cut.alias("content"),
         F.when(body == "", "no body").alias("reason"),
     )
-    raw = F.col("raw")
-    content = strip(F.coalesce(F.nullif(_field(raw, "content"), F.lit("")), _field(raw, "instructions")))
-    is_object = F.schema_of_variant(F.try_parse_json(raw)).startswith("OBJECT")
-    json = files.where("kind = 'json'").select(
-        "path",
+    json = F.struct(
         F.coalesce(F.nullif(_field(raw, "name"), F.lit("")), "stem").alias("name"),
         _field(raw, "description").alias("description"),
         _listed(_field(raw, "keywords")).alias("keywords"),
         F.transform(_listed(_field(raw, "agents")), F.lower).alias("agents"),
         _on(_field(raw, "enabled")).alias("enabled"),
         content.alias("content"),
-        F.when(~F.coalesce(is_object, F.lit(False)), "no JSON object").when(content == "", "no content or instructions").alias("reason"),
+        F.when(~is_object, "no JSON object").when(content == "", "no content or instructions").alias("reason"),
     )
-    every = text.unionByName(json)
-    order = [F.col("path").endswith("/SKILL.md").desc(), "path"]
-    return every.where("reason is null").drop("reason").orderBy(*order), every.where("reason is not null").select("path", "reason")
+    return files.select("path", F.when(F.col("kind") == "json", json).otherwise(text).alias("s")).select("path", "s.*")
 
 
 def read_knowledge(spark: SparkSession, path: str, max_bytes: int = 10 << 20) -> DataFrame:

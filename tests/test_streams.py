@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import random
 import threading
@@ -9,7 +10,9 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
+from parleyworks.jobs import corpora
 from parleyworks.operators import memory, telemetry
+from parleyworks.sources import skills
 from parleyworks.sources.commits import Table
 from parleyworks.streaming import collector, stateful
 
@@ -143,3 +146,56 @@ def test_compaction_stream_expires(spark, tmp_path):
     q = short.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
     q.awaitTermination(300)
     assert q.recentProgress[-1].stateOperators[0].numRowsTotal == 1  # of z alone, whose day has not passed
+
+
+# ---- skills as a stream, corpora as a job
+
+
+def test_skills_as_a_stream(spark, tmp_path):
+    root = tmp_path / "s"
+    (root / "deep").mkdir(parents=True)
+    (root / "deep" / "SKILL.md").write_text("---\nname: One\nkeywords: a, b\n---\nbody")
+    (root / "two.json").write_text('{"name": "Two", "content": "c", "agents": ["X"]}')
+    (root / "bad.json").write_text("[1]")
+    path = str(tmp_path / "out")
+
+    def take():
+        q = skills.stream_skills(spark, str(root)).writeStream.format("parquet").option("path", path).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(300)
+        return sorted((r.name, r.reason) for r in spark.read.parquet(path).select("name", "reason").collect())
+
+    first = take()
+    assert first == [("One", None), ("Two", None), ("bad", "no JSON object")]
+    (root / "three.md").write_text("# Three\ntext")
+    assert [n for n, _ in take()] == ["One", "Three", "Two", "bad"]
+    good, bad = skills.read_skills(spark, str(root))
+    assert [(r.name, r.agents) for r in good.collect()] == [("One", []), ("Three", []), ("Two", ["x"])] and [r.reason for r in bad.collect()] == ["no JSON object"]
+
+
+def test_corpora_from_files_to_a_stored_report(spark, tmp_path):
+    cases = [
+        {"id": "1", "query": "where is order A83921", "expected_intent": "status", "expected_group": "query", "entities": {"order_id": ["A83921"]}, "type": "standard"},
+        {"id": "2", "query": "money back", "expected_intent": "refund", "expected_group": "billing", "type": "standard"},
+        {"id": "3", "query": "money and order #ZZ99", "expected_intent": "refund", "expected_group": "billing", "entities": {"order_id": ["ZZ99", "none1"]}, "type": "mixed"},
+        {"id": "4", "query": "hello", "expected_intent": "greeting", "expected_group": "greeting"},
+    ]
+    labels = {"intent_labels": ["status", "refund", "invoice"], "specific_intents": ["refund"], "intent_groups": {"status": "query", "refund": "billing", "invoice": "billing"}}
+    routes = [{"id": "r1", "query": "money", "expected_primary_domain": "billing", "expected_supporting_domains": ["technical"]}, {"id": "r2", "query": "x", "expected_primary_domain": "general"}]
+    for name, value in (("i", cases), ("l", labels), ("r", routes)):
+        (tmp_path / f"{name}.json").write_text(json.dumps(value))
+    store = str(tmp_path / "store")
+
+    def run(name, money):
+        label = F.when(F.contains("query", F.lit("money")), F.lit(money)).when(F.contains("query", F.lit("order")), "status").otherwise("greeting")
+        route = lambda df: df.withColumns({"primary": F.when(F.contains("query", F.lit("money")), "billing").otherwise("general"), "supporting": F.array(F.lit("technical"))})
+        fell = corpora.run_corpora(spark, store, name, str(tmp_path / "i.json"), str(tmp_path / "l.json"), lambda df: df.withColumn("label", label), str(tmp_path / "r.json"), route)
+        return {r.metric: round(r.value, 4) for r in fell.collect()}, {r.metric: r.value for r in spark.read.parquet(f"{store}/runs").where(F.col("run") == name).collect()}
+
+    fell, got = run("2024-01-01", "refund")
+    assert not fell and got == {"accuracy": 1.0, "macro_f1": 1.0, "group_accuracy": 1.0, "entity_recall": 0.75, "type_accuracy": 1.0, "routing_accuracy": 1.0, "supporting_recall": 1.0}
+    fell, got = run("2024-01-02", "invoice")
+    assert got["accuracy"] == 0.5 and got["group_accuracy"] == 1.0 and fell == {"accuracy": 0.5, "macro_f1": got["macro_f1"], "type_accuracy": got["type_accuracy"]}
+    one = spark.read.parquet(f"{store}/runs").where("run = '2024-01-02'").select("total", "passed").first()
+    assert tuple(one) == (5, 2)  # routing and the case without a type pass
+    by_label = {r.label: (r.tp, r.fp, r.fn) for r in spark.read.parquet(f"{store}/labels/run=2024-01-02").collect()}
+    assert by_label == {"status": (1, 0, 0), "refund": (0, 0, 2), "invoice": (0, 2, 0), "greeting": (1, 0, 0)}
