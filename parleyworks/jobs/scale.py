@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import keywords, pivots
+from ..operators import keywords, pivots, skills
 from ..sources.tables import read, turns
 from .queries import _KNN, query
 
@@ -49,3 +49,35 @@ def knn_by_pivots(spark, sf_dir):
     index = pivots.build(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")))
     found = pivots.search(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("vec")), index, 5)
     return found.select("q_id", "id", "rank", "distance")
+
+
+# ---- many skills -------------------------------------------------------------------------------------
+
+# every word of the conversations is a skill with itself as keyword; the words of users are for one agent alone
+_SKILLS = """skills AS (
+  SELECT w, ('0x' || substr(md5(w), 1, 13))::BIGINT AS ord, bool_and(role = 'user') AS own
+  FROM (SELECT role, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS w FROM conversations) GROUP BY w),
+met AS (
+  SELECT conv_id, turn, w, ord, sum(2 * length(w) + 9) OVER (PARTITION BY conv_id, turn ORDER BY ord) - (2 * length(w) + 9) AS before
+  FROM conversations JOIN skills ON contains(lower(text), w) AND (NOT own OR turn % 3 = 0 OR turn % 3 = 1))"""
+
+
+@query(
+    f"""WITH {_SKILLS}, fit AS (SELECT conv_id, turn, string_agg(w, ',' ORDER BY ord) AS names FROM met WHERE before < 400 GROUP BY conv_id, turn)
+SELECT conv_id, turn, coalesce(names, '') AS names FROM conversations LEFT JOIN fit USING (conv_id, turn)"""
+)
+def many_skills(spark, sf_dir):
+    said = turns(spark, sf_dir)
+    words = said.select("role", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))).alias("name")).groupBy("name").agg(F.bool_and(F.col("role") == "user").alias("own"))
+    table = words.select(
+        F.conv(F.substring(F.md5("name"), 1, 13), 16, 10).cast("long").alias("ord"),
+        "name",
+        F.lit(None).cast("string").alias("description"),
+        F.array("name").alias("keywords"),
+        F.when(F.col("own"), F.array(F.lit("guide"))).otherwise(F.array().cast("array<string>")).alias("agents"),
+        F.lit(True).alias("enabled"),
+        F.concat(F.lit("use "), "name").alias("content"),
+    )
+    agent = F.when(F.col("turn") % 3 == 0, "guide").when(F.col("turn") % 3 == 1, "").otherwise("clerk")
+    found = skills.match_skills(said.withColumn("agent", agent), table, "text", "agent", budget=400, key=["conv_id", "turn"])
+    return found.select("conv_id", "turn", F.array_join("skills", ",").alias("names"))
