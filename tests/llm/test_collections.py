@@ -115,7 +115,7 @@ def phrases(rows, least, longest, top):
     return sorted(out)
 
 
-@pytest.mark.parametrize("how", [{}, {"budget": 7}, {"budget": 7, "filter_bits": 1 << 10}, {"longest": 3, "budget": 2}, {"top": 3}])
+@pytest.mark.parametrize("how", [{}, {"budget": 30}, {"budget": 30, "filter_bits": 1 << 10}, {"longest": 3, "budget": 20}, {"top": 3}])
 def test_phrases(spark, how):
     rng = random.Random(8)
     words = ["the", "of", "É", "é", "x", "退", "a b"] + [f"w{i}" for i in range(30)]
