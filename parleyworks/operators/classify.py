@@ -43,11 +43,13 @@ def urgency(text: Column, label: Column, levels: Sequence[tuple[int, Sequence[st
 def vote(legs: DataFrame, key: str, floor: float = 0.5, override_below: float = 0.8, generic: Sequence[str] = (), pattern_leg: int = 3) -> DataFrame:
     """(key, label, confidence) from (key, leg, weight, label, confidence).
 
-    Weighted confidences add up by label; ties go to the label of the lowest leg. A generic winner
-    below ``override_below`` yields to a specific label of the pattern leg that has ``floor``;
-    what then is below ``floor`` is "other".
+    Weighted confidences add up by label, the smallest first, so that a sum doesn't depend on how rows arrive; ties go to the
+    label of the lowest leg. A generic winner below ``override_below`` yields to a specific label of the pattern leg that has
+    ``floor``; what then is below ``floor`` is "other".
     """
-    sums = legs.groupBy(key, "label").agg(F.sum(F.col("weight") * F.col("confidence")).alias("score"), F.min("leg").alias("first"))
+    parts = F.array_sort(F.collect_list(F.col("weight") * F.col("confidence")))
+    score = F.when(F.size("parts") > 0, F.aggregate("parts", F.lit(0.0), lambda a, x: a + x))
+    sums = legs.groupBy(key, "label").agg(parts.alias("parts"), F.min("leg").alias("first")).withColumn("score", score)
     w = Window.partitionBy(key).orderBy(F.desc(F.round("score", 9)), "first", "label")
     best = sums.withColumn("rn", F.row_number().over(w)).where("rn = 1").select(key, "label", "score")
     pattern = legs.where(F.col("leg") == pattern_leg).select(key, F.col("label").alias("p_label"), F.col("confidence").alias("p_score"))

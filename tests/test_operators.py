@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import random
 
 import numpy as np
@@ -69,6 +70,15 @@ def test_vote_override(spark):
     assert got == {1: ("refund", 0.75), 2: ("other", 0.21), 3: ("refund", 0.7)}
 
 
+def test_vote_in_any_order_of_rows(spark):
+    """0.35, 0.1 and 0.05 add up to 0.5 in one order and to less in another."""
+    legs = [(1, 0.7, "refund", 0.5), (2, 0.2, "refund", 0.5), (3, 0.1, "refund", 0.5)]
+    rows = [(i, *leg) for i, order in enumerate(itertools.permutations(legs)) for leg in order] + [(6, 1, 0.7, "refund", None)]
+    df = spark.createDataFrame(rows, "id int, leg int, weight double, label string, confidence double").coalesce(1)
+    got = {r.id: (r.label, r.confidence) for r in classify.vote(df, "id").collect()}
+    assert got == {i: ("refund", 0.5) for i in range(6)} | {6: ("refund", None)}
+
+
 def compacted(n: int, at: int, keep: int) -> dict[int, int | None]:
     """The compaction that takes each of ``n`` rows, by appending one after another."""
     live, batch, where = [], 0, dict.fromkeys(range(n))
