@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,16 @@ def tail(x: Column, n: int) -> Column:
     return F.slice(x, F.greatest(F.size(x) - n + 1, F.lit(1)), F.lit(n))
 
 
+def blocks(column: pa.Array, size: int = 1 << 18, rows: int = 1024) -> Iterator[tuple[int, list[str | None]]]:
+    """(first row, texts) of consecutive rows of a batch, about ``size`` bytes at a time; a larger text is a block of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo, before = 0, 0
+    while lo < len(column):
+        hi = min(max(lo + 1, int(np.searchsorted(ends, before + size, "right"))), lo + rows)
+        yield lo, column.slice(lo, hi - lo).to_pylist()
+        lo, before = hi, int(ends[hi - 1])
+
+
 #: What counts as white space, as in ``strip``.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 

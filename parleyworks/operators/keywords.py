@@ -12,41 +12,63 @@ a null text or keyword meets nothing. A keyword counts once for a text. Keys of
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _matches(df: DataFrame, keys: Sequence[str], text: str, words: list[tuple[str, list[int]]]) -> DataFrame:
-    """(keys, entry, found) of one part of a dictionary: ``words`` has the ids of each keyword."""
-    known = df.sparkSession.sparkContext.broadcast(words)
+from ..functions.text import blocks
+
+
+def _pairs(texts: list[str], automaton, starts: np.ndarray, ids: np.ndarray, everywhere: list[int], most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place of the text, id, keywords found), after about ``most`` keywords' ids each time; keyword ``w`` has ``ids[starts[w]:starts[w + 1]]``."""
+    scan = automaton.iter if len(automaton) else lambda _: ()
+    places, words, size = [], [], 0
+    for at, text in enumerate(texts):
+        found = {*everywhere, *(w for _, w in scan(text))}
+        places += [at] * len(found)
+        words += found
+        size += len(found) if len(ids) == len(starts) - 1 else sum(int(starts[w + 1] - starts[w]) for w in found)
+        if size >= most or at == len(texts) - 1:
+            w = np.array(words, np.int64)
+            n = starts[w + 1] - starts[w]
+            own = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)  # 0, 1, ... for each keyword
+            place, entry = np.repeat(np.array(places, np.int64), n), ids[np.repeat(starts[w], n) + own]
+            order = np.lexsort((entry, place))
+            place, entry = place[order], entry[order]
+            first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (entry[1:] != entry[:-1])][: len(place)])
+            yield place[first], entry[first], np.diff(np.r_[first, len(place)])
+            places, words, size = [], [], 0
+
+
+def _matches(df: DataFrame, keys: Sequence[str], text: str, words: pa.Table) -> DataFrame:
+    """(keys, entry, found) of one part of a dictionary: ``words`` has the ids of each keyword. It travels as columns, and texts are met in blocks."""
+    listed = pa.concat_arrays(words["ids"].chunks) if words.num_rows else pa.array([], pa.list_(pa.int64()))
+    starts = np.r_[0, np.cumsum(listed.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
+    known = df.sparkSession.sparkContext.broadcast((words["keyword"].combine_chunks(), starts, listed.flatten().to_numpy()))
     names = [*keys, "entry", "found"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        automaton = ahocorasick.Automaton()
+        given, starts, ids = known.value
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         everywhere = []
-        for i, (word, _) in enumerate(known.value):
-            if word:
-                automaton.add_word(word, i)
-            else:
-                everywhere.append(i)
+        for lo, some in blocks(given):
+            for i, word in enumerate(some, lo):
+                if word:
+                    automaton.add_word(word, i)
+                else:
+                    everywhere.append(i)
         automaton.make_automaton()
-        scan = automaton.iter if len(automaton) else lambda _: ()
         for batch in batches:
-            places, ids, counts = [], [], []
-            for at, said in enumerate(batch.column(len(keys)).to_pylist()):
-                found = Counter(i for word in {*everywhere, *(w for _, w in scan(said))} for i in known.value[word][1])
-                places += [at] * len(found)
-                ids += found.keys()
-                counts += found.values()
-            at = pa.array(places, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(keys))), pa.array(ids, pa.int64()), pa.array(counts, pa.int64())], names)
+            for lo, texts in blocks(batch.column(len(keys))):
+                for place, entry, found in _pairs(texts, automaton, starts, ids, everywhere):
+                    at = pa.array(place + lo)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(keys))), pa.array(entry), pa.array(found)], names)
 
     low = df.where(F.col(text).isNotNull()).select(*keys, F.lower(text).alias("__low"))
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
@@ -59,7 +81,7 @@ def keyword_pairs(df: DataFrame, keys: Sequence[str], text: str, dictionary: Dat
     chars = words.agg(F.sum(F.length("keyword") + 16 * F.size("ids"))).first()[0] or 0
     parts = max(1, math.ceil(chars / part_chars))
     dealt = words.withColumn("part", F.pmod(F.xxhash64("keyword"), F.lit(parts)))
-    found = reduce(DataFrame.unionByName, (_matches(df, keys, text, [(r["keyword"], r["ids"]) for r in dealt.where(F.col("part") == p).collect()]) for p in range(parts)))
+    found = reduce(DataFrame.unionByName, (_matches(df, keys, text, dealt.where(F.col("part") == p).select("keyword", "ids").toArrow()) for p in range(parts)))
     return found if parts == 1 else found.groupBy(*keys, "entry").agg(F.sum("found").alias("found"))
 
 

@@ -7,6 +7,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -34,6 +35,42 @@ def test_keyword_pairs(spark, part_chars):
     assert keywords.keyword_pairs(df.limit(0), ["k"], "t", spark.createDataFrame([], "id int, keyword string"), part_chars).count() == 0
 
 
+def test_pairs_leave_a_task_in_blocks():
+    """A batch of 2,000 texts that meet 60 entries each is never whole in memory as pairs."""
+    import ahocorasick
+
+    rng = random.Random(9)
+    words = [a + b for a in "abcd" for b in "abcd"] + ["", "zz"]
+    listed = [[rng.randrange(1 << 50) for _ in range(rng.choice((1, 5)))] if w else [7, 8] for w in words]
+    listed[1] = listed[0][:1] + listed[1]  # an entry of two keywords
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for i, w in enumerate(words):
+        if w:
+            automaton.add_word(w, i)
+    automaton.make_automaton()
+    starts, ids = np.cumsum([0, *map(len, listed)]), np.array([x for xs in listed for x in xs])
+    texts = ["".join(rng.choice("abcd") for _ in range(60)) for _ in range(2000)] + [""]
+    out = list(keywords._pairs(texts, automaton, starts, ids, [words.index("")], most=500))
+    assert len(out) > 100 and max(len(found) for _, _, found in out) <= 500 + len(ids)
+    want = {}
+    for at, t in enumerate(texts):
+        for w, xs in zip(words, listed, strict=True):
+            for x in xs if w in t else ():
+                want[at, x] = want.get((at, x), 0) + 1
+    got = [(at, x, n) for a, b, c in out for at, x, n in zip(a.tolist(), b.tolist(), c.tolist(), strict=True)]
+    assert len(got) == len(want) and {(at, x): n for at, x, n in got} == want
+
+
+@pytest.mark.parametrize(("size", "rows"), [(10, 3), (1, 1), (1000, 1000)])
+def test_blocks_of_a_batch(size, rows):
+    texts = ["a" * 4, None, "", "b" * 30, "é" * 3, *"cdefgh"]
+    column = pa.array(["-", *texts]).slice(1)
+    got = list(tx.blocks(column, size, rows))
+    assert [t for _, some in got for t in some] == texts and [lo for lo, _ in got] == np.cumsum([0, *(len(some) for _, some in got)])[:-1].tolist()
+    assert all(len(some) <= rows and (len(some) == 1 or sum(len((t or "").encode()) for t in some) <= size) for _, some in got)
+    assert list(tx.blocks(column.slice(0, 0))) == []
+
+
 def test_fifty_thousand_keywords_as_contains(spark):
     """As many keywords as documents have words, each with its own number, meet what ``contains`` meets."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
