@@ -13,25 +13,34 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .text import blocks
+
 
 class _Hashes:
-    """2 * slot + sign bit of n-grams; one seen before is not hashed again, up to ``keep`` of them."""
+    """2 * slot + sign bit of n-grams; one seen before is not hashed again, up to ``keep`` of them, which lie in two sorted arrays."""
 
     def __init__(self, dims: int, keep: int = 1_000_000):
-        self.dims, self.keep, self.known = dims, keep, {}
+        self.dims, self.keep, self.known, self.codes = dims, keep, np.zeros(0, np.uint64), np.zeros(0, np.int32)
+
+    def _code(self, key: int) -> int:
+        digest = hashlib.md5("".join(chr((key >> at & _POINT) - 1) for at in _PLACES if key >> at & _POINT).encode()).digest()
+        return 2 * (int.from_bytes(digest[:4], "big") % self.dims) + digest[4] % 2
 
     def of(self, keys: np.ndarray) -> np.ndarray:
-        """The codes of n-grams given by their keys (see ``_grams``), which are distinct."""
-        if len(self.known) > self.keep:
-            self.known.clear()
-        known, out = self.known, []
-        for key in keys.tolist():
-            code = known.get(key)
-            if code is None:
-                digest = hashlib.md5("".join(chr((key >> at & _POINT) - 1) for at in _PLACES if key >> at & _POINT).encode()).digest()
-                code = known[key] = 2 * (int.from_bytes(digest[:4], "big") % self.dims) + digest[4] % 2
-            out.append(code)
-        return np.array(out, np.int64)
+        """The codes of n-grams given by their keys (see ``_grams``), which are distinct and in order."""
+        at = np.searchsorted(self.known, keys)
+        old = np.zeros(len(keys), bool)
+        inside = at < len(self.known)
+        old[inside] = self.known[at[inside]] == keys[inside]
+        out = np.empty(len(keys), np.int64)
+        out[old] = self.codes[at[old]]
+        new = keys[~old]
+        out[~old] = np.fromiter(map(self._code, new.tolist()), np.int64, len(new))
+        if len(self.known) + len(new) <= self.keep:
+            self.known, self.codes = np.insert(self.known, at[~old], new), np.insert(self.codes, at[~old], out[~old])
+        elif len(new):
+            self.known, self.codes = new[: self.keep], out[~old][: self.keep].astype(np.int32)
+        return out
 
 
 _POINT = (1 << 21) - 1
@@ -69,7 +78,7 @@ def _counts(texts: Sequence[str | None], hashes: _Hashes, largest: int) -> Itera
     lo = 0
     while lo < len(said):
         hi, size = lo, 0
-        while hi < len(said) and hi - lo < 1024 and (hi == lo or size + len(said[hi]) <= 1 << 19):
+        while hi < len(said) and hi - lo < 1024 and (hi == lo or size + len(said[hi]) <= 1 << 18):
             size += len(said[hi])
             hi += 1
         row, key = _grams(said[lo:hi], largest)
@@ -90,9 +99,10 @@ def sparse_vectors(df: DataFrame, text: str, dims: int = 256, largest: int = 3)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes(dims)
         for batch in batches:
-            for lo, both in _counts(batch.column(batch.schema.get_field_index(text)).to_pylist(), hashes, largest):
+            for first, some in blocks(batch.column(batch.schema.get_field_index(text))):
+                both = np.concatenate([x for _, x in _counts(some, hashes, largest)])
                 row, slot = np.nonzero(both.sum(2))
-                again = batch.select(rest).take(pa.array(row + lo))
+                again = batch.select(rest).take(pa.array(row + first))
                 value = (both[..., 0] - both[..., 1])[row, slot]
                 yield pa.RecordBatch.from_arrays([*again.columns, pa.array(slot.astype(np.int32)), pa.array(value.astype(np.int64))], [*rest, "slot", "value"])
 
@@ -105,11 +115,12 @@ def dense_vectors(df: DataFrame, text: str, name: str, dims: int = 256, largest:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes(dims)
         for batch in batches:
-            v = _matrix(batch.column(batch.schema.get_field_index(text)).to_pylist(), hashes, largest)
-            if unit:
-                v /= np.maximum(np.sqrt((v**2).sum(1, keepdims=True)), 1e-300)
-            offsets = pa.array(np.arange(0, v.size + 1, dims, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(v.ravel()))], [*batch.schema.names, name])
+            for lo, some in blocks(batch.column(batch.schema.get_field_index(text))):
+                v = _matrix(some, hashes, largest)
+                if unit:
+                    v /= np.maximum(np.sqrt((v**2).sum(1, keepdims=True)), 1e-300)
+                offsets = pa.array(np.arange(0, v.size + 1, dims, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, len(some)).columns, pa.ListArray.from_arrays(offsets, pa.array(v.ravel()))], [*batch.schema.names, name])
 
     return df.mapInArrow(run, f"{_schema(df)}`{name}` array<double>")
 
@@ -148,12 +159,13 @@ def best_template(
         hashes = _Hashes(dims)
         sides = _matrix([t for _, texts in given for t in texts], hashes, largest)
         for batch in batches:
-            v = _matrix(batch.column(batch.schema.get_field_index(text)).to_pylist(), hashes, largest)
-            top, score = np.zeros(len(v), int), np.zeros(len(v))
-            for lo, best in _cosines(v, sides, first) if labels else ():
-                at = np.round(best, 9).argmax(1)
-                top[lo : lo + len(at)], score[lo : lo + len(at)] = at, best[np.arange(len(at)), at]
-            said = [{"label": labels[t], "confidence": float(s)} if s > 0 else {"label": other, "confidence": 0.0} for t, s in zip(top, score, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, kind)], [*batch.schema.names, name])
+            for begin, some in blocks(batch.column(batch.schema.get_field_index(text))):
+                v = _matrix(some, hashes, largest)
+                top, score = np.zeros(len(v), int), np.zeros(len(v))
+                for lo, best in _cosines(v, sides, first) if labels else ():
+                    at = np.round(best, 9).argmax(1)
+                    top[lo : lo + len(at)], score[lo : lo + len(at)] = at, best[np.arange(len(at)), at]
+                said = [{"label": labels[t], "confidence": float(s)} if s > 0 else {"label": other, "confidence": 0.0} for t, s in zip(top, score, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(begin, len(some)).columns, pa.array(said, kind)], [*batch.schema.names, name])
 
     return df.mapInArrow(run, f"{_schema(df)}`{name}` struct<label:string,confidence:double>")

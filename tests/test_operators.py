@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import hashlib
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -343,3 +345,22 @@ def test_evaluation_runs(spark, tmp_path):
     fell = evaluation.store_run(evaluation.report(results, "2024-01-02"), path).collect()
     assert [(r.metric, r.value, r.previous, round(r.delta, 4)) for r in fell] == [("relevance", 0.8, 0.9, -0.1111)]
     assert {(r.total, r.passed, r.pass_rate) for r in spark.read.parquet(path).where("run = '2024-01-02'").collect()} == {(2, 1, 0.5)}
+
+
+def test_known_ngrams_are_small_and_right():
+    """300,000 n-grams that a task has hashed take a few MB; what is forgotten is hashed again."""
+    hashes = vectors._Hashes(256)
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0xE001, 1 << 17, 300_000).astype(np.uint64) | (rng.integers(0x30, 0x3000, 300_000).astype(np.uint64) << np.uint64(21)))
+    tracemalloc.start()
+    codes = np.concatenate([hashes.of(part) for part in np.array_split(keys, 40)])
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 8 << 20
+    few, mixed = vectors._Hashes(256, keep=1000), np.sort(rng.choice(len(keys), 3000, False))
+    for at in (mixed[::3], mixed[::2], mixed[:100], mixed, mixed[::3]):
+        assert few.of(keys[at]).tolist() == hashes.of(keys[at]).tolist() == codes[at].tolist()
+        assert len(few.known) <= 1000
+    for key, code in zip(keys[:200].tolist(), codes[:200].tolist(), strict=True):
+        digest = hashlib.md5("".join(chr((key >> at & (1 << 21) - 1) - 1) for at in (0, 21) if key >> at & (1 << 21) - 1).encode()).digest()
+        assert code == 2 * (int.from_bytes(digest[:4], "big") % 256) + digest[4] % 2
