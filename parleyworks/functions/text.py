@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -53,29 +53,52 @@ def pack_sentences(sentences: list[str], size: int, joiner: str) -> list[str]:
     return out
 
 
+def chunk_text(text: str | None, cut: re.Pattern, size: int, joiner: str) -> list[str] | None:
+    """The chunks of one text, as ``chunks`` says."""
+    if text is None:
+        return None
+    if len(text) <= size:
+        return [text] if text.strip(WHITE) else []
+    return pack_sentences([s for s in cut.split(text) if s.strip(WHITE)], size, joiner)
+
+
 def chunks(x: Column, size: int = 500, delimiters: str = "[。\n]", joiner: str = "。") -> Column:
     """Sentences packed into chunks of at most ``size`` characters.
 
     A text that fits is one chunk as it is. A chunk closes where the next sentence (and a joiner)
     does not fit; a sentence over ``size`` is never split; blank chunks are dropped. ``delimiters`` is a pattern without groups.
-    Texts go through Arrow batches, and each costs its length.
+    Texts go through Arrow batches, and each costs its length. To explode them, take ``exploded_chunks``: Spark filters by the
+    size of what it explodes and would cut each text twice.
     """
-    cut = re.compile(delimiters)
+    cut, kind = re.compile(delimiters), pa.list_(pa.string())
 
     @F.arrow_udf("array<string>")
     def packed(texts: pa.Array) -> pa.Array:
-        def one(text: str | None) -> list[str] | None:
-            if text is None:
-                return None
-            if len(text) <= size:
-                return [text] if text.strip(WHITE) else []
-            return pack_sentences([s for s in cut.split(text) if s.strip(WHITE)], size, joiner)
-
-        return pa.array(map(one, texts.to_pylist()), pa.list_(pa.string()))
+        return pa.concat_arrays([pa.array([], kind), *(pa.array([chunk_text(t, cut, size, joiner) for t in some], kind) for _, some in blocks(texts))])
 
     return packed(x)
 
 
+def exploded_chunks(df: DataFrame, text: str, size: int = 500, delimiters: str = "[。\n]", joiner: str = "。", names: tuple[str, str, str] = ("total_chunks", "chunk_index", "chunk")) -> DataFrame:
+    """``df`` without ``text``, a row for each of its ``chunks`` with their number, its place from 0, and the chunk; a block of rows at a time."""
+    rest = [f.name for f in df.schema if f.name != text]
+    cut = re.compile(delimiters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = batch.select(rest)
+            for lo, some in blocks(batch.column(batch.schema.get_field_index(text))):
+                found = [chunk_text(t, cut, size, joiner) or [] for t in some]
+                n = np.fromiter(map(len, found), np.int64, len(found))
+                row = np.repeat(np.arange(len(found)), n)
+                index = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                columns = [pa.array(n[row].astype(np.int32)), pa.array(index.astype(np.int32)), pa.array([c for cs in found for c in cs], pa.string())]
+                yield pa.RecordBatch.from_arrays([*kept.take(pa.array(row + lo)).columns, *columns], [*rest, *names])
+
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if f.name != text)
+    return df.mapInArrow(run, f"{kinds}`{names[0]}` int, `{names[1]}` int, `{names[2]}` string")
+
+
 # The entity patterns.
 ENTITIES = {
     "order_id": r"(?iuU)(?:订单号?|order(?:_id)?|#)\s*[:：#]?\s*([A-Za-z0-9_-]{4,32})",

@@ -174,8 +174,7 @@ FROM (SELECT *, unnest(c) AS chunk, generate_subscripts(c, 1) AS i FROM c)"""
 )
 def chunk_documents(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").withColumn("title", F.concat_ws("/", "source", F.col("doc_id").cast("string")))
-    df = docs.select("doc_id", "title", tx.chunks(F.col("text"), delimiters="[.\n]", joiner=".").alias("c"))
-    df = df.select("doc_id", "title", F.size("c").alias("total_chunks"), F.posexplode("c").alias("chunk_index", "chunk"))
+    df = tx.exploded_chunks(docs.select("doc_id", "title", "text"), "text", delimiters="[.\n]", joiner=".")
     return df.withColumn("chunk_id", F.md5(F.concat_ws("_", "title", F.col("chunk_index").cast("string"), F.substring("chunk", 1, 50))))
 
 

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import chunks
+from ..functions.text import exploded_chunks
 from ..operators.memory import latest_per_key
 from .commits import Table
 
@@ -28,8 +28,7 @@ CHUNK = "chunk_id string, title string, chunk_index int, total_chunks int, text
 
 def chunk_rows(docs: DataFrame, size: int = 500, **options) -> DataFrame:
     """Chunks of documents (title, content); the id is a hash of title, place and beginning."""
-    df = docs.select("title", chunks(F.col("content"), size, **options).alias("c"))
-    df = df.select("title", F.size("c").alias("total_chunks"), F.posexplode("c").alias("chunk_index", "text"))
+    df = exploded_chunks(docs.select("title", "content"), "content", size, **options, names=("total_chunks", "chunk_index", "text"))
     return df.select(F.md5(F.concat_ws("_", "title", F.col("chunk_index").cast("string"), F.substring("text", 1, 50))).alias("chunk_id"), "title", "chunk_index", "total_chunks", "text")
 
 

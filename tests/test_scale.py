@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from parleyworks.functions import text as tx
 from parleyworks.functions import vectors
+from parleyworks.jobs.queries import QUERIES
 from parleyworks.operators import classify, keywords, memory, pivots, retrieve, skills
 
 
@@ -175,6 +176,17 @@ def test_chunks_of_a_long_text_take_linear_time(spark):
     assert max(len(x or ()) for x in got) == len(tx.pack_sentences(text.split(".")[:-1], 500, "."))
 
 
+def test_texts_are_cut_once(spark, small):
+    """The chunks of a text become rows where it is cut; before, a filter by their number cut it a second time."""
+    plan = QUERIES["chunk_documents"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert sum(plan.count(node) for node in ("ArrowEvalPython", "MapInArrow")) == 1
+    texts = [None, "", " \n", "a.b", "ab.cd." * 40, "é.退\n" * 7, *("x" * i + "." for i in range(30))] * 50
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").repartition(3)
+    got = tx.exploded_chunks(df, "t", 20, r"[.\n]", ".").collect()
+    cut = df.select("i", tx.chunks(F.col("t"), 20, r"[.\n]", ".").alias("c")).collect()
+    assert sorted(map(tuple, got)) == sorted((r.i, len(r.c), k, c) for r in cut for k, c in enumerate(r.c or ()))
+
+
 @pytest.mark.parametrize("batch", ["3", "10000"])
 def test_budgets_are_kept_before_the_shuffle(spark, batch):
     rng = random.Random(6)
