@@ -14,24 +14,22 @@ import numpy as np
 END = 0xFF
 
 
-def _range_minima(values: np.ndarray) -> list[np.ndarray]:
-    """``table[k][i]`` is the least of the 2**k values from ``i``."""
-    table = [values]
-    width = 1
-    while 2 * width <= len(values):
-        table.append(np.minimum(table[-1][:-width], table[-1][width:]))
-        width *= 2
+def _range_minima(values: np.ndarray, longest: int) -> np.ndarray:
+    """``table[k, i]`` is the least of the 2**k values from ``i``, as far as ranges of ``longest`` values ask for it."""
+    n = len(values)
+    table = np.empty((max(1, int(longest).bit_length()), n), values.dtype)
+    table[0] = values
+    for k in range(1, len(table)):
+        stop = n - (1 << k) + 1
+        np.minimum(table[k - 1, :stop], table[k - 1, 1 << (k - 1) : stop + (1 << (k - 1))], out=table[k, :stop])
     return table
 
 
-def _least(table: list[np.ndarray], a: np.ndarray, z: np.ndarray) -> np.ndarray:
+def _least(table: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
     """The least value at the places from ``a`` up to ``z``, ``z`` included."""
-    out = np.zeros(len(a), np.uint8)
-    level = np.frexp((z - a + 1).astype(np.float64))[1] - 1
-    for k in np.unique(level):
-        at = np.flatnonzero(level == k)
-        out[at] = np.minimum(table[k][a[at]], table[k][z[at] - (1 << int(k)) + 1])
-    return out
+    level = np.frexp((z - a + 1).astype(np.float64))[1].astype(np.int64) - 1
+    flat, row = table.ravel(), level * table.shape[1]
+    return np.minimum(flat[row + a], flat[row + z + 1 - (1 << level)])
 
 
 def _by_symbol(transform: np.ndarray) -> np.ndarray:
@@ -58,34 +56,44 @@ def build(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, cap: int) ->
     transform = symbol(active, 0) if len(raw) else np.full(m, END, np.uint8)
     common = np.zeros(m, np.uint8)
     place = np.arange(m)
+    tails = np.zeros(0, np.int64)  # of the suffixes that aren't empty: where the suffix without the first symbol stands
+    firsts = np.zeros(256, np.int64)  # how many begin with each symbol
     done = 0
     while True:
-        going = transform[place] != END
-        active, place = active[going], place[going]
-        if not len(active):
-            return transform, common
-        order = _by_symbol(transform)
-        rank = np.zeros(len(transform), np.int64)
-        rank[order] = np.arange(len(order))
-        at = rank[place]
         own = transform[place]
-        before = np.maximum(at - 1, 0)
-        after = np.minimum(at + 1, len(order) - 1)
-        has_before = (at > 0) & (transform[order[before]] == own)
-        has_after = (at < len(order) - 1) & (transform[order[after]] == own)
-        minima = _range_minima(common)
+        by = np.argsort(own, kind="stable")  # places ascend, so these are in the order of the new suffixes
+        by = by[: len(by) - int(np.count_nonzero(own == END))]
+        if not len(by):
+            return transform, common
+        active, place, own = active[by], place[by], own[by]
+        n = len(transform)
+        keys = tails + np.repeat(np.arange(256) * n, firsts)
+        floor = own.astype(np.int64) * n
+        earlier = np.searchsorted(keys, place + floor)
+        at = earlier + np.arange(len(active))
+        before = np.where(earlier > 0, keys[np.maximum(earlier - 1, 0)] - floor, -1) if len(keys) else np.full(len(active), -1)
+        after = np.where(earlier < len(keys), keys[np.minimum(earlier, len(keys) - 1)] - floor, n) if len(keys) else np.full(len(active), n)
+        same = own[1:] == own[:-1]
+        before[1:] = np.where(same, np.maximum(before[1:], place[:-1]), before[1:])
+        after[:-1] = np.where(same, np.minimum(after[:-1], place[1:]), after[:-1])
+        has_before, has_after = before >= 0, after < n
+        a, z = before[has_before] + 1, place[has_before]
+        b, y = place[has_after] + 1, after[has_after]
+        minima = _range_minima(common, max((z - a).max(initial=0), (y - b).max(initial=0)) + 1)
         with_before = np.zeros(len(active), np.uint8)
-        with_before[has_before] = np.minimum(_least(minima, order[before[has_before]] + 1, place[has_before]), cap - 1) + 1
-        with_after = np.minimum(_least(minima, place[has_after] + 1, order[after[has_after]]), cap - 1) + 1
+        with_before[has_before] = np.minimum(_least(minima, a, z), cap - 1) + 1
+        with_after = np.minimum(_least(minima, b, y), cap - 1) + 1
         done += 1
         new = at + m
-        old = np.ones(len(order) + m, bool)
+        old = np.ones(n + len(active), bool)
         old[new] = False
-        grown, longer = np.empty(len(old), np.uint8), np.empty(len(old), np.uint8)
-        grown[old], longer[old] = transform, common
-        grown[new], longer[new] = symbol(active, done), with_before
+        moved = np.flatnonzero(old)
+        grown, longer, further = np.empty(len(old), np.uint8), np.empty(len(old), np.uint8), np.empty(len(old) - m, np.int64)
+        grown[old], longer[old], further[old[m:]] = transform, common, moved[tails]
+        grown[new], longer[new], further[at] = symbol(active, done), with_before, moved[place]
         longer[new[has_after] + 1] = with_after
-        transform, common, place = grown, longer, new
+        transform, common, place, tails = grown, longer, new, further
+        firsts += np.bincount(own, minlength=256)
 
 
 def suffix_places(transform: np.ndarray, lengths: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -12,8 +12,9 @@ The steps, each a Spark job over written tables or shuffles:
 1. Texts are written in compressed blocks of about ``block`` bytes.
 2. Each block sends the hashes of its anchors, with the number of its documents that have them, to their buckets, which send back
    those of two documents or more. No other piece can be repeated, so no other text moves.
-3. Blocks send the pieces of those anchors to buckets of about ``bucket`` pieces; the transform is built there. Equal pieces of
-   a bucket enter it as one string with the least id, and those of an anchor with a single string, which have no other to meet, not at all.
+3. Blocks send the pieces of those anchors to buckets of about twice ``bucket`` pieces, those of several blocks together; the
+   transform is built there, for ``bucket`` pieces at a time. Equal pieces enter it as one string with the least id; a string that is
+   alone with its anchor has no other to meet, and windows at either end whose hash no other string has are in no other.
 4. An anchor in over ``hot`` documents is dealt by document to several buckets. There the first document with a window is found as
    elsewhere; the windows that remain go once more, one by one, to buckets by their whole content, so no bucket has more copies of
    a window than there were buckets of its anchor.
@@ -43,7 +44,7 @@ from .textvec import mix
 
 _NONE = np.iinfo(np.int64).max
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_SLICE = 1 << 18
+_SLICE = 1 << 16
 
 
 def _zip(x: np.ndarray | bytes) -> bytes:
@@ -131,23 +132,37 @@ def pieces(raw: np.ndarray, ends: np.ndarray, width: int, gram: int) -> Iterator
         yield begin + lo, np.minimum(np.repeat(stop, parts) - begin, count), np.repeat(anchor, parts)
 
 
+def _owned(anchors: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The anchors, sorted, and the number of texts that have each."""
+    order = np.argsort(anchors)
+    h = anchors[order]
+    new = np.append(True, h[1:] != h[:-1])
+    first = np.flatnonzero(new)
+    n = np.ones(len(first), np.int64)
+    often = np.flatnonzero(np.diff(np.append(first, len(h))) > 1)  # few have more than one piece
+    if len(often):
+        at = np.flatnonzero(~(new & np.append(new[1:], True)))
+        which, owner = (np.cumsum(new) - 1)[at], owners[order[at]]
+        order = np.lexsort((owner, which))
+        which, owner = which[order], owner[order]
+        n[often] = np.bincount(np.searchsorted(often, which[np.append(True, (which[1:] != which[:-1]) | (owner[1:] != owner[:-1]))]), minlength=len(often))
+    return h[first], n
+
+
 def _anchor_rows(width: int, gram: int, buckets: int):
-    """Block -> (bucket, block, anchors, counts): each anchor of the block with the number of its texts that have it."""
+    """Block -> (bucket, block, n, anchors): each anchor of the block with the number of its texts that have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 raw, ends = np.frombuffer(_unzip(row["texts"]), np.uint8), np.cumsum(row["sizes"])
                 for anchors, owners, _, _ in _segments(raw, ends, width, gram):
-                    order = np.lexsort((owners, anchors))
-                    h, d = anchors[order], owners[order]
-                    once = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))
-                    h, n = np.unique(h[once], return_counts=True)
+                    h, n = _owned(anchors, owners)
                     cuts = np.searchsorted(h, (np.arange(1, buckets, dtype=np.float64) / buckets * 2.0**64).astype(np.uint64))
                     parts = zip(np.split(h, cuts), np.split(n, cuts), strict=True)
-                    made = [(b, row["block"], _zip(x), _zip(np.minimum(c, 1 << 30).astype("<u4"))) for b, (x, c) in enumerate(parts) if len(x)]
+                    made = [(b, row["block"], len(x), _zip(x.astype("<u8").tobytes() + np.minimum(c, 1 << 30).astype("<u4").tobytes())) for b, (x, c) in enumerate(parts) if len(x)]
                     if made:
-                        yield _batch(made, ("bucket", "block", "anchors", "counts"), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))
+                        yield _batch(made, ("bucket", "block", "n", "anchors"), (pa.int32(), pa.int64(), pa.int32(), pa.binary()))
 
     return run
 
@@ -189,7 +204,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bucket -> (block, anchors, total): for each block its anchors of two texts or more, with the number of texts in all."""
     for rows in _runs(batches):
-        held = [(r["block"], _array(r["anchors"], "<u8"), _array(r["counts"], "<u4")) for r in rows]
+        held = [(r["block"], np.frombuffer(x, "<u8", r["n"]), np.frombuffer(x, "<u4", offset=8 * r["n"])) for r in rows for x in (_unzip(r["anchors"]),)]
         h = np.concatenate([x for _, x, _ in held])
         order = np.argsort(h, kind="stable")
         new = np.append(True, h[order][1:] != h[order][:-1])
@@ -206,57 +221,120 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(made, ("block", "anchors", "totals", "n"), (pa.int64(), pa.binary(), pa.binary(), pa.int64()))
 
 
-_PIECES = ("bucket", "block", "final", "anchors", "docs", "owners", "firsts", "counts", "bytes")
-_PIECE_KINDS = (pa.int64(), pa.int64(), pa.bool_(), *[pa.binary()] * 6)
+_PIECES = ("bucket", "final", "n", "pieces")
+_PIECE_KINDS = (pa.int64(), pa.bool_(), pa.int32(), pa.binary())
+_PIECE_SCHEMA = "bucket long, final boolean, n int, pieces binary"
+_COLUMNS = (("hash", "<u8"), ("doc", "<i8"), ("block", "<i8"), ("first", "<i8"), ("owner", "<i4"), ("count", "u1"))
 
 
-def _gather(raw: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The bytes of the strings, one after the other."""
-    start = np.cumsum(length) - length
-    return raw[np.repeat(first - start, length) + np.arange(int(length.sum()))]
+def _pack(columns: list[np.ndarray], text: np.ndarray) -> bytes:
+    """Pieces column by column, in the order of their hashes, and their text."""
+    columns = [np.diff(columns[0], prepend=np.uint64(0)), *columns[1:]]
+    held = _zip(b"".join(c.astype(kind, copy=False).tobytes() for c, (_, kind) in zip(columns, _COLUMNS, strict=True)))
+    return len(held).to_bytes(8, "little") + held + _zip(text)
 
 
-def _piece_rows(row: dict, raw: np.ndarray, bucket: np.ndarray, final: bool, anchor: np.ndarray, doc: np.ndarray, owner: np.ndarray, first: np.ndarray, count: np.ndarray, start: np.ndarray, width: int) -> list[tuple]:
-    """A row for each bucket: its pieces column by column, in the order of anchors. ``start`` says where in ``raw`` they stand."""
-    order = np.lexsort((start, anchor, bucket))
-    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+def _unpack(packed: bytes, n: int) -> tuple[list[np.ndarray], bytes]:
+    cut = 8 + int.from_bytes(packed[:8], "little")
+    raw, at, columns = _unzip(packed[8:cut]), 0, []
+    for _, kind in _COLUMNS:
+        columns.append(np.frombuffer(raw, kind, n, at))
+        at += columns[-1].nbytes
+    return [np.cumsum(columns[0]), *columns[1:]], _unzip(packed[cut:])
+
+
+def _gather(raw: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The bytes of the strings, one after the other."""
+    longest = int(length.max(initial=0))
+    if not longest:
+        return np.zeros(0, np.uint8)
+    windows, place, out = np.lib.stride_tricks.sliding_window_view(raw, longest), np.arange(longest, dtype=np.int16), []
+    for lo in range(0, len(first), 1 << 12):
+        at, n = first[lo : lo + (1 << 12)], length[lo : lo + (1 << 12)]
+        start = np.minimum(at, len(windows) - 1)
+        begin, end = (x.astype(np.int16)[:, None] for x in (at - start, at - start + n))
+        out.append(windows[start][(place >= begin) & (place < end)])
+    return np.concatenate(out)
+
+
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a hash; it grows with the hash."""
+    return (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def _piece_rows(raw: np.ndarray, buckets: int, final: bool, columns: list[np.ndarray], start: np.ndarray, some: np.ndarray, width: int) -> Iterator[list[tuple]]:
+    """A row for each bucket of ``some`` pieces, by their hashes, 64 rows at a time. ``start`` says where in ``raw`` they stand."""
+    some = some[np.argsort(columns[0][some])]
+    bucket = _bucket(columns[0][some], buckets)
+    cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(some)]
     made = []
-    for at in np.split(order, cuts):
-        text = _gather(raw, start[at], count[at] + width - 1)
-        columns = (anchor[at].astype("<u8"), doc[at].astype("<i8"), owner[at].astype("<i4"), first[at].astype("<i8"), count[at].astype("u1"), text)
-        made.append((int(bucket[at[0]]), row["block"], final, *(_zip(c) for c in columns)))
-    return made
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        at = some[lo:hi]
+        own = [c[at] for c in columns]
+        made.append((int(bucket[lo]), final, hi - lo, _pack(own, _gather(raw, start[at], own[-1].astype(np.int64) + width - 1))))
+        if len(made) == 64:
+            yield made
+            made = []
+    if made:
+        yield made
 
 
-def _sent_pieces(width: int, gram: int, buckets: int, hot: int):
-    """Block with its repeated anchors -> pieces by bucket."""
+def _sent_pieces(width: int, gram: int, buckets: int, hot: int, most: int = 1 << 18, text: int = 16 << 20):
+    """Blocks with their repeated anchors -> pieces by bucket.
+
+    Pieces leave together when there are ``most`` or they lie in ``text`` bytes, whatever block they are of. So a row has the more of
+    them the fewer buckets there are, and the number of rows doesn't grow with blocks times buckets.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[np.ndarray] = []
+        held: list[tuple] = []
+        n = size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            raw = np.concatenate(texts) if len(texts) > 1 else texts[0]
+            texts.clear()
+            final, start, *columns = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            for kind in (True, False):
+                some = np.flatnonzero(final == kind)
+                if len(some):
+                    for made in _piece_rows(raw, buckets, kind, columns, start, some, width):
+                        yield _batch(made, _PIECES, _PIECE_KINDS)
+
         for batch in batches:
             for row in batch.to_pylist():
                 raw, ends = np.frombuffer(_unzip(row["texts"]), np.uint8), np.cumsum(row["sizes"])
+                if texts and size + len(raw) > text:
+                    yield from out()
+                    n = size = 0
+                texts.append(raw)
                 ids = np.array([_NONE if x is None else x for x in row["ids"]], np.int64)
                 known = np.concatenate([_array(x, "<u8") for x in row["found"]])
                 total = np.concatenate([_array(x, "<u8") for x in row["totals"]]).astype(np.int64)
                 order = np.argsort(known)
                 known, total = known[order], total[order]
                 begins = ends - row["sizes"]
-                for anchor, owner, first, count in _segments(raw, ends, width, gram, 1 << 18):
-                    at = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
-                    some = known[at] == anchor
+                for anchor, owner, first, count in _segments(raw, ends, width, gram, 1 << 16):
+                    order = np.argsort(anchor)
+                    at = np.minimum(np.searchsorted(known, anchor[order]), len(known) - 1)
+                    some = known[at] == anchor[order]
                     if not some.any():
                         continue
-                    anchor, owner, first, count, n = anchor[some], owner[some], first[some], count[some], total[at[some]]
-                    doc = ids[owner]
-                    dealt = -(-n // hot)  # buckets of the anchor, one unless it is hot
+                    order, times = order[some], total[at[some]]
+                    anchor, owner, first, count = anchor[order], owner[order], first[order], count[order]
+                    doc, owner, count = ids[owner], owner.astype(np.int32), count.astype(np.uint8)
+                    dealt = -(-times // hot)  # buckets of the anchor, one unless it is hot
                     salt = (mix(doc.astype(np.uint64) + _ODD) % dealt.astype(np.uint64)) * (dealt > 1)
-                    bucket = (mix(anchor + salt * _ODD) % np.uint64(buckets)).astype(np.int64)
-                    made = []
-                    for final in (True, False):
-                        x = (dealt == 1) == final
-                        if x.any():
-                            made += _piece_rows(row, raw, bucket[x], final, anchor[x], doc[x], owner[x], (first - begins[owner])[x], count[x], first[x], width)
-                    yield _batch(made, _PIECES, _PIECE_KINDS)
+                    held.append((dealt == 1, first + size, mix(anchor + salt * _ODD), doc, np.full(len(doc), row["block"], np.int64), first - begins[owner], owner, count))
+                    n += len(doc)
+                    if n >= most:
+                        yield from out()
+                        texts.append(raw)
+                        n = size = 0
+                size += len(raw)
+        if held:
+            yield from out()
 
     return run
 
@@ -279,10 +357,9 @@ def _first_documents(raw: np.ndarray, start: np.ndarray, count: np.ndarray, doc:
     return out, begin
 
 
-def _distinct_strings(raw: np.ndarray, start: np.ndarray, length: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _distinct_strings(data: bytes, start: np.ndarray, length: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One member of each set of equal strings, the set of every string, and the sets' least documents. Equal by bytes."""
     names: dict[bytes, int] = {}
-    data = raw.tobytes()
     of = np.array([names.setdefault(data[s : s + n], len(names)) for s, n in zip(start.tolist(), length.tolist(), strict=True)], np.int64)
     one = np.zeros(len(names), np.int64)
     one[of[::-1]] = np.arange(len(of))[::-1]
@@ -291,69 +368,123 @@ def _distinct_strings(raw: np.ndarray, start: np.ndarray, length: np.ndarray, do
     return one, of, least
 
 
-def _found_spans(width: int, buckets: int, hot_pass: bool):
-    """Bucket of pieces -> (block, spans) and, of hot anchors, the windows that no document of the bucket has before."""
+def _window_hashes(raw: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the ``width`` bytes from each place."""
+    gram, out = width - width % 8, np.empty(len(raw) - width + 1, np.uint64)
+    for lo in range(0, len(out), _SLICE):
+        h = _gram_hashes(raw[lo : lo + _SLICE + width - 1], gram)
+        out[lo : lo + _SLICE] = mix(h[: len(h) - (width - gram)] * _ODD + h[width - gram :])
+    return out
+
+
+def _shared_stretches(raw: np.ndarray, start: np.ndarray, count: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The strings with a window whose hash another string has too, and the first and last such window of each.
+
+    No other window of theirs stands in two strings; whether these do is for the transform to say.
+    """
+    string = np.repeat(np.arange(len(count)), count)
+    begin = np.cumsum(count) - count
+    window = np.arange(len(string)) - begin[string]
+    h = _window_hashes(_gather(raw, start, count + width - 1), width)[window + (begin + np.arange(len(count)) * (width - 1))[string]]
+    order = np.argsort(h)
+    new = np.append(True, h[order][1:] != h[order][:-1])
+    s, edge = string[order], np.flatnonzero(new)
+    some = np.zeros(len(h), bool)
+    some[order] = (np.minimum.reduceat(s, edge) != np.maximum.reduceat(s, edge))[np.cumsum(new) - 1]
+    at = np.flatnonzero(some)
+    s = string[at]
+    new = s[1:] != s[:-1]
+    return s[np.append(True, new)[: len(s)]], window[at[np.append(True, new)[: len(s)]]], window[at[np.append(new, True)[: len(s)]]]
+
+
+def _gone(data: bytes, raw: np.ndarray, start: np.ndarray, count: np.ndarray, doc: np.ndarray, anchor: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the windows of all pieces whether a smaller document has them, and their pieces and numbers there."""
+    one, of, least = _distinct_strings(data, start, count + width - 1, doc)
+    before, begin = np.repeat(least, count[one]), np.cumsum(count[one]) - count[one]
+    _, which, strings = np.unique(anchor[one], return_inverse=True, return_counts=True)
+    met = np.flatnonzero(strings[which] > 1)  # a string that is alone with its anchor shares no window
+    if len(met):
+        some, lo, hi = _shared_stretches(raw, start[one][met], count[one][met], width)
+        met, k = met[some], hi - lo + 1
+        found, _ = _first_documents(raw, start[one][met] + lo, k, least[met], width)
+        before[np.repeat(begin[met] + lo - np.cumsum(k) + k, k) + np.arange(len(found))] = found
+    piece = np.repeat(np.arange(len(doc)), count)
+    window = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
+    return before[begin[of[piece]] + window] < doc[piece], piece, window
+
+
+def _found_spans(width: int, buckets: int, most: int, hot_pass: bool, held: int = 1 << 18):
+    """Bucket of pieces -> (block, spans) and, of hot anchors, the windows that no document of the bucket has before.
+
+    A bucket is gone through in parts of about ``most`` pieces, each with all pieces of its anchors. Spans and windows of a task's
+    buckets leave together, when there are ``held``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches):
-            doc, owner, first, count = (np.concatenate([_array(r[c], k) for r in rows]).astype(np.int64) for c, k in (("docs", "<i8"), ("owners", "<i4"), ("firsts", "<i8"), ("counts", "u1")))
-            raw = np.frombuffer(b"".join(_unzip(r["bytes"]) for r in rows), np.uint8)
-            sizes = [len(_array(r["owners"], "<i4")) for r in rows]
-            source = np.repeat(np.arange(len(rows)), sizes)
-            length = count + width - 1
-            start = np.cumsum(length) - length
-            one, of, least = _distinct_strings(raw, start, length, doc)
-            anchor = np.concatenate([_array(r["anchors"], "<u8") for r in rows])[one]
-            before, begin = np.repeat(least, count[one]), np.cumsum(count[one]) - count[one]
-            _, which, strings = np.unique(anchor, return_inverse=True, return_counts=True)
-            met = np.flatnonzero(strings[which] > 1)  # a string that is alone with its anchor shares no window
-            found, _ = _first_documents(raw, start[one][met], count[one][met], least[met], width)
-            k = count[one][met]
-            before[np.repeat(begin[met] - np.cumsum(k) + k, k) + np.arange(len(found))] = found
-            string = np.repeat(np.arange(len(doc)), count)
-            window = np.arange(len(string)) - np.repeat(np.cumsum(count) - count, count)
-            gone = before[begin[of[string]] + window] < doc[string]
-            edge = np.flatnonzero(gone)
-            opens = edge[(window[edge] == 0) | ~gone[edge - 1]]
-            closes = edge[(window[edge] == count[string[edge]] - 1) | ~gone[np.minimum(edge + 1, len(gone) - 1)]]
-            s = string[opens]
+        spans: list[tuple] = []
+        left: list[tuple] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
             made = []
-            cut = np.searchsorted(source[s], np.arange(len(rows) + 1))
-            for i, r in enumerate(rows):
-                a, z = cut[i], cut[i + 1]
-                if z > a:
-                    at = first[s[a:z]]
-                    made.append((None, r["block"], _zip(owner[s[a:z]].astype("<i4")), _zip(at + window[opens[a:z]]), _zip(at + window[closes[a:z]] + width), *[None] * 5))
-            left = np.flatnonzero(~gone & np.repeat([not r["final"] for r in rows], sizes)[string]) if hot_pass else edge[:0]
-            if len(left):
-                made += _left_windows(rows, raw, start, string[left], window[left], doc, owner, first, source, width, buckets)
-            if made:
-                yield _batch(made, _SPANS, _SPAN_KINDS)
+            if spans:
+                block, *columns = (np.concatenate(x) for x in zip(*spans, strict=True))
+                order = np.argsort(block, kind="stable")
+                for at in np.split(order, np.flatnonzero(np.diff(block[order])) + 1) if len(order) else ():
+                    made.append((None, int(block[at[0]]), None, len(at), _zip(b"".join(c[at].astype(k).tobytes() for c, k in zip(columns, _SPAN, strict=True)))))
+            if left:
+                text, *columns = (np.concatenate(x) for x in zip(*left, strict=True))
+                start = np.arange(len(text) // width) * width
+                for rows in _piece_rows(text, buckets, True, [*columns, np.ones(len(start), np.uint8)], start, np.arange(len(start)), width):
+                    made += [(bucket, None, *rest) for bucket, *rest in rows]
+            spans.clear()
+            left.clear()
+            for lo in range(0, len(made), 1 << 9):
+                yield _batch(made[lo : lo + (1 << 9)], _SPANS, _SPAN_KINDS)
+
+        for rows in _runs(batches):
+            final = np.repeat([r["final"] for r in rows], [r["n"] for r in rows])
+            columns, texts = zip(*(_unpack(r["pieces"], r["n"]) for r in rows), strict=True)
+            rows.clear()
+            anchor, doc, block, first, owner, count = (np.concatenate(x) for x in zip(*columns, strict=True))
+            data, count = b"".join(texts), count.astype(np.int64)
+            del columns, texts
+            raw = np.frombuffer(data, np.uint8)
+            start = np.cumsum(count + width - 1) - (count + width - 1)
+            part = (mix(anchor ^ _ODD) % np.uint64(-(-len(anchor) // most))).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                gone, piece, window = _gone(data, raw, start[at], count[at], doc[at], anchor[at], width)
+                edge = np.flatnonzero(gone)
+                opens = edge[(window[edge] == 0) | ~gone[edge - 1]]
+                closes = edge[(window[edge] == count[at][piece[edge]] - 1) | ~gone[np.minimum(edge + 1, len(gone) - 1)]]
+                i = at[piece[opens]]
+                spans.append((block[i], owner[i], first[i] + window[opens], first[i] + window[closes] + width))
+                stays = np.flatnonzero(~gone & ~final[at][piece]) if hot_pass and not final[at].all() else edge[:0]
+                for lo in range(0, len(stays), held):
+                    i, w = at[piece[stays[lo : lo + held]]], window[stays[lo : lo + held]]
+                    text = _gather(raw, start[i] + w, np.full(len(i), width))
+                    left.append((text, _content(text, width), doc[i], block[i], first[i] + w, owner[i]))
+                    if sum(len(x[1]) for x in left) >= held:
+                        yield from out()
+                if sum(len(x[0]) for x in spans) >= held:
+                    yield from out()
+        yield from out()
 
     return run
 
 
-def _left_windows(rows: list[dict], raw: np.ndarray, start: np.ndarray, string: np.ndarray, window: np.ndarray, doc: np.ndarray, owner: np.ndarray, first: np.ndarray, source: np.ndarray, width: int, buckets: int) -> list[tuple]:
-    """The windows as pieces of one window each, by buckets of their content."""
-    made = []
-    for lo in range(0, len(string), 1 << 16):
-        s, w = string[lo : lo + (1 << 16)], window[lo : lo + (1 << 16)]
-        text = _gather(raw, start[s] + w, np.full(len(s), width)).reshape(-1, width)
-        h = np.zeros(len(s), np.uint64)
-        for column in text.T:
-            h = mix(h * _ODD + column.astype(np.uint64) + np.uint64(1))
-        bucket = (h % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((bucket, source[s]))
-        cuts = np.flatnonzero(np.diff(bucket[order]) | np.diff(source[s][order])) + 1
-        for at in np.split(order, cuts):
-            i = s[at]
-            made.append((int(bucket[at[0]]), rows[int(source[i[0]])]["block"], _zip(owner[i].astype("<i4")), _zip(first[i] + w[at]), None, _zip(doc[i]), _zip(np.ones(len(at), "u1")), _zip(text[at]), _zip(h[at]), True))
-    return made
-
-
-_SPANS = ("bucket", "block", "owners", "firsts", "ends", "docs", "counts", "bytes", "anchors", "final")
-_SPAN_KINDS = (pa.int64(), pa.int64(), *[pa.binary()] * 7, pa.bool_())
-_SPAN_SCHEMA = "bucket long, block long, owners binary, firsts binary, ends binary, docs binary, counts binary, bytes binary, anchors binary, final boolean"
+def _content(text: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the windows that ``text`` holds one after the other."""
+    h = np.zeros(len(text) // width, np.uint64)
+    for column in text.reshape(-1, width).T:
+        h = mix(h * _ODD + column.astype(np.uint64) + np.uint64(1))
+    return h
+
+
+_SPAN = ("<i4", "<i8", "<i8")
+_SPANS = ("bucket", "block", "final", "n", "pieces")
+_SPAN_KINDS = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
+_SPAN_SCHEMA = "bucket long, block long, final boolean, n int, pieces binary"
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,30 +493,36 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
     for batch in batches:
         for row in batch.to_pylist():
-            owner = np.concatenate([np.zeros(0, "<i4"), *(_array(x, "<i4") for x in row["owners"] or ())])
-            a, z = (np.concatenate([np.zeros(0, np.int64), *(_array(x, "<i8") for x in row[c] or ())]) for c in ("firsts", "ends"))
-            order = np.lexsort((a, owner))
-            owner, a, z = owner[order], a[order], z[order]
-            cut = np.searchsorted(owner, np.arange(len(row["sizes"]) + 1))
-            text, at, out = memoryview(_unzip(row["texts"])), 0, []
+            held = [(_unzip(x["pieces"]), x["n"]) for x in row["spans"] or ()]
+            owner = np.concatenate([np.zeros(0, "<i4"), *(np.frombuffer(x, "<i4", n) for x, n in held)])
+            a, z = (np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, "<i8", n, at * n) for x, n in held)]) for at in (4, 12))
+            sizes = np.array(row["sizes"], np.int64)
+            begins = np.cumsum(sizes) - sizes
+            a, z = a + begins[owner], z + begins[owner]
+            order = np.argsort(a, kind="stable")
+            owner, a, z = owner[order], a[order], np.maximum.accumulate(z[order])  # no span passes the end of its text
+            new = np.append(True, (a[1:] > z[:-1]) | (owner[1:] != owner[:-1]))[: len(a)]
+            owner, begin, end = owner[new], a[new], z[np.append(new[1:], True)[: len(a)]]
+            cut = np.searchsorted(owner, np.arange(len(sizes) + 1)).tolist()
+            gone = np.append(0, np.cumsum(end - begin))[cut]
+            gone = (gone[1:] - gone[:-1]).tolist()
+            spans, places = list(zip(begin.tolist(), end.tolist(), strict=True)), begins.tolist()
+            text, out = memoryview(_unzip(row["texts"])), []
             for i, (doc, size) in enumerate(zip(row["ids"], row["sizes"], strict=True)):
-                x, y = a[cut[i] : cut[i + 1]], np.maximum.accumulate(z[cut[i] : cut[i + 1]])
-                new = np.append(True, x[1:] > y[:-1])[: len(x)]
-                begin, end = x[new], y[np.append(new[1:], True)[: len(x)]]
-                kept, done = hashlib.sha256(), 0
-                for b, e in zip(begin.tolist(), end.tolist(), strict=True):
-                    kept.update(text[at + done : at + b])
+                own, at = spans[cut[i] : cut[i + 1]], places[i]
+                kept, done = hashlib.sha256(), at
+                for b, e in own:
+                    kept.update(text[done:b])
                     done = e
-                kept.update(text[at + done : at + size])
-                out.append((doc, size, int((end - begin).sum()), len(begin), kept.hexdigest(), [{"start": b, "end": e} for b, e in zip(begin.tolist(), end.tolist(), strict=True)]))
-                at += size
+                kept.update(text[done : at + size])
+                out.append((doc, size, gone[i], len(own), kept.hexdigest(), [{"start": b - at, "end": e - at} for b, e in own]))
             yield _batch(out, tuple(names), tuple(kinds))
 
 
 def suffix_dedup(docs: DataFrame, width: int = 50, gram: int = 24, block: int = 4 << 20, bucket: int = 40_000, hot: int = 20_000, anchors: int = 1 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans (bytes from, up to) of every row.
 
-    ``anchors`` and ``bucket`` are the anchors and pieces that a task holds at a time; ``hot`` is the number of documents beyond which
+    ``anchors`` and ``bucket`` are the anchors and, but for a factor of two, the pieces that a task holds at a time; ``hot`` is the number of documents beyond which
     an anchor is dealt to several buckets.
     """
     if gram % 8 or not 8 <= gram <= width or width > 200:
@@ -393,20 +530,21 @@ def suffix_dedup(docs: DataFrame, width: int = 50, gram: int = 24, block: int =
     held = settle(blocks(docs, block), "blocks")
     size = held.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     parts = max(1, math.ceil(size * 2 / (width - gram + 2) / anchors))
-    found = held.mapInArrow(_anchor_rows(width, gram, parts), "bucket int, block long, anchors binary, counts binary")
+    found = held.mapInArrow(_anchor_rows(width, gram, parts), "bucket int, block long, n int, anchors binary")
     back = found.repartition(min(parts, 20_000), "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "block long, anchors binary, totals binary, n long")
     repeated = settle(back, "repeated-anchors")
     n = repeated.agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, math.ceil(n / bucket))
+    buckets = max(1, math.ceil(n / bucket / 2))
     lists = repeated.groupBy("block").agg(F.collect_list(F.struct("anchors", "totals")).alias("lists"))
     meeting = held.join(lists.hint("shuffle_hash"), "block").select("block", "ids", "sizes", "texts", F.col("lists.anchors").alias("found"), F.col("lists.totals").alias("totals"))
-    sent = meeting.mapInArrow(_sent_pieces(width, gram, buckets, hot), "bucket long, block long, final boolean, anchors binary, docs binary, owners binary, firsts binary, counts binary, bytes binary")
-    spans = settle(sent.repartition(min(buckets, 20_000), "bucket").sortWithinPartitions("bucket").mapInArrow(_found_spans(width, buckets, True), _SPAN_SCHEMA), "spans")
-    again = spans.where("bucket is not null").repartition(min(buckets, 20_000), "bucket").sortWithinPartitions("bucket")
-    more = settle(again.mapInArrow(_found_spans(width, buckets, False), _SPAN_SCHEMA), "more-spans")
+    sent = meeting.mapInArrow(_sent_pieces(width, gram, buckets, hot), _PIECE_SCHEMA)
+    tasks = min(buckets, max(16, math.ceil(buckets / 4)), 20_000)
+    spans = settle(sent.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_found_spans(width, buckets, bucket, True), _SPAN_SCHEMA), "spans")
+    again = spans.where("bucket is not null").select("bucket", "final", "n", "pieces").repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    more = settle(again.mapInArrow(_found_spans(width, buckets, bucket, False), _SPAN_SCHEMA), "more-spans")
     discard(repeated)
     every = spans.where("bucket is null").unionByName(more)
-    by_block = every.groupBy("block").agg(F.collect_list(F.struct("owners", "firsts", "ends")).alias("s"))
-    met = held.join(by_block.hint("shuffle_hash"), "block", "left").select("ids", "sizes", "texts", F.col("s.owners").alias("owners"), F.col("s.firsts").alias("firsts"), F.col("s.ends").alias("ends"))
+    by_block = every.groupBy("block").agg(F.collect_list(F.struct("n", "pieces")).alias("spans"))
+    met = held.join(by_block.hint("shuffle_hash"), "block", "left").select("ids", "sizes", "texts", "spans")
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>"
     return met.mapInArrow(_removed, kind).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -198,3 +199,59 @@ def test_suffix_dedup_odd(spark):
     long = " ".join(f"w{i % 977}" for i in range(60_000))
     rows = [(1, None), (2, ""), (3, "a b c"), (3, "a b c"), (None, long[:90_000]), (None, None), (4, long), (4, long[5:500]), (7, "x" * 49), (6, "x" * 50), (8, "x" * 3000)]
     assert removed(odd(spark, rows)) == passages(rows)
+
+
+def sent(texts, width=50, gram=24, buckets=6, hot=3, **how):
+    """Rows of pieces from blocks of a text each, every anchor of which counts as repeated (in five documents where hashes are even)."""
+    made = []
+    for i, text in enumerate(texts):
+        found = np.unique(np.concatenate([x for _, _, x in suffix_dedup.pieces(np.frombuffer(text, np.uint8), np.array([len(text)]), width, gram)]))
+        totals = np.where(found % 2 == 0, 5, 2).astype("<u8")
+        made.append({"block": i, "ids": [i], "sizes": [len(text)], "texts": suffix_dedup._zip(text), "found": [suffix_dedup._zip(found)], "totals": [suffix_dedup._zip(totals)]})
+    batches = (pa.RecordBatch.from_pylist(made[k : k + 7]) for k in range(0, len(made), 7))
+    return [r for batch in suffix_dedup._sent_pieces(width, gram, buckets, hot, **how)(batches) for r in batch.to_pylist()]
+
+
+def test_rows_of_pieces_do_not_grow_with_blocks_times_buckets():
+    rng = random.Random(4)
+    texts = [bytes(rng.choice(b"abcd ") for _ in range(400)) for _ in range(60)]
+    rows = sent(texts)
+    assert len(rows) <= 2 * 6  # a row for each bucket, of hot and of other anchors
+
+
+def test_pieces_of_many_blocks_are_those_of_each():
+    rng = random.Random(5)
+    texts = [bytes(rng.choice(b"abcd ") for _ in range(rng.choice((60, 400)))) for _ in range(40)]
+    want = sorted((i, int(a), int(k), text[a : a + k + 49]) for i, text in enumerate(texts) for first, count, _ in suffix_dedup.pieces(np.frombuffer(text, np.uint8), np.array([len(text)]), 50, 24) for a, k in zip(first, count, strict=True))
+    for how in ({}, {"most": 50}, {"text": 1000}):
+        got = []
+        for r in sent(texts, **how):
+            (h, doc, block, first, owner, count), text = suffix_dedup._unpack(r["pieces"], r["n"])
+            assert (np.diff(h.astype(object)) >= 0).all() and set(owner.tolist()) == {0} and doc.tolist() == block.tolist()
+            assert set(suffix_dedup._bucket(h, 6).tolist()) == {r["bucket"]}
+            ends = np.cumsum(count.astype(int) + 49)
+            got += [(d, f, k, text[z - k - 49 : z]) for d, f, k, z in zip(doc.tolist(), first.tolist(), count.tolist(), ends.tolist(), strict=True)]
+        assert sorted(got) == want
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.binary(min_size=9, max_size=25).map(lambda b: bytes(x % 2 for x in b)), min_size=1, max_size=6, unique=True))
+def test_stretches_that_two_strings_share(strings):
+    """No window of two strings lies outside of their stretches, and without collisions nothing else is in."""
+    width = 9
+    where = {}
+    for i, s in enumerate(strings):
+        for p in range(len(s) - width + 1):
+            where.setdefault(s[p : p + width], set()).add(i)
+    shared = [[p for p in range(len(s) - width + 1) if len(where[s[p : p + width]]) > 1] for s in strings]
+    lengths = np.array([len(s) for s in strings])
+    found = suffix_dedup._shared_stretches(np.frombuffer(b"".join(strings), np.uint8), np.cumsum(lengths) - lengths, lengths - width + 1, width)
+    assert list(zip(*(x.tolist() for x in found), strict=True)) == [(i, p[0], p[-1]) for i, p in enumerate(shared) if p]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 4)), min_size=1, max_size=40))
+def test_texts_of_each_anchor(pairs):
+    anchors, owners = (np.array(x) for x in zip(*pairs, strict=True))
+    got = suffix_dedup._owned(anchors.astype(np.uint64), owners)
+    assert list(zip(*(x.tolist() for x in got), strict=True)) == [(a, len({o for b, o in pairs if b == a})) for a in sorted({a for a, _ in pairs})]
