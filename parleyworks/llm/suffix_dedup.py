@@ -294,6 +294,8 @@ def _sent_pieces(width: int, gram: int, buckets: int, hot: int, most: int = 1 <<
         def out() -> Iterator[pa.RecordBatch]:
             raw = np.concatenate(texts) if len(texts) > 1 else texts[0]
             texts.clear()
+            if not held:
+                return
             final, start, *columns = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             for kind in (True, False):

@@ -223,7 +223,7 @@ def test_pieces_of_many_blocks_are_those_of_each():
     rng = random.Random(5)
     texts = [bytes(rng.choice(b"abcd ") for _ in range(rng.choice((60, 400)))) for _ in range(40)]
     want = sorted((i, int(a), int(k), text[a : a + k + 49]) for i, text in enumerate(texts) for first, count, _ in suffix_dedup.pieces(np.frombuffer(text, np.uint8), np.array([len(text)]), 50, 24) for a, k in zip(first, count, strict=True))
-    for how in ({}, {"most": 50}, {"text": 1000}):
+    for how in ({}, {"most": 50}, {"text": 1000}, {"most": 1, "text": 1}):
         got = []
         for r in sent(texts, **how):
             (h, doc, block, first, owner, count), text = suffix_dedup._unpack(r["pieces"], r["n"])
